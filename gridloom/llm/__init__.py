@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe
+from gridloom.llm import bpe, simhash
 
-_MODULES = (bpe,)
+_MODULES = (bpe, simhash)
 
 
 def queries() -> dict:

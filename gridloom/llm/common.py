@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -53,3 +54,46 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
     if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
         values = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary())
     return [v or b"" for v in values.to_pylist()]
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group, as numpy arrays, from batches that are sorted by the integer column ``key``.
+
+    Columns must be of fixed width and hold no null. One group is in memory at a time, besides a batch.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        keys = columns[key]
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for begin, end in zip(edges, edges[1:]):
+            part = {n: v[begin:end] for n, v in columns.items()}
+            if held and held[0][key][0] != part[key][0]:
+                yield _joined(held)
+                held = []
+            held.append(part)
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return parts[0] if len(parts) == 1 else {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+
+
+def spanning_labels(size: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+    """For items 0..size-1 linked by (a, b): the smallest linked item of each, given what earlier links gave."""
+    labels = np.arange(size) if labels is None else labels
+    while len(a):
+        low = np.minimum(labels[a], labels[b])
+        if (labels[a] == labels[b]).all():
+            break
+        np.minimum.at(labels, labels[a], low)
+        np.minimum.at(labels, labels[b], low)
+        while True:
+            nearer = labels[labels]
+            if (nearer == labels).all():
+                break
+            labels = nearer
+    return labels
