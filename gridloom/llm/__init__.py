@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, neardup_vectors, simhash
+from gridloom.llm import bpe, neardup_vectors, simhash, vector_search
 
-_MODULES = (bpe, neardup_vectors, simhash)
+_MODULES = (bpe, neardup_vectors, simhash, vector_search)
 
 
 def queries() -> dict:
