@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,12 @@ from pyspark.sql.types import DoubleType, StructField
 from gridloom.llm.common import read_table, texts, with_columns
 
 #: Labelled rows that the model is fitted on, at most; those with the smallest hash of their id.
-SAMPLE = 12_000
+SAMPLE = 10_000
 SIZES, DIM, EPOCHS, RATE, DECAY, SEED = (3, 4, 5), 4, 12, 2.0, 1e-4, 3
 #: An n-gram needs so many documents of the sample, and one in so many of them.
 LEAST, ONE_IN = 4, 200
 FOLDS, HELD_OUT = 5, 0
+PLACES = 1 << 22
 CACHE_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,27 +82,29 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, d
     docs, holders = [], Counter()
     for text, _ in rows:
         count = Counter(WORD.findall(text.lower()))
-        docs.append((np.array([index.setdefault(w, len(index)) for w in count], int), np.array(list(count.values()), float)))
+        docs.append((np.array([index.setdefault(w, len(index)) for w in count], np.int32), np.array(list(count.values()), np.int32)))
         holders.update(count.keys())
-    # n-grams by the documents that hold a word with them (counted once a word)
-    frequency: Counter = Counter()
-    parts = {w: grams(w) for w in index}
-    for w, gs in parts.items():
-        n = holders[w]
-        for g in set(gs):
-            frequency[g] += n
-    gram = {g: k for k, g in enumerate(g for g, n in frequency.items() if n >= max(LEAST, len(rows) / ONE_IN))}
+    # n-grams by the documents that hold a word with them (counted once a word), in a table of fixed size; n-grams
+    # that share a place there pass together
+    frequency = np.zeros(PLACES, np.int64)
+    for w in index:
+        places = {crc32(g.encode()) % PLACES for g in grams(w)}
+        frequency[list(places)] += holders[w]
+    often = frequency >= max(LEAST, len(rows) / ONE_IN)
+    del frequency, holders
+    gram: dict[str, int] = {}
+    lists = []
+    for w in index:
+        lists.append(np.array([gram.setdefault(g, len(gram)) for g in grams(w) if often[crc32(g.encode()) % PLACES]], np.int32))
     if not gram:
         return Model()
-    lists = [np.array([gram[g] for g in parts[w] if g in gram], np.int32) for w in index]
-    del parts, frequency
     bags = []
     for words, count in docs:
         ids = [lists[w] for w in words]
         share = np.repeat(count / max(1.0, count.sum()) / [max(1, len(x)) for x in ids], [len(x) for x in ids])
         g, inverse = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.int32), return_inverse=True)
-        bags.append((g, np.bincount(inverse, share, len(g))))
-    del lists, docs
+        bags.append((g.astype(np.int32), np.bincount(inverse, share, len(g)).astype(np.float32)))
+    del lists, docs, index
     rng = np.random.default_rng(SEED)
     vector = rng.normal(scale=0.1, size=(len(gram), dim))
     softmax = rng.normal(scale=0.5, size=(dim, 2))
