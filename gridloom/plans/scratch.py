@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return current
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What runs inside has its shuffle files deleted as soon as it ends, not when the driver collects garbage."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 class Scratch:
     """A folder of written tables. ``save`` cuts lineage, ``drop`` frees the disk of one table."""
 
@@ -37,7 +55,8 @@ class Scratch:
         """Write ``df`` and return the written table."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        with freed_shuffles(self.spark):
+            df.write.parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
