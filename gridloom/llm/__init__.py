@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, html_text, mixing, neardup_vectors, quality, secret_scan, simhash, toxicity, vector_search
+from gridloom.llm import bpe, html_text, mixing, neardup_vectors, quality, secret_scan, simhash, substring_dedup, toxicity, vector_search
 
-_MODULES = (bpe, neardup_vectors, vector_search, html_text, simhash, toxicity, quality, secret_scan, mixing)
+_MODULES = (bpe, neardup_vectors, vector_search, html_text, simhash, toxicity, quality, secret_scan, mixing, substring_dedup)
 
 
 def queries() -> dict:
