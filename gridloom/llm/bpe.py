@@ -288,5 +288,16 @@ def roundtrip(spark: SparkSession, docs: DataFrame, vocabulary_file: str | None
     )
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline: each document's token ids, checked by decoding them."""
+    import public_tokenizers
+
+    vocabulary = _shared(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = docs.select("doc_id", "lang", "source", "text")
+    done = decode(encode(own, vocabulary, public_tokenizers.PATTERN), vocabulary)
+    exact = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
+    return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
+
+
 QUERIES = {"op1_bpe": op1_bpe}
 ORACLE_SQL: dict[str, str] = {}
