@@ -245,15 +245,16 @@ def log_probabilities(df: DataFrame, shards: list, lang: str = "lang", text: str
     return df
 
 
-def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(doc_id, lang, perplexity, threshold, keep)`` and a hash of the text, for each row of ``docs``."""
+def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, lang, perplexity, threshold, keep)``, a hash of the text and the columns in ``carry``, for each row of ``docs``."""
     scratch = Scratch(spark, "perplexity")
     trusted = labels.where("quality = 1").select("doc_id").distinct()
-    shards = build_shards(spark, count_ngrams(docs.select("doc_id", "lang", "text").join(trusted, "doc_id", "left_semi")), shard_rows)
-    body = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("text_hash"))
-    scored = log_probabilities(body, shards).drop("text") if shards else body.select("*", F.lit(None).cast("double").alias("logp"), F.lit(0).cast("long").alias("length"))
+    # merged at every size: the trusted ids grow with the corpus
+    shards = build_shards(spark, count_ngrams(docs.select("doc_id", "lang", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), shard_rows)
+    body = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("_")]).alias("_row"), "text", F.xxhash64("text").alias("text_hash"))
+    scored = log_probabilities(body, shards).drop("text") if shards else body.select("*", F.lit(None).cast("double").alias("logp"), F.lit(0).cast("long").alias("length")).drop("text")
     scored = scratch.save(scored, "scored")
-    known = scored.join(trusted, "doc_id", "left_semi").where("logp IS NOT NULL AND length > 0")
+    known = scored.select("doc_id", "lang", "logp", "length").join(trusted, "doc_id", "left_semi").where("logp IS NOT NULL AND length > 0")
     # one row for each language
     means = F.broadcast(known.groupBy("lang").agg((-F.sum("logp") / F.sum("length")).alias("mean")))
     entropy = ((-F.col("logp") + WEIGHT * F.col("mean")) / (F.col("length") + WEIGHT)).alias("entropy")
@@ -261,8 +262,10 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: i
     # at most a few ten thousand bins for each language, whatever the number of documents
     ranked = bins.selectExpr("lang", "bin", "sum(n) OVER (PARTITION BY lang ORDER BY bin) AS below", "sum(n) OVER (PARTITION BY lang) AS total")
     limits = ranked.where(F.col("below") >= QUANTILE * F.col("total")).groupBy("lang").agg(((F.min("bin") + 1) / GRAIN + MARGIN).alias("cut"))
-    out = scored.join(means, "lang", "left").join(F.broadcast(limits), "lang", "left")
-    return out.select("doc_id", "lang", F.exp(entropy).alias("perplexity"), F.exp("cut").alias("threshold"), F.coalesce(entropy <= F.col("cut"), F.lit(True)).alias("keep"), "text_hash")
+    limits = scratch.save(means.join(limits, "lang"), "limits")
+    out = scored.join(F.broadcast(limits), "lang", "left")
+    own = [F.col(f"_row.{c}").alias(f"carried_{c}") for c in carry]
+    return out.select("doc_id", "lang", F.exp(entropy).alias("perplexity"), F.exp("cut").alias("threshold"), F.coalesce(entropy <= F.col("cut"), F.lit(True)).alias("keep"), "text_hash", *own)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,10 +273,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents over their language's limit go."""
-    judged = judge(spark, docs, read_table(spark, sf_dir, "labels"))
-    bad = judged.where(~F.col("keep")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._d) & (F.xxhash64(docs.text) == bad._h), "left_anti")
+    """Pipeline: documents over their language's limit go. Texts ride along with their scores, and meet no join."""
+    judged = judge(spark, docs, read_table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
+    return judged.where("keep").select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
 
 
 QUERIES = {"op3_quality": op3_quality}

@@ -149,7 +149,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one document of each group stays, the one with the smallest id; rows that repeat it stay too."""
     found = near_duplicates(spark, docs)
     kept = found.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    # merged at every size: the kept ids grow with the corpus
+    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept._kept), "left_semi")
 
 
 QUERIES = {"op7_simhash": op7_simhash}
