@@ -1,6 +1,757 @@
-"""Every registered query of the volume and graph operators, with its SQL where SQL can express it."""
+"""Every registered query of the volume and graph operators, with its SQL where SQL can express it.
+
+All read the raster view of ``events`` (see ``sources.volumes.raster``), or a table of the star schema as a
+contingency table or look-up table, whole. Floating results are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions import expr
+from gridloom.model import AXES, Blocking
+from gridloom.operators import aggregates as agg
+from gridloom.operators import checks, evaluation, filters, graph, models, objects, overlaps, relabel, resample, segmentation, solvers, stencils, voxelwise
+from gridloom.sources.volumes import raster
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+VX = """vx AS (SELECT z, y, x, v, gt, CAST(1 + floor(z/2)*40 + floor(y/5)*8 + floor(x/5) AS BIGINT) AS ws,
+  CAST(floor(z/5)*4 + floor(y/13)*2 + floor(x/20) AS BIGINT) AS block_id FROM (SELECT CAST(floor(event_id/1000) AS BIGINT) AS z,
+  CAST(floor((event_id%1000)/40) AS BIGINT) AS y, event_id%40 AS x, value AS v, user_id%10 AS gt FROM events))"""
+PAIRS = """pairs AS (SELECT a.ws AS wa, b.ws AS wb, a.gt AS ga, b.gt AS gb, a.v AS va, b.v AS vb, a.block_id AS ba, b.block_id AS bb
+  FROM vx a JOIN (SELECT 1 AS dz, 0 AS dy, 0 AS dx UNION ALL SELECT 0,1,0 UNION ALL SELECT 0,0,1) o ON TRUE
+  JOIN vx b ON b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx)"""
+EDGES = "edges AS (SELECT DISTINCT least(wa,wb) AS u, greatest(wa,wb) AS v FROM pairs WHERE wa<>wb)"
+FEATS = """feats AS (SELECT least(wa,wb) AS u, greatest(wa,wb) AS v, avg(greatest(va,vb)) AS mean, var_pop(greatest(va,vb)) AS var, min(greatest(va,vb)) AS mn,
+  max(greatest(va,vb)) AS mx, count(*) AS size FROM pairs WHERE wa<>wb GROUP BY ALL)"""
+NODE_LABEL = "lab AS (SELECT ws AS node, gt AS label FROM (SELECT ws, gt, row_number() OVER (PARTITION BY ws ORDER BY count(*) DESC, gt) AS r FROM vx GROUP BY ws, gt) WHERE r=1)"
+OV = "ov AS (SELECT ws AS a, gt AS b, count(*) AS c FROM vx GROUP BY ws, gt)"
+MARG = "t AS (SELECT a, b, c, sum(c) OVER (PARTITION BY a) AS na, sum(c) OVER (PARTITION BY b) AS nb, sum(c) OVER () AS n FROM ov)"
+
+
+def query(sql: str | None = None, *ctes: str, recursive: bool = False):
+    """Register the function below by its name; its SQL runs with the common tables ``ctes``."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n).cast("double"), 6) for n in names})
+
+
+def edges_of(vox: DataFrame) -> DataFrame:
+    return graph.region_graph(vox, "ws", ignore_label=False)
+
+
+def features_of(vox: DataFrame) -> DataFrame:
+    return agg.edge_features(agg.edge_pairs(vox, "ws", "v"))
+
+
+def cheap_features(vox: DataFrame) -> DataFrame:
+    """Mean and size alone, without quantiles."""
+    return agg.edge_pairs(vox, "ws", "v").groupBy("u", "v").agg(F.avg("value").alias("mean"), F.count("*").alias("size"))
+
+
+def node_labels(vox: DataFrame) -> DataFrame:
+    best = overlaps.max_overlap(overlaps.overlaps(vox, "ws", "gt"))
+    return best.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+# ---- scans, copies and element-wise expressions
+
+
+@query("SELECT z, y, x, v FROM vx WHERE y >= 3 AND y < 17 AND x >= 5 AND x < 33 AND z >= 0 AND z < 4", VX)
+def voxel_scan_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voxelwise.copy_volume(raster(spark, sf_dir).select(*AXES, "v"), "v", begin=(0, 3, 5), end=(4, 17, 33))
+
+
+@query("SELECT z, y, x, CASE WHEN gt IN (1,4,7) THEN gt + 100 ELSE 0 END AS gt FROM vx", VX)
+def copy_value_list_offset(spark, sf_dir):
+    return voxelwise.copy_volume(raster(spark, sf_dir).select(*AXES, "gt"), "gt", value_list=[1, 4, 7], offset=100, dtype="long")
+
+
+@query("SELECT n.z, n.y, n.x, COALESCE(NULLIF(CASE WHEN n.gt IN (2,3) THEN n.gt ELSE 0 END, 0), n.ws) AS gt FROM vx n", VX)
+def copy_insert_mode(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return voxelwise.copy_volume(vox.select(*AXES, "gt"), "gt", value_list=[2, 3], previous=vox.select(*AXES, F.col("ws").alias("gt")), dtype="long")
+
+
+@query("SELECT z, y, x, CASE WHEN min(q) OVER (PARTITION BY block_id) = max(q) OVER (PARTITION BY block_id) THEN 0 ELSE q END AS q FROM (SELECT *, CAST(floor(z/5) AS BIGINT) * (CASE WHEN x < 20 THEN 1 ELSE gt END) AS q FROM vx)", VX)
+def copy_uniform_to_background(spark, sf_dir):
+    vox = raster(spark, sf_dir).withColumn("q", F.floor(F.col("z") / 5) * F.when(F.col("x") < 20, 1).otherwise(F.col("gt")))
+    return voxelwise.copy_volume(vox, "q", uniform_to_background=True, dtype="long").select(*AXES, "q")
+
+
+@query("SELECT c, z, y, x, round(v, 6) AS v FROM (SELECT CAST(0 AS BIGINT) AS c, z, y, x, v FROM vx UNION ALL SELECT CAST(1 AS BIGINT), z, y, x, v/2 FROM vx UNION ALL SELECT CAST(2 AS BIGINT), z, y, x, CAST(gt AS DOUBLE) FROM vx)", VX)
+def stack_predictions(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    pred = vox.select(F.lit(0).cast("long").alias("c"), *AXES, (F.col("v") / 2).alias("v")).unionByName(vox.select(F.lit(1).cast("long").alias("c"), *AXES, F.col("gt").cast("double").alias("v")))
+    return rounded(voxelwise.stack_predictions(vox.select(*AXES, "v"), pred), "v")
+
+
+@query("SELECT z, y, x, COALESCE(n_regionkey + 50, gt) AS gt FROM vx LEFT JOIN nation ON gt = n_nationkey AND n_nationkey < 6", VX)
+def write_assignments(spark, sf_dir):
+    lut = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("label"), (F.col("n_regionkey") + 50).cast("long").alias("new_label"))
+    return voxelwise.write_labels(raster(spark, sf_dir), "gt", lut, allow_missing=True).select(*AXES, "gt")
+
+
+@query("SELECT z, y, x, round(CASE WHEN hi > lo THEN (v-lo)/(hi-lo) ELSE v-lo END, 6) AS v FROM (SELECT *, min(v) OVER (PARTITION BY block_id) AS lo, max(v) OVER (PARTITION BY block_id) AS hi FROM vx)", VX)
+def normalize_block(spark, sf_dir):
+    return rounded(raster(spark, sf_dir).withColumn("v", expr.normalized("v", "block_id")), "v").select(*AXES, "v")
+
+
+def _threshold(mode: str, sign: str):
+    @query(f"SELECT z, y, x, CAST((v-lo)/(hi-lo) {sign} 0.25 AS INTEGER) AS v FROM (SELECT *, min(v) OVER (PARTITION BY block_id) AS lo, max(v) OVER (PARTITION BY block_id) AS hi FROM vx)", VX)
+    def f(spark, sf_dir):
+        return voxelwise.threshold(raster(spark, sf_dir), "v", 0.25, mode).select(*AXES, "v")
+
+    QUERIES[f"threshold_{mode}"], ORACLE_SQL[f"threshold_{mode}"] = QUERIES.pop("f"), ORACLE_SQL.pop("f")
+
+
+for _m, _s in (("greater", ">"), ("less", "<"), ("equal", "=")):
+    _threshold(_m, _s)
+
+
+@query("SELECT z, y, x, round(CASE WHEN gt > 2 THEN 2.5*v - 1 ELSE v END, 6) AS v FROM vx", VX)
+def linear_global(spark, sf_dir):
+    vox = raster(spark, sf_dir).withColumn("m", F.col("gt") > 2)
+    return rounded(voxelwise.linear(vox, "v", (2.5, -1.0), mask="m"), "v").select(*AXES, "v")
+
+
+@query("SELECT z, y, x, round((1 + z*0.5)*v + z, 6) AS v FROM vx", VX)
+def linear_per_slice(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    table = vox.select("z").distinct().select("z", (1 + F.col("z") * 0.5).alias("a"), F.col("z").cast("double").alias("b"))
+    return rounded(voxelwise.linear(vox, "v", table), "v").select(*AXES, "v")
+
+
+def _channels(vox: DataFrame) -> DataFrame:
+    three = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), (F.col("v") * f).alias("v")) for c, f in enumerate((1.0, 0.5, 2.0))])
+    return vox.select(*AXES, F.explode(three).alias("p")).select("p.c", *AXES, "p.v")
+
+
+@query("SELECT z, y, x, round((v*0.5 + v*2.0)/2, 6) AS v FROM vx", VX)
+def channel_reduce_mean(spark, sf_dir):
+    return rounded(voxelwise.to_boundaries(_channels(raster(spark, sf_dir)), "mean", 1, 3), "v")
+
+
+@query("SELECT z, y, x, round(greatest(v, v*0.5), 6) AS v FROM vx", VX)
+def channel_reduce_max(spark, sf_dir):
+    return rounded(voxelwise.to_boundaries(_channels(raster(spark, sf_dir)), "max", 0, 2), "v")
+
+
+@query("SELECT z, y, x, CAST(least(greatest(round(v/490*255), 0), 255) AS INTEGER) AS v FROM vx", VX)
+def quantize_uint8(spark, sf_dir):
+    return raster(spark, sf_dir).select(*AXES, expr.to_uint8(F.col("v") / 490).alias("v"))
+
+
+# ---- aggregations
+
+
+@query("SELECT block_id, round(avg(v),6) AS mean, max(v) AS max, min(v) AS min, round(stddev_pop(v),6) AS std, round(var_pop(v),4) AS var, count(v) AS size FROM vx GROUP BY block_id", VX)
+def block_statistics(spark, sf_dir):
+    out = agg.statistics(raster(spark, sf_dir), "v", "block_id")
+    return rounded(out, "mean", "std").withColumn("var", F.round("var", 4))
+
+
+@query("SELECT max(v) AS max, min(v) AS min, round(avg(v),6) AS mean, round(stddev_pop(v),6) AS std, round(var_pop(v),4) AS var, CAST(count(v) AS BIGINT) AS size FROM vx", VX)
+def merge_statistics(spark, sf_dir):
+    out = agg.merge_statistics(agg.statistics(raster(spark, sf_dir), "v", "block_id"))
+    return rounded(out, "mean", "std").withColumn("var", F.round("var", 4))
+
+
+@query("SELECT gt AS id, count(*) AS count, round(avg(v),6) AS mean, min(v) AS min, max(v) AS max FROM vx WHERE gt<>0 GROUP BY gt", VX)
+def region_features(spark, sf_dir):
+    parts = agg.region_features(raster(spark, sf_dir), "gt", "v", by_block=True)
+    return rounded(agg.merge_region_features(parts), "mean")
+
+
+@query("SELECT r.id, CAST(COALESCE(size,0) AS BIGINT) AS size, " + ", ".join(f"round(COALESCE(com_{c},0),6) AS com_{c}, COALESCE(bbmin_{c},0) AS bbmin_{c}, COALESCE(bbmax_{c},0) AS bbmax_{c}" for c in AXES) + " FROM (SELECT unnest(range(60)) AS id) r LEFT JOIN (SELECT ws AS id, count(*) AS size, " + ", ".join(f"avg({c}) AS com_{c}, min({c}) AS bbmin_{c}, max({c}) AS bbmax_{c}" for c in AXES) + " FROM vx GROUP BY ws) m ON r.id = m.id", VX)
+def morphology(spark, sf_dir):
+    parts = agg.morphology(raster(spark, sf_dir), "ws", by_block=True)
+    return rounded(agg.merge_morphology(parts, 60), "com_z", "com_y", "com_x")
+
+
+@query("SELECT l_suppkey AS id FROM lineitem GROUP BY l_suppkey HAVING count(*) < 600")
+def size_filter_threshold(spark, sf_dir):
+    sizes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("id")).count()
+    return agg.size_filter(sizes, size_threshold=600)
+
+
+@query("SELECT id FROM (SELECT l_suppkey AS id, row_number() OVER (ORDER BY count(*) DESC, l_suppkey) AS r FROM lineitem GROUP BY l_suppkey) WHERE r > 7")
+def size_filter_target_number(spark, sf_dir):
+    sizes = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("id")).count()
+    return agg.size_filter(sizes, target_number=7)
+
+
+@query("SELECT z, y, x, CASE WHEN c < 1000 THEN 0 ELSE gt END AS gt FROM (SELECT *, count(*) OVER (PARTITION BY gt) AS c FROM vx)", VX)
+def background_size_filter(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    sizes = vox.groupBy(F.col("gt").alias("id")).count()
+    return filters.filter_blocks(vox, "gt", agg.size_filter(sizes, size_threshold=1000)).select(*AXES, "gt")
+
+
+# ---- distinct and relabel
+
+
+@query("SELECT DISTINCT ws AS label FROM vx", VX)
+def unique_labels(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return relabel.merge_uniques(relabel.uniques(vox.where("block_id % 2 = 0"), "ws"), relabel.uniques(vox.where("block_id % 2 = 1"), "ws"))
+
+
+@query("SELECT ws AS label, count(*) AS count FROM vx GROUP BY ws", VX)
+def label_counts(spark, sf_dir):
+    return relabel.uniques(raster(spark, sf_dir), "ws", counts=True)
+
+
+@query("SELECT z, y, x, new_label AS q FROM (SELECT z, y, x, ws*7 AS q FROM vx) JOIN (SELECT q AS label, row_number() OVER (ORDER BY q) AS new_label FROM (SELECT DISTINCT ws*7 AS q FROM vx)) ON q = label", VX)
+def relabel_consecutive(spark, sf_dir):
+    vox = raster(spark, sf_dir).select(*AXES, (F.col("ws") * 7).alias("q"))
+    return voxelwise.write_labels(vox, "q", relabel.find_labeling(vox, "q")).select(*AXES, "q")
+
+
+@query("SELECT block_id, list_sort(list(DISTINCT gt)) AS labels FROM vx GROUP BY block_id", VX)
+def block_unique_labels(spark, sf_dir):
+    return relabel.block_labels(raster(spark, sf_dir), "gt")
+
+
+@query("SELECT ws AS label, list_sort(list(DISTINCT block_id)) AS blocks FROM vx GROUP BY ws", VX)
+def label_block_mapping(spark, sf_dir):
+    return relabel.label_blocks(raster(spark, sf_dir), "ws")
+
+
+@query("SELECT node, label + 1000 AS segment FROM lab WHERE label<>0 AND label IN (SELECT label FROM lab GROUP BY label HAVING count(*) > 1)", VX, NODE_LABEL)
+def fragment_segments(spark, sf_dir):
+    return relabel.fragment_segment_assignment(node_labels(raster(spark, sf_dir)), 1000)
+
+
+# ---- overlaps, filters and evaluation
+
+
+@query("SELECT l_suppkey AS a, l_linenumber AS b, count(*) AS count FROM lineitem GROUP BY ALL")
+def contingency_lineitem(spark, sf_dir):
+    return overlaps.overlaps(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_suppkey", "l_linenumber")
+
+
+@query("SELECT a, b, c AS count FROM ov WHERE b <> 0", VX, OV)
+def overlaps_ignoring_zero(spark, sf_dir):
+    found = overlaps.block_overlaps(raster(spark, sf_dir), "ws", "gt", ignore_label=0)
+    return found.groupBy("a", "b").agg(F.sum("count").alias("count"))
+
+
+@query("SELECT node AS a, label AS b FROM lab", VX, NODE_LABEL)
+def max_overlap(spark, sf_dir):
+    return overlaps.max_overlap(overlaps.overlaps(raster(spark, sf_dir), "ws", "gt"))
+
+
+@query("SELECT a, CASE WHEN s > 0.2 THEN b ELSE 0 END AS b FROM (SELECT a, b, c/sum(c) OVER (PARTITION BY a) AS s, row_number() OVER (PARTITION BY a ORDER BY CASE WHEN b<>0 THEN 0 ELSE 1 END, c DESC, b) AS r FROM ov) WHERE r = 1", VX, OV)
+def overlap_fraction_threshold(spark, sf_dir):
+    return overlaps.thresholded_labels(overlaps.overlaps(raster(spark, sf_dir), "ws", "gt"), 0.2)
+
+
+@query("SELECT node FROM lab WHERE label IN (1, 2)", VX, NODE_LABEL)
+def id_filter(spark, sf_dir):
+    return filters.id_filter(node_labels(raster(spark, sf_dir)), [1, 2])
+
+
+@query("SELECT z, y, x, CASE WHEN ws IN (SELECT node FROM lab WHERE label IN (1,2)) THEN 0 ELSE ws END AS ws FROM vx", VX, NODE_LABEL)
+def filter_labels_by_overlap(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    discard = filters.id_filter(node_labels(vox), [1, 2]).withColumnRenamed("node", "id")
+    return filters.filter_blocks(vox, "ws", discard).select(*AXES, "ws")
+
+
+@query("SELECT ws AS id FROM vx GROUP BY ws HAVING avg(v) < 48", VX)
+def filter_by_feature_threshold(spark, sf_dir):
+    return filters.apply_threshold(agg.region_features(raster(spark, sf_dir), "ws", "v"), "mean", 48, "less")
+
+
+@query("SELECT DISTINCT block_id FROM vx WHERE v > 300", VX)
+def blocks_from_mask(spark, sf_dir):
+    return filters.blocks_from_mask(raster(spark, sf_dir).withColumn("m", F.col("v") > 300), "m")
+
+
+@query("SELECT round(sum(-c/n*log2(c/nb)),6) AS vi_split, round(sum(-c/n*log2(c/na)),6) AS vi_merge FROM t", VX, OV, MARG)
+def vi_split_merge(spark, sf_dir):
+    return rounded(evaluation.measures(overlaps.overlaps(raster(spark, sf_dir), "ws", "gt")).select("vi_split", "vi_merge"), "vi_split", "vi_merge")
+
+
+@query("""SELECT round(1 - 2*(sab/sa)*(sab/sb)/((sab/sa)+(sab/sb)),6) AS adapted_rand_error, round((n*(n-1)/2 + sab - (sa+sb)/2)/(n*(n-1)/2),6) AS rand_index FROM
+ (SELECT CAST(sum(c*c) AS DOUBLE) AS sab, CAST(sum(c) AS DOUBLE) AS n FROM ov), (SELECT CAST(sum(s*s) AS DOUBLE) AS sa FROM (SELECT sum(c) AS s FROM ov GROUP BY a)), (SELECT CAST(sum(s*s) AS DOUBLE) AS sb FROM (SELECT sum(c) AS s FROM ov GROUP BY b))""", VX, OV)
+def rand_index(spark, sf_dir):
+    return rounded(evaluation.measures(overlaps.overlaps(raster(spark, sf_dir), "ws", "gt")).select("adapted_rand_error", "rand_index"), "adapted_rand_error", "rand_index")
+
+
+@query("SELECT b, round(sum(-c/nb*log2(c/nb)),6) AS vi_split, round(sum(-c/nb*log2(c/na)),6) AS vi_merge FROM t GROUP BY b", VX, OV, MARG)
+def object_vi(spark, sf_dir):
+    return rounded(evaluation.object_vi(overlaps.overlaps(raster(spark, sf_dir), "ws", "gt")), "vi_split", "vi_merge")
+
+
+BLOCK_OV = "ov AS (SELECT ws AS a, z*100 + CAST(floor(y/5) AS BIGINT)*10 + CAST(floor((x+1)/5) AS BIGINT) + 1 AS b, count(*) AS c FROM vx GROUP BY ALL)"
+
+
+def _shifted_overlaps(vox: DataFrame) -> DataFrame:
+    other = (F.col("z") * 100 + F.floor(F.col("y") / 5) * 10 + F.floor((F.col("x") + 1) / 5) + 1).cast("long")
+    return overlaps.overlaps(vox.withColumn("o", other), "ws", "o")
+
+
+@query("SELECT b, round(max(CASE WHEN c/(na+nb-c) >= 0.35 THEN c/(na+nb-c) ELSE 0 END),6) AS iou FROM t GROUP BY b", VX, BLOCK_OV, MARG)
+def object_iou(spark, sf_dir):
+    return rounded(evaluation.object_iou(_shifted_overlaps(raster(spark, sf_dir)), 0.35), "iou")
+
+
+@query("SELECT level AS threshold, round(tp/(a+b-tp),6) AS precision FROM (SELECT level, sum(CASE WHEN iou >= level THEN 1 ELSE 0 END) AS tp FROM (SELECT b, max(c/(na+nb-c)) AS iou FROM t GROUP BY b), (SELECT unnest([0.35, 0.5]) AS level) GROUP BY level), (SELECT count(DISTINCT a) AS a, count(DISTINCT b) AS b FROM ov)", VX, BLOCK_OV, MARG)
+def mean_average_precision(spark, sf_dir):
+    found = _shifted_overlaps(raster(spark, sf_dir))
+    iou = evaluation.object_iou(found, 0.35)
+    one = lambda t: iou.agg(F.sum((F.col("iou") >= t).cast("long")).alias("tp"))
+    ends = found.agg(F.count_distinct("a").alias("a"), F.count_distinct("b").alias("b"))
+    out = None
+    for t in (0.35, 0.5):
+        row = one(t).crossJoin(F.broadcast(ends)).select(F.lit(t).alias("threshold"), (F.col("tp") / (F.col("a") + F.col("b") - F.col("tp"))).alias("precision"))
+        out = row if out is None else out.unionByName(row)
+    return rounded(out, "precision")
+
+
+# ---- graphs
+
+
+@query("SELECT u, v FROM edges", VX, PAIRS, EDGES)
+def rag_edges(spark, sf_dir):
+    return edges_of(raster(spark, sf_dir))
+
+
+@query("SELECT DISTINCT ba AS block_id, least(wa,wb) AS u, greatest(wa,wb) AS v FROM pairs WHERE wa<>wb", VX, PAIRS)
+def rag_block_edges(spark, sf_dir):
+    return graph.sub_graphs(raster(spark, sf_dir), "ws")[1]
+
+
+@query("SELECT DISTINCT CAST(floor(ba/4/2)*1 AS BIGINT) AS block_id, least(wa,wb) AS u, greatest(wa,wb) AS v FROM pairs WHERE wa<>wb", VX, PAIRS)
+def rag_coarse_edges(spark, sf_dir):
+    return graph.merge_sub_graphs(graph.sub_graphs(raster(spark, sf_dir), "ws")[1], (1000, 2, 2), 1)
+
+
+@query("SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u, v FROM edges", VX, PAIRS, EDGES)
+def edge_ids(spark, sf_dir):
+    return graph.edge_ids(edges_of(raster(spark, sf_dir)))
+
+
+@query("SELECT b.block_id, e.edge_id, b.u, b.v FROM (SELECT DISTINCT ba AS block_id, least(wa,wb) AS u, greatest(wa,wb) AS v FROM pairs WHERE wa<>wb) b JOIN (SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u, v FROM edges) e ON b.u=e.u AND b.v=e.v", VX, PAIRS, EDGES)
+def map_edge_ids(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return graph.map_edge_ids(graph.sub_graphs(vox, "ws")[1], graph.edge_ids(edges_of(vox)))
+
+
+_Q = ", ".join(f"round(quantile_cont(greatest(va,vb), {q}),6) AS q{int(q * 100)}" for q in agg.QUANTILES)
+
+
+@query(f"SELECT least(wa,wb) AS u, greatest(wa,wb) AS v, round(avg(greatest(va,vb)),6) AS mean, round(var_pop(greatest(va,vb)),4) AS var, min(greatest(va,vb)) AS min, {_Q}, max(greatest(va,vb)) AS max, count(*) AS size FROM pairs WHERE wa<>wb GROUP BY 1, 2", VX, PAIRS)
+def edge_features(spark, sf_dir):
+    out = features_of(raster(spark, sf_dir))
+    return rounded(out, "mean", *[f"q{int(q * 100)}" for q in agg.QUANTILES]).withColumn("var", F.round("var", 4))
+
+
+@query("SELECT least(a.ws,b.ws) AS u, greatest(a.ws,b.ws) AS v, round(avg(a.v),6) AS mean, min(a.v) AS min, max(a.v) AS max, count(*) AS size FROM vx a JOIN (SELECT 1 AS dz, 0 AS dy, 0 AS dx UNION ALL SELECT 0,2,0 UNION ALL SELECT 0,0,3) o ON TRUE JOIN vx b ON b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx WHERE a.ws<>b.ws GROUP BY 1, 2", VX)
+def edge_features_affinity(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    aff = vox.select(F.explode(F.array(*[F.lit(c).cast("long") for c in range(3)])).alias("c"), *AXES, "v")
+    pairs = agg.affinity_pairs(vox, "ws", aff, [(1, 0, 0), (0, 2, 0), (0, 0, 3)])
+    out = pairs.groupBy("u", "v").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("size"))
+    return rounded(out, "mean")
+
+
+@query("SELECT u, v, CASE WHEN a.label=0 OR b.label=0 THEN -1 WHEN a.label<>b.label THEN 1 ELSE 0 END AS edge_label FROM edges JOIN lab a ON u=a.node JOIN lab b ON v=b.node", VX, PAIRS, EDGES, NODE_LABEL)
+def edge_labels(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return voxelwise.edge_labels(edges_of(vox), node_labels(vox), ignore_label=True).select("u", "v", "edge_label")
+
+
+_COST = "ln((1-p)/p) + ln((1-0.4)/0.4)"
+
+
+@query(f"SELECT u, v, round(({_COST})*(size/max(size) OVER ()),6) AS cost FROM (SELECT *, least(greatest(mean/500, 0.001), 0.999) AS p FROM feats)", VX, PAIRS, FEATS)
+def edge_costs(spark, sf_dir):
+    feats = cheap_features(raster(spark, sf_dir)).withColumn("p", F.col("mean") / 500)
+    return rounded(voxelwise.probs_to_costs(feats, size="size", beta=0.4), "cost").select("u", "v", "cost")
+
+
+@query("SELECT u, v, round(CASE WHEN la<>0 AND lb<>0 THEN 5*max(c) OVER () WHEN la<>0 OR lb<>0 THEN 5*min(c) OVER () ELSE c END,6) AS cost FROM (SELECT u, v, ln((1-p)/p) AS c, CASE WHEN a.label IN (1,2) THEN a.label ELSE 0 END AS la, CASE WHEN b.label IN (1,2) THEN b.label ELSE 0 END AS lb FROM (SELECT *, least(greatest(mean/500, 0.001), 0.999) AS p FROM feats) JOIN lab a ON u=a.node JOIN lab b ON v=b.node)", VX, PAIRS, FEATS, NODE_LABEL)
+def edge_costs_isolate(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    feats = cheap_features(vox).withColumn("p", F.col("mean") / 500)
+    marks = node_labels(vox).where("label IN (1, 2)")
+    return rounded(voxelwise.probs_to_costs(feats, node_labels={"isolate": marks}), "cost").select("u", "v", "cost")
+
+
+@query("SELECT DISTINCT e1.v AS u, e2.v AS v FROM bi e1 JOIN bi e2 ON e1.u=e2.u WHERE e1.v<e2.v AND NOT EXISTS (SELECT 1 FROM edges WHERE edges.u=e1.v AND edges.v=e2.v)", VX, PAIRS, EDGES, "bi AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges)")
+def lifted_neighborhood_depth2(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    everyone = vox.select(F.col("ws").alias("node"), F.lit(1).alias("label")).distinct()
+    return graph.lifted_neighborhood(edges_of(vox), everyone, depth=2)
+
+
+@query("SELECT u, v, CASE WHEN a.label=b.label THEN 6.0 ELSE -6.0 END::DOUBLE AS cost FROM edges JOIN lab a ON u=a.node JOIN lab b ON v=b.node", VX, PAIRS, EDGES, NODE_LABEL)
+def lifted_costs(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return voxelwise.costs_from_node_labels(edges_of(vox), node_labels(vox)).select("u", "v", "cost")
+
+
+@query("SELECT u, v FROM edges JOIN lab a ON u=a.node JOIN lab b ON v=b.node WHERE a.label=b.label", VX, PAIRS, EDGES, NODE_LABEL)
+def clear_lifted_edges(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return filters.clear_lifted_edges(edges_of(vox), node_labels(vox)).select("u", "v")
+
+
+@query("SELECT u, v, 1.0::DOUBLE AS cost FROM edges UNION ALL SELECT u, v, -2.0::DOUBLE FROM edges", VX, PAIRS, EDGES)
+def merge_lifted_problems(spark, sf_dir):
+    edges = edges_of(raster(spark, sf_dir))
+    return graph.merge_lifted(edges.withColumn("cost", F.lit(1.0)), edges.withColumn("cost", F.lit(-2.0)))
+
+
+@query("SELECT least(wa,wb) AS u, greatest(wa,wb) AS v, bool_or(ba<>bb) AS stitch FROM pairs WHERE wa<>wb GROUP BY 1, 2", VX, PAIRS)
+def boundary_crossing_edges(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return overlaps.stitch_edges(vox, "ws", edges_of(vox))
+
+
+@query("SELECT DISTINCT ga AS a, gb AS b FROM pairs WHERE ba<>bb AND ga<>0 AND gb<>0", VX, PAIRS)
+def face_pairs(spark, sf_dir):
+    return overlaps.face_pairs(raster(spark, sf_dir), "gt")
+
+
+@query("SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY c DESC, a) AS rb FROM t) WHERE ra=1 AND rb=1 AND (c/na + c/nb)/2 > 0.3", VX, BLOCK_OV, MARG)
+def stitch_mutual_best(spark, sf_dir):
+    return overlaps.stitch_faces(_shifted_overlaps(raster(spark, sf_dir)), 0.3)
+
+
+@query("""SELECT node, dense_rank() OVER (ORDER BY root) AS label FROM (SELECT node, min(r) AS root FROM (SELECT node, node AS r FROM lab WHERE label<>0 UNION ALL SELECT x, y FROM reach) GROUP BY node)
+ UNION ALL SELECT node, 0 FROM lab WHERE label=0""", VX, PAIRS, EDGES, NODE_LABEL, "same AS (SELECT u, v FROM edges JOIN lab a ON u=a.node JOIN lab b ON v=b.node WHERE a.label=b.label AND a.label<>0)", "links AS (SELECT u AS x, v AS y FROM same UNION ALL SELECT v, u FROM same)", "reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y=l.x)", recursive=True)
+def graph_connected_components(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return graph.label_components(spark, node_labels(vox), edges_of(vox))
+
+
+@query()
+def voxel_connected_components(spark, sf_dir):
+    vox = raster(spark, sf_dir).withColumn("voxel", F.col("z") * 1000 + F.col("y") * 40 + F.col("x")).withColumn("m", (F.col("v") > 40).cast("long"))
+    return graph.voxel_components(spark, vox.select(*AXES, "m", "voxel"), "m").select(*AXES, "component")
+
+
+@query("SELECT least(a.label,b.label) AS u, greatest(a.label,b.label) AS v, round(sum(mean),4) AS cost FROM feats JOIN lab a ON u=a.node JOIN lab b ON v=b.node WHERE a.label<>b.label GROUP BY 1, 2", VX, PAIRS, FEATS, NODE_LABEL)
+def contract_graph(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    out = graph.contract(cheap_features(vox).withColumnRenamed("mean", "cost"), node_labels(vox))
+    return out.withColumn("cost", F.round("cost", 4))
+
+
+_SEG = "seg AS (SELECT DISTINCT ws AS node, CASE WHEN ws <= 16 THEN CASE WHEN ws <= 8 THEN 1 ELSE 2 END ELSE ws END AS label FROM vx)"
+
+
+@query("""SELECT node, CASE WHEN t.to IS NOT NULL THEN t.to ELSE label END AS label FROM seg LEFT JOIN (SELECT l.u, l.to FROM lonely l LEFT JOIN lonely k ON l.to = k.u WHERE k.u IS NULL OR l.u > l.to) t ON seg.label = t.u""", VX, PAIRS, EDGES, _SEG,
+ "con AS (SELECT DISTINCT least(a.label,b.label) AS u, greatest(a.label,b.label) AS v FROM edges JOIN seg a ON u=a.node JOIN seg b ON v=b.node WHERE a.label<>b.label)", "lonely AS (SELECT u, min(v) AS to FROM (SELECT u, v FROM con UNION ALL SELECT v, u FROM con) GROUP BY u HAVING count(*) = 1)")
+def orphans(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    seg = vox.select(F.col("ws").alias("node")).distinct().withColumn("label", F.when(F.col("node") <= 8, 1).when(F.col("node") <= 16, 2).otherwise(F.col("node")).cast("long"))
+    return graph.orphan_assignments(edges_of(vox), seg)
+
+
+# ---- stencils
+
+
+@query("""SELECT z, y, x, min(m) OVER (PARTITION BY y, x ORDER BY z RANGE BETWEEN 1 PRECEDING AND 0 FOLLOWING) AS v FROM (SELECT z, y, x, min(m) OVER (PARTITION BY z, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM
+ (SELECT z, y, x, min(v) OVER (PARTITION BY z, y ORDER BY x RANGE BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS m FROM vx))""", VX)
+def min_filter(spark, sf_dir):
+    return stencils.min_filter(raster(spark, sf_dir).select(*AXES, "v"), "v", (2, 5, 6))
+
+
+_G = " + ".join(f"CASE WHEN lag(v) OVER w{c} IS NOT NULL AND lead(v) OVER w{c} IS NOT NULL THEN (lead(v) OVER w{c} - lag(v) OVER w{c})/2 WHEN lead(v) OVER w{c} IS NOT NULL THEN lead(v) OVER w{c} - v WHEN lag(v) OVER w{c} IS NOT NULL THEN v - lag(v) OVER w{c} ELSE 0 END" for c in AXES)
+
+
+@query(f"SELECT z, y, x, round(({_G})/3,6) AS v FROM vx WINDOW wz AS (PARTITION BY y, x ORDER BY z), wy AS (PARTITION BY z, x ORDER BY y), wx AS (PARTITION BY z, y ORDER BY x)", VX)
+def gradient(spark, sf_dir):
+    return rounded(stencils.gradient(raster(spark, sf_dir).select(*AXES, "v"), "v"), "v")
+
+
+@query("SELECT a.vec_id, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_distance_l2(spark, sf_dir):
+    return _embedding_distance(spark, sf_dir, "l2")
+
+
+@query("SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]),6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def embedding_distance_cosine(spark, sf_dir):
+    return _embedding_distance(spark, sf_dir, "cosine")
+
+
+def _embedding_distance(spark, sf_dir, norm):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), F.col("embedding").cast("array<double>").alias("e"))
+    return stencils.embedding_distances(rows, "e", [(0, 0, 1)], norm).select(F.col("x").alias("vec_id"), F.round("v", 6).alias("d"))
+
+
+@query("SELECT c, a.z, a.y, a.x, CAST(a.gt=b.gt AND a.gt<>0 AS DOUBLE) AS v FROM vx a JOIN (SELECT CAST(0 AS BIGINT) AS c, 0 AS dy, 1 AS dx UNION ALL SELECT 1, 3, 0) o ON TRUE JOIN vx b ON b.z=a.z AND b.y=a.y+o.dy AND b.x=a.x+o.dx", VX)
+def object_affinities(spark, sf_dir):
+    return stencils.object_affinities(raster(spark, sf_dir), "gt", [(0, 0, 1), (0, 3, 0)])
+
+
+# ---- resampling and multisets
+
+_CELL = "CAST(floor(z/2) AS BIGINT) AS z, CAST(floor(y/3) AS BIGINT) AS y, CAST(floor(x/3) AS BIGINT) AS x"
+
+
+@query(f"SELECT {_CELL}, round(avg(v),6) AS v FROM vx GROUP BY 1,2,3", VX)
+def downscale_mean(spark, sf_dir):
+    return rounded(resample.downscale(raster(spark, sf_dir), "v", (2, 3, 3), "mean"), "v")
+
+
+@query(f"SELECT {_CELL}, max(v) AS v FROM vx GROUP BY 1,2,3", VX)
+def downscale_max(spark, sf_dir):
+    return resample.downscale(raster(spark, sf_dir), "v", (2, 3, 3), "max")
+
+
+@query(f"SELECT z, y, x, gt FROM (SELECT {_CELL}, gt, row_number() OVER (PARTITION BY CAST(floor(z/2) AS BIGINT), CAST(floor(y/3) AS BIGINT), CAST(floor(x/3) AS BIGINT) ORDER BY count(*) DESC, gt) AS r FROM vx GROUP BY 1,2,3,4, floor(z/2), floor(y/3), floor(x/3)) WHERE r = 1", VX)
+def downscale_mode(spark, sf_dir):
+    return resample.downscale(raster(spark, sf_dir), "gt", (2, 3, 3), "mode")
+
+
+ORACLE_SQL["downscale_mode"] = f"WITH {VX}, k AS (SELECT {_CELL}, gt, count(*) AS n FROM vx GROUP BY 1,2,3,4) SELECT z, y, x, gt FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY n DESC, gt) AS r FROM k) WHERE r = 1"
+
+
+@query("SELECT CAST(a.z*2+i AS BIGINT) AS z, CAST(a.y*2+j AS BIGINT) AS y, CAST(a.x*2+k AS BIGINT) AS x, v FROM vx a, (SELECT unnest(range(2)) AS i), (SELECT unnest(range(2)) AS j), (SELECT unnest(range(2)) AS k) WHERE a.x*2+k < 75", VX)
+def upscale_nearest(spark, sf_dir):
+    return resample.upscale(raster(spark, sf_dir), "v", 2, (1 << 40, 50, 75))
+
+
+@query("""SELECT o.z, o.y, o.x, round(COALESCE((1-f)*a.v,0) + COALESCE(f*b.v,0),6) AS v FROM (SELECT z, y, x, floor(x*0.5+1) AS q, x*0.5+1-floor(x*0.5+1) AS f FROM vx WHERE z = 0 AND y < 10) o
+ LEFT JOIN vx a ON a.z=o.z AND a.y=o.y+2 AND a.x=o.q LEFT JOIN vx b ON b.z=o.z AND b.y=o.y+2 AND b.x=o.q+1""", VX)
+def affine_linear(spark, sf_dir):
+    return rounded(resample.affine(raster(spark, sf_dir), "v", [[1, 0, 0, 0], [0, 1, 0, 2], [0, 0, 0.5, 1]], (1, 10, 40)), "v")
+
+
+_HIST = f"h AS (SELECT {_CELL}, gt AS id, count(*) AS n FROM vx GROUP BY 1,2,3,4)"
+
+
+@query("SELECT z, y, x, to_json(list({'id': id, 'count': n} ORDER BY n DESC, id)) AS hist FROM h GROUP BY z, y, x", VX, _HIST)
+def label_multiset(spark, sf_dir):
+    vox = agg.create_multiset(raster(spark, sf_dir), "gt")
+    return agg.downscale_multiset(vox, (2, 3, 3)).withColumn("hist", F.to_json("hist"))
+
+
+@query("SELECT z, y, x, to_json(list({'id': id, 'count': n} ORDER BY n DESC, id)) AS hist FROM (SELECT *, row_number() OVER (PARTITION BY z, y, x ORDER BY n DESC, id) AS r FROM h) WHERE r <= 3 GROUP BY z, y, x", VX, _HIST)
+def label_multiset_restrict(spark, sf_dir):
+    vox = agg.create_multiset(raster(spark, sf_dir), "gt")
+    return agg.downscale_multiset(vox, (2, 3, 3), 3).withColumn("hist", F.to_json("hist"))
+
+
+# ---- distances and checks
+
+
+_BLOBS = "o AS (SELECT z, y, x, CASE WHEN v > 150 THEN CAST(floor(z/2)*64 + floor(y/5)*8 + floor(x/5) AS BIGINT) + 1 ELSE 0 END AS id FROM vx)"
+
+
+@query("SELECT a.id AS a, b.id AS b, round(min(sqrt(((a.z-b.z)*2.0)**2 + (a.y-b.y)**2 + (a.x-b.x)**2)),6) AS distance FROM o a JOIN o b ON a.id < b.id AND a.id > 0 AND abs(a.z-b.z) <= 2 AND abs(a.y-b.y) <= 3 AND abs(a.x-b.x) <= 3 WHERE sqrt(((a.z-b.z)*2.0)**2 + (a.y-b.y)**2 + (a.x-b.x)**2) < 3 GROUP BY 1, 2", VX, _BLOBS)
+def object_distances(spark, sf_dir):
+    vox = raster(spark, sf_dir).withColumn("id", F.when(F.col("v") > 150, F.floor(F.col("z") / 2) * 64 + F.floor(F.col("y") / 5) * 8 + F.floor(F.col("x") / 5) + 1).otherwise(0).cast("long"))
+    return rounded(overlaps.object_distances(vox, "id", 3.0, (2.0, 1.0, 1.0)), "distance")
+
+
+@query("SELECT ws AS label, count(DISTINCT block_id) AS n_blocks FROM vx GROUP BY ws HAVING count(DISTINCT block_id) > 1", VX)
+def check_components(spark, sf_dir):
+    return checks.check_components(raster(spark, sf_dir), "ws", 1)
+
+
+@query("SELECT DISTINCT block_id FROM vx WHERE ws % 50 = 7", VX)
+def check_sub_graphs(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    stored = graph.sub_graphs(vox, "ws")[0].where("node % 50 <> 7")
+    return checks.check_sub_graphs(vox, "ws", stored)
+
+
+# ---- kernels on blocks, solvers and models: tested by brute force and invariants
+
+
+def _blocking(spark, sf_dir, block=(5, 13, 20)) -> Blocking:
+    depth = raster(spark, sf_dir).agg(F.max("z")).first()[0]
+    return Blocking(((depth or 0) + 1, 25, 40), block)
+
+
+@query()
+def watershed_blocks(spark, sf_dir):
+    return segmentation.watershed(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), halo=(1, 2, 2), size_filter=5)
+
+
+@query()
+def two_pass_watershed(spark, sf_dir):
+    return segmentation.two_pass_watershed(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), size_filter=5)
+
+
+@query()
+def watershed_from_seeds(spark, sf_dir):
+    vox = raster(spark, sf_dir).withColumn("seed", F.when((F.col("y") % 5 == 2) & (F.col("x") % 5 == 2), F.col("ws")).otherwise(0))
+    return segmentation.watershed_from_seeds(vox, "v", "seed", _blocking(spark, sf_dir))
+
+
+@query()
+def filling_size_filter(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return segmentation.filling_size_filter(vox, "ws", "v", vox.where("ws % 9 = 0").select(F.col("ws").alias("id")).distinct(), _blocking(spark, sf_dir))
+
+
+OFFSETS = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, -3, 0), (0, 0, -3)]
+
+
+def _affinities(vox: DataFrame) -> DataFrame:
+    return vox.select(F.explode(F.array(*[F.lit(c).cast("long") for c in range(len(OFFSETS))])).alias("c"), *AXES, (1 - F.col("v") / 500).alias("v"))
+
+
+@query()
+def mutex_watershed_blocks(spark, sf_dir):
+    return segmentation.mutex_watershed(_affinities(raster(spark, sf_dir)), OFFSETS, _blocking(spark, sf_dir), size_filter=0)
+
+
+@query()
+def two_pass_mutex_watershed(spark, sf_dir):
+    vox, pairs = segmentation.two_pass_mutex_watershed(_affinities(raster(spark, sf_dir)), OFFSETS, _blocking(spark, sf_dir))
+    lut = graph.merge_assignments(spark, vox.select(F.col("ws").alias("label")).distinct(), pairs)
+    return voxelwise.write_labels(vox, "ws", lut.select(F.col("node").alias("label"), F.col("label").alias("new_label"))).select(*AXES, "ws")
+
+
+@query()
+def connected_component_blocks(spark, sf_dir):
+    return segmentation.connected_components(spark, raster(spark, sf_dir), "v", _blocking(spark, sf_dir), threshold=0.2)
+
+
+@query()
+def agglomerate_blocks(spark, sf_dir):
+    return segmentation.agglomerate(raster(spark, sf_dir), "ws", "v", _blocking(spark, sf_dir), threshold=0.2)
+
+
+@query()
+def slice_agglomeration(spark, sf_dir):
+    blocking = _blocking(spark, sf_dir)
+    return segmentation.slice_agglomeration(raster(spark, sf_dir), "ws", "v", blocking.shape, blocking)
+
+
+@query()
+def image_filter_gaussian(spark, sf_dir):
+    return stencils.image_filter(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), "gaussianSmoothing", 1.0, (3, 4, 4))
+
+
+@query()
+def insert_affinities(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    return stencils.insert_affinities(_affinities(vox).where("c < 3"), vox, "ws", OFFSETS[:3], dilate_by=1)
+
+
+@query()
+def scale_to_boundaries(spark, sf_dir):
+    return stencils.scale_to_boundaries(raster(spark, sf_dir), "ws", "v", _blocking(spark, sf_dir), erode_by=2, offset=10_000, halo=(1, 2, 2))
+
+
+def _problem(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    costs = voxelwise.probs_to_costs(cheap_features(vox).withColumn("p", F.col("mean") / 150), size="size")
+    return vox, graph.sub_graphs(vox, "ws")[0], costs
+
+
+@query()
+def multicut_subproblems(spark, sf_dir):
+    _, nodes, costs = _problem(spark, sf_dir)
+    return solvers.solve_subproblems(nodes, costs)
+
+
+@query()
+def multicut_labels(spark, sf_dir):
+    vox, nodes, costs = _problem(spark, sf_dir)
+    return solvers.multicut(spark, nodes, costs, _blocking(spark, sf_dir).grid)
+
+
+@query()
+def multicut_sub_solutions(spark, sf_dir):
+    _, nodes, costs = _problem(spark, sf_dir)
+    return solvers.sub_solutions(solvers.solve_subproblems(nodes, costs), nodes, costs, spark)
+
+
+@query()
+def lifted_multicut_labels(spark, sf_dir):
+    vox, nodes, costs = _problem(spark, sf_dir)
+    labels = node_labels(vox)
+    lifted = voxelwise.costs_from_node_labels(graph.lifted_neighborhood(costs, labels, 2), labels, 0.5, -0.5)
+    return solvers.multicut(spark, nodes, costs, _blocking(spark, sf_dir).grid, lifted=lifted.select("u", "v", "cost"))
+
+
+@query()
+def reduced_problem(spark, sf_dir):
+    _, nodes, costs = _problem(spark, sf_dir)
+    return graph.reduce_problem(spark, nodes.select("node").distinct(), costs, solvers.solve_subproblems(nodes, costs))[1]
+
+
+@query()
+def stitching_multicut(spark, sf_dir):
+    vox, nodes, costs = _problem(spark, sf_dir)
+    edges = overlaps.stitch_edges(vox, "ws", costs.withColumn("mean", F.col("p")))
+    return solvers.stitching_multicut(spark, nodes.select("node").distinct(), edges)
+
+
+@query()
+def stitch_assignments(spark, sf_dir):
+    vox, _, costs = _problem(spark, sf_dir)
+    return overlaps.stitch_assignments(spark, overlaps.stitch_edges(vox, "ws", costs), 10)
+
+
+@query()
+def agglomerative_clustering(spark, sf_dir):
+    vox, nodes, costs = _problem(spark, sf_dir)
+    return solvers.agglomerative_clustering(spark, nodes, costs.select("u", "v", "mean", "size"), 65.0)
+
+
+@query()
+def graph_watershed_assignments(spark, sf_dir):
+    vox, nodes, costs = _problem(spark, sf_dir)
+    labels = nodes.select("node", F.col("node").alias("label")).distinct()
+    return solvers.graph_watershed_assignments(spark, costs, labels, labels.where("label % 3 = 0").select(F.col("label").alias("id")))
+
+
+@query()
+def region_centers(spark, sf_dir):
+    return objects.region_centers(raster(spark, sf_dir), "ws")
+
+
+@query()
+def skeletons(spark, sf_dir):
+    return objects.skeletonize(raster(spark, sf_dir), "ws")
+
+
+@query()
+def surface_meshes(spark, sf_dir):
+    return objects.meshes(raster(spark, sf_dir), "ws", size_threshold=10)
+
+
+@query()
+def rf_edge_probability(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    feats = features_of(vox)
+    labelled = voxelwise.edge_labels(feats, node_labels(vox))
+    names = ["mean", "var", "min", "max", "size"]
+    model = models.learn_forest(labelled, names, trees=20)
+    return models.predict_edges(model, feats.select("u", "v", *names)).select("u", "v", F.round("p", 6).alias("p"))
+
+
+@query()
+def block_inference(spark, sf_dir):
+    found = models.inference(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), _two_channels, {"out": (0, 2)}, (1, 2, 2), preprocess="normalize")
+    return found["out"]
+
+
+def _two_channels(data):
+    import numpy as np
+
+    return np.stack([data, 1 - data])
