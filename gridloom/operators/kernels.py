@@ -262,6 +262,8 @@ def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, stride
     rng = np.random.default_rng(seed)
     u, v, w, kind = [], [], [], []
     for c, o in enumerate(offsets):
+        if any(abs(d) >= n for d, n in zip(o, shape)):
+            continue
         a = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(o, shape))
         b = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(o, shape))
         keep = np.ones(ids[a].shape, bool)
@@ -278,7 +280,7 @@ def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, stride
         v.append(ids[b][keep])
         w.append(value if c < attractive else 1 - value)
         kind.append(np.full(keep.sum(), c < attractive))
-    u, v, w, kind = (np.concatenate(x) for x in (u, v, w, kind))
+    u, v, w, kind = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((u, int), (v, int), (w, float), (kind, bool)))
     if noise:
         w = w + rng.normal(scale=noise, size=len(w))
     union = UnionFind(ids.size)
