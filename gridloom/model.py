@@ -94,10 +94,8 @@ def lower_pairs(vox: DataFrame, columns: list[str], more: list[str] = ()) -> Dat
 
     Each voxel is written once for itself and once for each lower neighbour, and pairs meet in one shuffle.
     """
-    a = [F.col(c).alias(f"{c}_a") for c in columns]
-    own = vox.select(*AXES, *a, *more, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("axis"))
-    other = None
+    own = vox.select(*AXES, *[F.col(c).alias(f"{c}_a") for c in columns], *more)
     b = [F.col(c).alias(f"{c}_b") for c in columns]
     moves = F.array(*[F.struct(F.lit(k).alias("axis"), *[F.lit(int(k == i)).alias(c) for i, c in enumerate(AXES)]) for k in range(3)])
     other = vox.select(*AXES, *b, F.explode(moves).alias("m")).select(*[(F.col(c) - F.col(f"m.{c}")).alias(c) for c in AXES], F.col("m.axis").alias("axis"), *[f"{c}_b" for c in columns])
-    return own.join(other, [*AXES, "axis"])
+    return own.join(other, list(AXES))
