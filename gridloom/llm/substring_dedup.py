@@ -281,4 +281,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35),
+ win AS (SELECT r, s, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS g FROM starts),
+ dup AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+ gone AS (SELECT DISTINCT r, s + o AS p FROM dup, (SELECT unnest(range(35)) AS o)),
+ word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+ kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)"""
+}
