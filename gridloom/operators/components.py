@@ -1,16 +1,62 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Every round is two shuffles on the node key; links are never gathered in one task or on the driver,
-and each round's edge table is written to the shared folder, so a lost executor costs one round.
+Every round is two shuffles on the node key, after which each partition brings its own edges to stars, so that a
+graph that fits one partition needs no further round. Links are never gathered in one task or on the driver, and each
+round's edge table is written to the shared folder, so a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.plans.scratch import Scratch
 
+#: Edges that a task takes up before it brings them to a forest.
+CHUNK = 1 << 20
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For items 0..size-1 linked by (a, b): the smallest item of each one's component."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[a], label[b])
+        if (label[a] == label[b]).all():
+            return label
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """``(a, b)`` with each partition's edges replaced by stars of its components: no more than its nodes."""
+
+    def run(batches):
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def settle():
+            nonlocal a, b
+            ends = np.concatenate([np.stack([a, b])] + [np.stack(w) for w in waiting], axis=1)
+            waiting.clear()
+            ids, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(ends.shape)
+            root = ids[least_labels(at[0], at[1], len(ids))]
+            a, b = ids[root != ids], root[root != ids]
+
+        for batch in batches:
+            waiting.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(w[0]) for w in waiting) >= CHUNK:
+                settle()
+        settle()
+        for at in range(0, len(a), CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + CHUNK]), pa.array(b[at : at + CHUNK])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
 
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(
@@ -30,7 +76,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v:
     scratch = Scratch(spark, "components")
     ends = edges.select(F.col(u).cast("long").alias("x"), F.col(v).cast("long").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     nodes_alone = ends.where("x = y").select(F.col("x").alias("node")).distinct()
-    table = scratch.save(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "e0")
+    table = scratch.save(local_stars(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), "e0")
     seen, name = _signature(table), "e0"
     for turn in range(1, max_rounds + 1):
         if seen[0] == 0:
@@ -42,7 +88,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v:
         # small star: a node and its smaller neighbours link to the smallest of them
         least = star.groupBy("a").agg(F.min("b").alias("m"))
         pulled = star.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        table = scratch.save(pulled.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"e{turn}")
+        table = scratch.save(local_stars(pulled.unionByName(least.select("a", F.col("m").alias("b"))).distinct()), f"e{turn}")
         now = _signature(table)
         scratch.drop(name)
         name = f"e{turn}"
