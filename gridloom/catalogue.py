@@ -98,9 +98,9 @@ def stack_predictions(spark, sf_dir):
     return rounded(voxelwise.stack_predictions(vox.select(*AXES, "v"), pred), "v")
 
 
-@query("SELECT z, y, x, COALESCE(n_regionkey + 50, gt) AS gt FROM vx LEFT JOIN nation ON gt = n_nationkey AND n_nationkey < 6", VX)
+@query("SELECT z, y, x, COALESCE(r_regionkey + 50, gt) AS gt FROM vx LEFT JOIN region ON gt = r_regionkey", VX)
 def write_assignments(spark, sf_dir):
-    lut = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("label"), (F.col("n_regionkey") + 50).cast("long").alias("new_label"))
+    lut = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("label"), (F.col("r_regionkey") + 50).cast("long").alias("new_label"))
     return voxelwise.write_labels(raster(spark, sf_dir), "gt", lut, allow_missing=True).select(*AXES, "gt")
 
 
@@ -206,7 +206,7 @@ def background_size_filter(spark, sf_dir):
 @query("SELECT DISTINCT ws AS label FROM vx", VX)
 def unique_labels(spark, sf_dir):
     vox = raster(spark, sf_dir)
-    return relabel.merge_uniques(relabel.uniques(vox.where("block_id % 2 = 0"), "ws"), relabel.uniques(vox.where("block_id % 2 = 1"), "ws"))
+    return relabel.merge_uniques(relabel.uniques(vox.where("y < 13"), "ws"), relabel.uniques(vox.where("y >= 13"), "ws"))
 
 
 @query("SELECT ws AS label, count(*) AS count FROM vx GROUP BY ws", VX)
@@ -530,10 +530,10 @@ def upscale_nearest(spark, sf_dir):
     return resample.upscale(raster(spark, sf_dir), "v", 2, (1 << 40, 50, 75))
 
 
-@query("""SELECT o.z, o.y, o.x, round(COALESCE((1-f)*a.v,0) + COALESCE(f*b.v,0),6) AS v FROM (SELECT z, y, x, floor(x*0.5+1) AS q, x*0.5+1-floor(x*0.5+1) AS f FROM vx WHERE z = 0 AND y < 10) o
+@query("""SELECT o.z, o.y, o.x, round(COALESCE((1-f)*a.v,0) + COALESCE(f*b.v,0),6) AS v FROM (SELECT z, y, x, floor(x*0.5+1) AS q, x*0.5+1-floor(x*0.5+1) AS f FROM vx) o
  LEFT JOIN vx a ON a.z=o.z AND a.y=o.y+2 AND a.x=o.q LEFT JOIN vx b ON b.z=o.z AND b.y=o.y+2 AND b.x=o.q+1""", VX)
 def affine_linear(spark, sf_dir):
-    return rounded(resample.affine(raster(spark, sf_dir), "v", [[1, 0, 0, 0], [0, 1, 0, 2], [0, 0, 0.5, 1]], (1, 10, 40)), "v")
+    return rounded(resample.affine(raster(spark, sf_dir), "v", [[1, 0, 0, 0], [0, 1, 0, 2], [0, 0, 0.5, 1]], _blocking(spark, sf_dir).shape), "v")
 
 
 _HIST = f"h AS (SELECT {_CELL}, gt AS id, count(*) AS n FROM vx GROUP BY 1,2,3,4)"
@@ -568,11 +568,11 @@ def check_components(spark, sf_dir):
     return checks.check_components(raster(spark, sf_dir), "ws", 1)
 
 
-@query("SELECT DISTINCT block_id FROM vx WHERE ws % 50 = 7", VX)
+@query("SELECT DISTINCT block_id FROM vx WHERE gt = 0", VX)
 def check_sub_graphs(spark, sf_dir):
+    """Graphs stored without the ignore label, against all labels: blocks that hold it differ."""
     vox = raster(spark, sf_dir)
-    stored = graph.sub_graphs(vox, "ws")[0].where("node % 50 <> 7")
-    return checks.check_sub_graphs(vox, "ws", stored)
+    return checks.check_sub_graphs(vox, "gt", graph.sub_graphs(vox, "gt")[0])
 
 
 # ---- kernels on blocks, solvers and models: tested by brute force and invariants
@@ -602,7 +602,8 @@ def watershed_from_seeds(spark, sf_dir):
 @query()
 def filling_size_filter(spark, sf_dir):
     vox = raster(spark, sf_dir)
-    return segmentation.filling_size_filter(vox, "ws", "v", vox.where("ws % 9 = 0").select(F.col("ws").alias("id")).distinct(), _blocking(spark, sf_dir))
+    sizes = vox.groupBy(F.col("gt").alias("id")).count()
+    return segmentation.filling_size_filter(vox, "gt", "v", agg.size_filter(sizes, target_number=5), _blocking(spark, sf_dir))
 
 
 OFFSETS = [(-1, 0, 0), (0, -1, 0), (0, 0, -1), (0, -3, 0), (0, 0, -3)]
@@ -716,8 +717,9 @@ def agglomerative_clustering(spark, sf_dir):
 @query()
 def graph_watershed_assignments(spark, sf_dir):
     vox, nodes, costs = _problem(spark, sf_dir)
-    labels = nodes.select("node", F.col("node").alias("label")).distinct()
-    return solvers.graph_watershed_assignments(spark, costs, labels, labels.where("label % 3 = 0").select(F.col("label").alias("id")))
+    labels = node_labels(vox)
+    discard = agg.size_filter(labels.groupBy(F.col("label").alias("id")).count(), target_number=5)
+    return solvers.graph_watershed_assignments(spark, costs, labels, discard)
 
 
 @query()
