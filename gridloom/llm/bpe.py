@@ -24,8 +24,9 @@ from pyspark.sql.types import BinaryType, StructField
 
 from gridloom.llm.common import read_table, texts, with_columns
 
-#: Pieces remembered by a Python worker; at this many the memory is emptied and filled anew.
-CACHE_PIECES = 400_000
+#: Entries of a Python worker's memories (100 to 200 bytes each): of stretches of text, of pieces and stems, of pairs.
+#: At this many a memory is emptied and filled anew.
+CACHE_STRETCHES, CACHE_PIECES, CACHE_PAIRS = 400_000, 150_000, 300_000
 #: Longer pieces are encoded each time they occur, so that the memory stays small.
 CACHE_BYTES = 64
 #: Prefixes of pieces are remembered at multiples of so many bytes.
@@ -50,7 +51,7 @@ class Vocabulary:
             self.reach[token[-3:]] = max(len(token), self.reach.get(token[-3:], 0))
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.judged: dict[tuple[int, int], bool] = {}
+        self.judged: dict[int, bool] = {}
         for token, own in ranks.items():
             if len(token) > 1:
                 left, right = self._last_merge(token, own)
@@ -73,11 +74,11 @@ class Vocabulary:
         return self.rank.get(parts[0]), self.rank.get(parts[1])
 
     def stable(self, left: int, right: int) -> bool:
-        """Whether BPE of the two tokens' bytes is the two tokens; remembered for up to ``CACHE_PIECES`` pairs."""
-        pair = left, right
+        """Whether BPE of the two tokens' bytes is the two tokens; remembered for up to ``CACHE_PAIRS`` pairs."""
+        pair = left << 32 | right
         known = self.judged.get(pair)
         if known is None:
-            if len(self.judged) >= CACHE_PIECES:
+            if len(self.judged) >= CACHE_PAIRS:
                 self.judged.clear()
             known = self.judged[pair] = self._stable(left, right)
         return known
@@ -132,7 +133,7 @@ class PrefixEncoder:
                         last.append(token)
                         break
                 else:
-                    fits = judged((last[start - 1], token))
+                    fits = judged(last[start - 1] << 32 | token)
                     if fits is None:
                         fits = stable(last[start - 1], token)
                     if fits:
@@ -216,7 +217,7 @@ class TextEncoder:
         if ids is None:
             ids = self._matches(" " + stretch)
             if len(stretch) <= CACHE_BYTES:
-                if len(self.stretches) >= CACHE_PIECES:
+                if len(self.stretches) >= CACHE_STRETCHES:
                     self.stretches.clear()
                 self.stretches[stretch] = ids
         return ids
@@ -235,8 +236,7 @@ class TextEncoder:
             return b"".join([self._matches(first), *[self._stretch(s) for s in rest]])
 
 
-def decode_ids(vocabulary: Vocabulary, ids: bytes) -> bytes:
-    token = vocabulary.bytes
+def decode_ids(token: dict[int, bytes], ids: bytes) -> bytes:
     return b"".join([token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
 
@@ -258,8 +258,11 @@ def encode(df: DataFrame, vocabulary, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, vocabulary, ids: str = "ids", out: str = "decoded", drop: Iterable[str] = ()) -> DataFrame:
     """``df`` with ``out``: the bytes of the tokens in ``ids`` (binary; null ids give empty bytes)."""
 
+    # the tokens alone, of the size of the vocabulary's file
+    tokens = df.sparkSession.sparkContext.broadcast(vocabulary.value.bytes)
+
     def make():
-        own = vocabulary.value
+        own = tokens.value
 
         def run(batch):
             values = batch.column(batch.schema.get_field_index(ids)).to_pylist()
@@ -293,9 +296,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = _shared(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    own = docs.select("doc_id", "lang", "source", "text")
-    done = decode(encode(own, vocabulary, public_tokenizers.PATTERN), vocabulary)
-    exact = F.coalesce("text", F.lit("")).cast("binary") == F.col("decoded")
+    own = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
+    done = decode(encode(own, vocabulary, public_tokenizers.PATTERN, drop=["text"]), vocabulary)
+    exact = F.sha2("decoded", 256) == F.col("_sha")
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 
 
