@@ -177,8 +177,10 @@ def region_features(spark, sf_dir):
 
 @query("SELECT r.id, CAST(COALESCE(size,0) AS BIGINT) AS size, " + ", ".join(f"round(COALESCE(com_{c},0),6) AS com_{c}, COALESCE(bbmin_{c},0) AS bbmin_{c}, COALESCE(bbmax_{c},0) AS bbmax_{c}" for c in AXES) + " FROM (SELECT unnest(range(60)) AS id) r LEFT JOIN (SELECT ws AS id, count(*) AS size, " + ", ".join(f"avg({c}) AS com_{c}, min({c}) AS bbmin_{c}, max({c}) AS bbmax_{c}" for c in AXES) + " FROM vx GROUP BY ws) m ON r.id = m.id", VX)
 def morphology(spark, sf_dir):
-    parts = agg.morphology(raster(spark, sf_dir), "ws", by_block=True)
-    return rounded(agg.merge_morphology(parts, 60), "com_z", "com_y", "com_x")
+    # a row for every label of the table; the SQL stops at id 59, and where a table has fewer labels pads with zeros up to there
+    vox = raster(spark, sf_dir)
+    labels = (vox.agg(F.max("ws")).first()[0] or 0) + 1
+    return rounded(agg.merge_morphology(agg.morphology(vox, "ws", by_block=True), max(60, labels)), "com_z", "com_y", "com_x")
 
 
 @query("SELECT l_suppkey AS id FROM lineitem GROUP BY l_suppkey HAVING count(*) < 600")

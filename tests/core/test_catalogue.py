@@ -36,6 +36,18 @@ def test_same_as_sql(spark, sf, duck, name):
     assert got == want
 
 
+def test_morphology_reports_every_label(spark):
+    wide = "/root/testdata/sf0.01"
+    got = {r.id: r for r in catalogue.QUERIES["morphology"](spark, wide).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{wide}/events.parquet'")
+    want = con.execute(f"WITH {catalogue.VX} SELECT ws, count(*), round(avg(z), 6), round(avg(y), 6), round(avg(x), 6), min(z), max(x) FROM vx GROUP BY ws").fetchall()
+    assert len(want) == 200 and set(got) == {0} | {w[0] for w in want}
+    for ws, *rest in want:
+        r = got[ws]
+        assert [r.size, r.com_z, r.com_y, r.com_x, r.bbmin_z, r.bbmax_x] == pytest.approx(rest)
+
+
 def test_names_are_paired():
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES)
 
