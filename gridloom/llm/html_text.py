@@ -2,9 +2,9 @@
 
 The standard library's parser sends its events to a collector that cuts the page into lines (one for each block
 element's run of text) and counts each line's characters and tags. The ratios, smoothed by a Gaussian over the
-lines, are clustered by a threshold into content and the rest; the region of the page (article, main or another
-sectioning element) that holds most content text is selected with all its lines in page order, so that a short
-paragraph inside an article is not lost. Elements that by name, role or class are never part of an article
+lines, are clustered by a threshold into content and the rest; the innermost region of the page (article, main or
+another sectioning element) that holds all content lines is selected with all its lines in page order, so that a short
+paragraph inside an article is not lost; paragraphs and headings outside it are kept too, unless they are mostly links. Elements that by name, role or class are never part of an article
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) make no lines.
 
 A null or empty page gives an empty text. Pages are independent: repeated rows give repeated results, an empty
@@ -29,6 +29,8 @@ BLOCKS = frozenset(
 )
 NEVER = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object svg canvas menu dialog audio video title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Blocks whose text is kept outside the selected region too, unless most of it is links.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 REGIONS = ("article", "main", "section", "div", "body", "html")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Parts of class and id names that mark boilerplate, between word borders, hyphens and underscores.
@@ -44,7 +46,7 @@ SPACE = re.compile(r"[\s\x00]+")
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, region)`` for each run of text between block borders, from whole or cut pages."""
+    """Collects ``(text, tags, region, whether a paragraph or heading that isn't mostly links)`` for each run of text between block borders, from whole or cut pages."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -52,7 +54,8 @@ class Lines(HTMLParser):
         self.hidden = 0
         self.region: list[int] = [0]
         self.regions: list[tuple[str, int]] = [("html", -1)]  # name, parent
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
+        self.anchors = self.linked = 0
         self.text: list[str] = []
         self.tags = 0
 
@@ -60,9 +63,10 @@ class Lines(HTMLParser):
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             if line:
-                self.lines.append((line, self.tags, self.region[-1]))
+                block = next((name for name, _ in reversed(self.open) if name in BLOCKS), "")
+                self.lines.append((line, self.tags, self.region[-1], block in PROSE and 2 * self.linked < len(line)))
                 self.tags = 0
-            self.text = []
+            self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -77,6 +81,7 @@ class Lines(HTMLParser):
         hides = tag in NEVER or self.marked(tag, attrs)
         self.open.append((tag, hides))
         self.hidden += hides
+        self.anchors += tag == "a"
         if tag in REGIONS:
             self.regions.append((tag, self.region[-1]))
             self.region.append(len(self.regions) - 1)
@@ -111,6 +116,7 @@ class Lines(HTMLParser):
     def pop(self, depth: int) -> None:
         for name, hides in self.open[depth:]:
             self.hidden -= hides
+            self.anchors -= name == "a"
             if name in REGIONS:
                 self.region.pop()
         del self.open[depth:]
@@ -131,6 +137,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.hidden:
             self.text.append(data)
+            self.linked += len(data.strip()) if self.anchors else 0
 
     def finish(self) -> None:
         self.close()
@@ -166,23 +173,19 @@ def main_text(html: str) -> str:
     lines.finish()
     if not lines.lines:
         return ""
-    ratios = np.array([len(t) / max(1, tags) for t, tags, _ in lines.lines], float)
+    ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in lines.lines], float)
     content = content_lines(ratios)
     weight = [0] * len(lines.regions)
-    for (text, _, region), is_content in zip(lines.lines, content):
+    for (text, _, region, _), is_content in zip(lines.lines, content):
         while is_content and region >= 0:
             weight[region] += len(text)
             region = lines.regions[region][1]
-    total = weight[0]
-    # articles and main first, for what they hold; else the innermost region with most of the content
-    best = [k for k, (name, _) in enumerate(lines.regions) if name in ("article", "main") and weight[k] and 2 * weight[k] >= total]
-    if not best:
-        best = [k for k in range(len(weight)) if 10 * weight[k] >= 9 * total]
-    pick = max(best)
+    # the innermost region that holds all content lines
+    pick = max((k for k in range(len(weight)) if weight[k] == weight[0]), default=0)
     inside = [k == pick for k in range(len(weight))]
     for k in range(pick + 1, len(weight)):
         inside[k] = inside[lines.regions[k][1]]
-    return "\n\n".join(text for text, _, region in lines.lines if inside[region])
+    return "\n\n".join(text for text, _, region, prose in lines.lines if prose or inside[region])
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -29,6 +29,17 @@ def test_page_without_article_tag():
     assert len(ht.main_text(page).split("\n\n")) == 7
 
 
+def test_nothing_beside_the_largest_region_is_lost():
+    long = "".join(f"<p>Paragraph {i} with a good number of words so that it is content.</p>" for i in range(12))
+    close = "A closing paragraph of words that belongs to the post as well as the rest."
+    post = ht.main_text(f"<body><div class=post><h1>Title</h1><div class=entry>{long}</div><p>{close}</p></div></body>").split("\n\n")
+    assert post[0] == "Title" and post[-1] == close and len(post) == 14
+    lead = ht.main_text(f"<body><main><p>{close}</p><article>{long}</article></main></body>").split("\n\n")
+    assert lead[0] == close and len(lead) == 13
+    two = ht.main_text(f"<body><main><article>{long}</article><article><p>{close}</p></article></main></body>").split("\n\n")
+    assert two[-1] == close and len(two) == 13
+
+
 def test_frames(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as extra")
