@@ -54,3 +54,38 @@ def test_frames(spark, reference):
         want.append((i or 0, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.roundtrip(spark, docs.limit(0)).count() == 0
+
+
+def test_many_and_very_long_texts_together(vocabulary, reference):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeéßн漢") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]
+    some = [" ".join(rng.choices(words, k=rng.randrange(1, 400))) for _ in range(60)]
+    some += ["x" * 30_000, "ab" * 40_000 + " end", ("word " * 50_000).strip(), "\n\n".join(words) + "  two", "a\nb \nc"]
+    encoder = bpe.TextEncoder(vocabulary, P.PATTERN)
+    for part in (some[:40], some[20:], some):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(part)] == [reference(t) for t in part]
+
+
+def test_memories_are_emptied(vocabulary, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_STRETCHES", 20)
+    monkeypatch.setattr(bpe, "CACHE_MATCHES", 3)
+    encoder = bpe.TextEncoder(vocabulary, P.PATTERN)
+    for text in [*odd_texts()[:60], *(f"qz{k}zq wq{k % 7}wq" for k in range(60))]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference(text)
+        assert len(encoder.stretches) <= 20 and len(encoder.matches) <= 3
+
+
+def test_prefixes_together_are_those_of_one(vocabulary):
+    rng = random.Random(4)
+    pieces = [bytes(rng.choices(b" theandingrsaxQ\xc3\xa9", k=rng.randrange(1, 40))) for _ in range(500)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in vocabulary.tables.encode(pieces)] == [bpe.PrefixEncoder(vocabulary, p).tokens() for p in pieces]
+
+
+def test_a_token_that_no_merge_makes():
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"xyz": 257}
+    own = bpe.Vocabulary(ranks)
+    assert own.unreached == {b"xyz"}
+    encoder = bpe.TextEncoder(own, P.PATTERN)
+    library = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    for text in ("xyz", "xyzab", "ab xyz", "abab"):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library(text)
