@@ -74,9 +74,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, u: str = "u", v:
     own component); repeated and reversed links count once; an empty table gives an empty result.
     """
     scratch = Scratch(spark, "components")
-    ends = edges.select(F.col(u).cast("long").alias("x"), F.col(v).cast("long").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    # written once: whatever makes the edges runs a single time
+    ends = scratch.save(edges.select(F.col(u).cast("long").alias("x"), F.col(v).cast("long").alias("y")).where("x IS NOT NULL AND y IS NOT NULL"), "ends")
     nodes_alone = ends.where("x = y").select(F.col("x").alias("node")).distinct()
-    table = scratch.save(local_stars(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()), "e0")
+    table = scratch.save(local_stars(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), "e0")
     seen, name = _signature(table), "e0"
     for turn in range(1, max_rounds + 1):
         if seen[0] == 0:
