@@ -8,6 +8,7 @@ run of its neighbourhood by exclusive-or and bit counts, and only links that spa
 Equal fingerprints are one item, so copies make no pairs. A null text counts as one without words: its
 fingerprint is zero, linked like any other. Rows without an id get the component of their fingerprint (null if
 no row of that component has an id). Rows that repeat an id each get a result row. Other columns are ignored.
+``representatives`` keeps one row of each group, whether ids are null or repeated; its other columns ride along.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
@@ -53,12 +54,12 @@ def text_fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprint(df: DataFrame, text: str = "text", out: str = "fp", drop: tuple[str, ...] = ()) -> DataFrame:
+def fingerprint(df: DataFrame, text: str = "text", out: str = "fp", drop: tuple[str, ...] = (), width: int = SHINGLE) -> DataFrame:
     """``df`` with ``out``: the fingerprint as a signed 64-bit integer."""
 
     def make():
         def run(batch):
-            values = np.fromiter((text_fingerprint(t) for t in texts(batch, text)), np.uint64, batch.num_rows)
+            values = np.fromiter((text_fingerprint(t, width) for t in texts(batch, text)), np.uint64, batch.num_rows)
             return [pa.array(values.view(np.int64))]
 
         return run
@@ -123,34 +124,47 @@ def links(spark: SparkSession, items: DataFrame, radius: int = RADIUS) -> DataFr
 
 
 def components(spark: SparkSession, prints: DataFrame, id: str = "doc_id", fp: str = "fp", radius: int = RADIUS) -> DataFrame:
-    """``(fp, component)`` for every fingerprint of ``prints``: the smallest id reachable by links."""
+    """``(fp, component, root)`` for every fingerprint of ``prints``: the smallest id reachable by links, and a fingerprint that names the group."""
     scratch = Scratch(spark, "simhash")
     # a fingerprint is known by itself in the graph, so that rows without an id take part
     items = scratch.save(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(id).alias("first")), "items")
     found = connected_components(spark, links(spark, items.select(F.col("fp").alias("id"), "fp"), radius))
     rooted = items.join(found, items.fp == found.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    return rooted.join(least, "root").select("fp", "component", "root")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, fp, component_id)`` for every row of ``docs``."""
+def _key(id: str, text: str) -> list[Column]:
+    """What tells rows apart: the id (null: empty) and a hash of the text."""
+    return [F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_i"), F.xxhash64(F.col(text).isNull(), F.col(text)).alias("_h")]
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``(id, fp, component_id, root, _i, _h)`` for every row of ``docs``; ``root`` names the group, ``_i`` and ``_h`` the row."""
     scratch = Scratch(spark, "fingerprints")
-    prints = scratch.save(fingerprint(docs.select(id, text), text, "fp", drop=(text,)), "prints")
-    return prints.join(components(spark, prints, id), "fp").select(id, "fp", F.col("component").alias("component_id"))
+    prints = scratch.save(fingerprint(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *_key(id, text)), "_text", "fp", ("_text",), width), "prints")
+    return prints.join(components(spark, prints, "_id", radius=radius), "fp").select(F.col("_id").alias(id), "fp", F.col("component").alias("component_id"), "root", "_i", "_h")
+
+
+def representatives(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of ``docs``: the one with the smallest id (null after all others), of these the smallest hash."""
+    found = near_duplicates(spark, docs, id, text, width, radius)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id).isNull().alias("none"), F.col(id).alias("id"), "_i", "_h")).alias("f"))
+    # merged at every size: the kept rows grow with the corpus
+    kept = first.select("f._i", "f._h").hint("merge")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *_key(id, text)).join(kept, ["_i", "_h"], "left_semi")
+    # copies of the kept row itself, with its id, are one row too; the join has sorted them
+    return rows.groupBy("_i", "_h").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(spark, read_table(spark, sf_dir, "documents"))
+    found = near_duplicates(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one with the smallest id; rows that repeat it stay too."""
-    found = near_duplicates(spark, docs)
-    kept = found.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    # merged at every size: the kept ids grow with the corpus
-    return docs.join(kept.hint("merge"), docs.doc_id.eqNullSafe(kept._kept), "left_semi")
+    """Pipeline: one document of each group stays, the one with the smallest id."""
+    return representatives(spark, docs)
 
 
 QUERIES = {"op7_simhash": op7_simhash}

@@ -77,3 +77,26 @@ def test_links_of_close_prints(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(spark, docs).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"word{i}" for i in range(300))
+    rows = [(5, long, "x"), (9, long, "y"), (5, long, "z"), (5, "another text altogether", "x"), (None, "no id here", "a"), (None, "no id here", "b"), (None, None, "c"), (3, "", "d"), (None, "alone", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _h2 string").withColumnRenamed("_h2", "component")
+    got = sorted((r.doc_id or 0, r.text or "", r.component or "") for r in simhash.representatives(spark, docs).collect())
+    assert got == sorted([(5, long, "x"), (5, "another text altogether", "x"), (0, "no id here", "a"), (3, "", "d"), (0, "alone", "")])
+
+
+def test_width_and_radius(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "other", *words[101:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
+    apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, docs, radius=0).collect()}
+    assert apart == {1: 1, 2: 2}
+    found = simhash.near_duplicates(spark, docs, width=5, radius=12).collect()
+    assert {r.component_id for r in found} == {1}
+
+
+def test_very_long_text():
+    text = " ".join(f"w{i % 977} v{i % 31}" for i in range(60_000))
+    assert simhash.text_fingerprint(text.encode()) == plain(text)
