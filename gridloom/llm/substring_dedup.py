@@ -2,22 +2,27 @@
 
 A window is ``WINDOW`` consecutive words. The index keeps, of every window, the fingerprint of its anchor: the
 run of ``GRAM`` words in it with the least hash, which equal windows share and neighbouring windows mostly have in
-common, so that one word in a dozen has an entry. A new batch's anchors are sorted into a run, merge-joined with
-themselves and the sorted immutable runs of earlier batches, and become a run; when runs are many they are
-compacted into one. Anchors met twice are candidates only: their windows are verified by a 96-bit digest of all
-their words, and a word is removed if a verified window covers it.
+common, so that one word in a dozen has an entry. A new batch's anchors become a sorted run, one row for each
+fingerprint, which is merge-joined with the sorted immutable runs of earlier batches; when runs are many they are
+compacted into one. A fingerprint met once keeps its place, one met again only the mark that it was: all its places
+were handed out as candidates then. Candidates' windows are verified by a 96-bit digest of all their words, and a
+word is removed if a verified window covers it.
+
+The index lives in a folder: runs, candidates and a manifest that names them, renamed into place after each batch, so
+that a batch that fails leaves the index as it was. ``FingerprintIndex.open`` goes on with it in another session.
 
 Equal texts are one text: all windows of a text that occurs twice are repeated. Runs are bucketed and sorted by
-fingerprint, so that a merge-join moves the new batch and nothing of the history. Windows of one digest are told
-apart in a sorted stream, so that a passage in a third of all documents needs no more memory than any other.
+fingerprint, so that a merge-join moves the new batch and nothing of the history. A fingerprint or window in a third
+of all documents is added up by each task before it is shuffled: what the task has seen twice goes out as settled, to
+any partition, and one row in its place to those who ask.
 
 A null text has no words. Rows that repeat an id are documents like any other. An empty table gives an empty one;
-other columns are ignored. Texts are known by a 64-bit hash.
+other columns are ignored. Texts are known by 128 bits of two independent hashes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -26,11 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import read_table, slices, texts
-from gridloom.plans.scratch import Scratch, freed_shuffles
+from gridloom.plans.scratch import Scratch, freed_shuffles, shared_dir
 
 WINDOW, GRAM = 35, 10
 BATCHES, MOST_RUNS = 3, 2
 CACHE_WORDS = 500_000
+#: Windows that a task holds to find those it has twice, and repeated ones that it knows of (about 100 and 12 bytes each).
+HELD, KNOWN = 1 << 18, 1 << 18
+TEXT_KEY = ("tk", "tl")
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers
 
 
@@ -90,151 +98,253 @@ class Hasher:
 
 
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(id, text, tk)``: the text as bytes, empty for null, and its key."""
+    """``(id, text, tk, tl)``: the text, empty for null, and its key."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id), body.alias("text"), F.xxhash64(body).alias("tk"))
+    return docs.select(F.col(id), body.alias("text"), F.xxhash64(body).alias("tk"), F.xxhash64(F.lit(1), body).alias("tl"))
 
 
 def anchors_of(body: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(h, tk, pos)``: the anchors of all windows of ``body(text, tk)``."""
+    """``(h, tk, tl, pos)``: the anchors of all windows of ``body(text, tk, tl)``."""
 
     def run(batches):
         hasher = Hasher(window, gram)
         for whole in batches:
             for batch in slices(whole):
-                hs, keys, places = [], [], []
-                for t, k in zip(texts(batch, "text"), batch.column(1).to_pylist()):
+                hs, rows, places = [], [], []
+                for k, t in enumerate(texts(batch, "text")):
                     words = t.split()
                     if len(words) >= window:
                         grams, at = hasher.anchors(hasher.words(words))
                         at = at[np.concatenate([[True], at[1:] != at[:-1]])]
                         hs.append(grams[at])
                         places.append(at)
-                        keys.append(np.full(len(at), k, np.int64))
+                        rows.append(np.full(len(at), k))
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "tk", "pos"])
+                    pick = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "tk", "tl", "pos"])
 
-    return body.select("text", "tk").mapInArrow(run, "h long, tk long, pos int")
+    return body.select("text", *TEXT_KEY).mapInArrow(run, "h long, tk long, tl long, pos int")
 
 
 class FingerprintIndex:
-    """Runs of ``(h, tk, pos)``, each a table bucketed and sorted by ``h``."""
+    """Runs of ``(h, tk, tl, pos, many)``, each a table bucketed and sorted by ``h`` with one row for each ``h``."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, most_runs: int = MOST_RUNS):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None, most_runs: int = MOST_RUNS, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.root = spark, root or f"{shared_dir(spark).rstrip('/')}/fingerprints-{uuid.uuid4().hex}"
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.most_runs = most_runs
+        self.most_runs, self.window, self.gram = most_runs, window, gram
         self.runs: list[str] = []
+        self.candidates: list[str] = []
+        self.turn = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index that an earlier session has left in ``root``."""
+        fs, pattern = cls(spark, root)._files(f"{root}/manifest-*.json")
+        path = max(str(f.getPath().toString()) for f in fs.globStatus(pattern))
+        kept = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+        index = cls(spark, root, kept["buckets"], kept["most_runs"], kept["window"], kept["gram"])
+        index.runs, index.candidates, index.turn = kept["runs"], kept["candidates"], kept["turn"]
+        for name in index.runs:
+            if not spark.catalog.tableExists(name):
+                spark.sql(f"CREATE TABLE {name} (h BIGINT, tk BIGINT, tl BIGINT, pos INT, many BOOLEAN) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{root}/{name}'")
+        return index
+
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _commit(self, runs: list[str], candidates: list[str]) -> None:
+        """A new manifest in one step: written under another name, then renamed; the highest number counts."""
+        turn = self.turn + 1
+        kept = {"turn": turn, "buckets": self.buckets, "most_runs": self.most_runs, "window": self.window, "gram": self.gram, "runs": runs, "candidates": candidates}
+        fs, new = self._files(f"{self.root}/.new-{uuid.uuid4().hex}")
+        out = fs.create(new)
+        out.write(bytearray(json.dumps(kept).encode()))
+        out.close()
+        _, place = self._files(f"{self.root}/manifest-{turn:09d}.json")
+        if not fs.rename(new, place):
+            raise OSError(f"can't rename the manifest in {self.root}")
+        self.runs, self.candidates, self.turn = runs, candidates, turn
+
+    def _delete(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        fs, path = self._files(f"{self.root}/{name}")
+        fs.delete(path, True)
 
     def _write(self, rows: DataFrame) -> str:
+        """``rows(h, t0, t1, l0, l1, p0, p1, many)`` as a run: what is least and greatest of a fingerprint's places tells one from many."""
         name = f"gridloom_run_{uuid.uuid4().hex}"
+        least = rows.groupBy("h").agg(*[F.min(c).alias(c) for c in ("t0", "l0", "p0")], *[F.max(c).alias(c) for c in ("t1", "l1", "p1", "many")])
+        run = least.select("h", F.col("t0").alias("tk"), F.col("l0").alias("tl"), F.col("p0").alias("pos"), F.expr("many OR t0 <> t1 OR l0 <> l1 OR p0 <> p1").alias("many"))
         with freed_shuffles(self.spark):
-            rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").saveAsTable(name)
+            run.write.bucketBy(self.buckets, "h").sortBy("h").option("compression", "zstd").option("path", f"{self.root}/{name}").saveAsTable(name)
         return name
 
-    def history(self) -> DataFrame | None:
-        out = None
-        for name in self.runs:
-            run = self.spark.table(name)
-            out = run if out is None else out.unionByName(run)
-        return out
+    @staticmethod
+    def _places(rows: DataFrame, many: str = "false") -> DataFrame:
+        twice = [F.col(c).alias(f"{short}{k}") for c, short in (("tk", "t"), ("tl", "l"), ("pos", "p")) for k in (0, 1)]
+        return rows.select("h", *twice, F.expr(many).alias("many"))
 
-    def add(self, batch: DataFrame, scratch: Scratch) -> DataFrame:
-        """Index a batch; the entries, new and old, whose fingerprint this batch has repeated: ``(tk, pos)``."""
-        name = self._write(batch)
+    def add(self, batch: DataFrame) -> None:
+        """Index a batch of ``(h, tk, tl, pos)``. Places, new and old, whose fingerprint is now repeated become candidates."""
+        name = self._write(self._places(batch))
         new = self.spark.table(name)
-        # met again within the batch: two entries that are not of equal texts at one place
-        again = new.groupBy("h").agg(F.min("tk").alias("t1"), F.max("tk").alias("t2"), F.min("pos").alias("p1"), F.max("pos").alias("p2")).where("t1 <> t2 OR p1 <> p2").select("h")
-        found = new.join(again.hint("merge"), "h", "left_semi").select("tk", "pos")
+        own, places = new.where("many").select("h"), None
         for run in self.runs:
             old = self.spark.table(run)
-            found = found.unionByName(new.join(old.select("h").hint("merge"), "h", "left_semi").select("tk", "pos"))
-            found = found.unionByName(old.join(new.select("h").hint("merge"), "h", "left_semi").select("tk", "pos"))
-        found = scratch.save(found.distinct(), f"found{uuid.uuid4().hex}")
-        self.runs.append(name)
+            met = new.select("h").join(old.hint("merge"), "h")
+            own = own.unionByName(met.select("h"))
+            # places of fingerprints met once so far
+            once = met.where("NOT many").select(*TEXT_KEY, "pos")
+            places = once if places is None else places.unionByName(once)
+        # shuffled, not bucketed, so that Spark may split a fingerprint that has a large part of the batch
+        here = batch.join(own.distinct().hint("merge"), "h", "left_semi").select(*TEXT_KEY, "pos")
+        found = f"candidates-{uuid.uuid4().hex}"
+        with freed_shuffles(self.spark):
+            (here if places is None else here.unionByName(places)).write.parquet(f"{self.root}/{found}")
+        self._commit([*self.runs, name], [*self.candidates, found])
         if len(self.runs) > self.most_runs:
             self.compact()
-        return found
 
     def compact(self) -> None:
         """Merge all runs into one and delete them."""
-        old, merged = self.runs, self._write(self.history())
-        self.runs = [merged]
+        old, every = self.runs, None
         for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+            rows = self._places(self.spark.table(name), "many")
+            every = rows if every is None else every.unionByName(rows)
+        self._commit([self._write(every)], self.candidates)
+        for name in old:
+            self._delete(name)
+
+    def found(self) -> DataFrame:
+        """``(tk, tl, pos)``: all candidates so far; one may occur in several batches."""
+        return self.spark.read.schema("tk long, tl long, pos int").parquet(*[f"{self.root}/{c}" for c in self.candidates])
 
     def clear(self) -> None:
+        """Delete the index."""
         for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-        self.runs = []
+            self._delete(name)
+        fs, path = self._files(self.root)
+        fs.delete(path, True)
+        self.runs, self.candidates = [], []
+
+
+#: What a row of a window's digest is: to be settled, settled and standing for its digest, settled.
+ASKS, STANDS, SETTLED = 0, 1, 2
+
+
+class Combiner:
+    """Finds the windows that a task has twice before they are shuffled."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, a: np.ndarray, b: np.ndarray, tk: np.ndarray, tl: np.ndarray):
+        self.held.append((a, b, tk, tl))
+        self.size += len(a)
+        if self.size >= HELD:
+            yield self.settle()
+
+    def settle(self) -> pa.RecordBatch:
+        a, b, tk, tl = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        order = np.lexsort((b, a))
+        a, b, tk, tl = a[order], b[order], tk[order], tl[order]
+        high = b >> 32
+        edge = np.concatenate([[True], (a[1:] != a[:-1]) | (high[1:] != high[:-1])])
+        begins, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+        first = begins[group]
+        twice = np.bincount(group, (b != b[first]) | (tk != tk[first]) | (tl != tl[first]), len(begins)) > 0
+        at = np.minimum(np.searchsorted(self.known[0], a[begins]), max(0, len(self.known[0]) - 1))
+        known = (self.known[0][at] == a[begins]) & (self.known[1][at] == high[begins]) if len(self.known[0]) else np.zeros(len(begins), bool)
+        settled = (twice | known)[group]
+        stand = begins[twice & ~known]
+        # digests that come often are remembered, so that they are asked for once
+        often = twice & ~known & (np.diff(np.append(begins, len(a))) >= 4)
+        more = np.concatenate([self.known[0], a[begins[often]]]), np.concatenate([self.known[1], high[begins[often]]])
+        if len(more[0]) > KNOWN:
+            more = a[begins[often]], high[begins[often]]
+        rank = np.argsort(more[0], kind="stable")
+        self.known = more[0][rank], more[1][rank]
+        kind = np.where(settled, SETTLED, ASKS).astype(np.int8)
+        # settled rows go anywhere
+        key = np.where(settled, _mixed(tk.view(np.uint64) + b.view(np.uint64)), a)
+        columns = [np.concatenate([key, a[stand]]).view(np.int64), np.concatenate([b, b[stand]]), np.concatenate([tk, tk[stand]]), np.concatenate([tl, tl[stand]]), np.concatenate([kind, np.full(len(stand), STANDS, np.int8)])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "tk", "tl", "kind"])
 
 
 def verified(body: DataFrame, candidates: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(tk, pos)``: the windows of ``body(text, tk)`` that start elsewhere too, out of those with a candidate anchor."""
-    places = candidates.groupBy("tk").agg(F.collect_set("pos").alias("places"))
+    """``(tk, tl, pos)``: the windows of ``body(text, tk, tl)`` that start elsewhere too, out of those with a candidate anchor."""
+    places = candidates.groupBy(*TEXT_KEY).agg(F.collect_set("pos").alias("places"))
 
     def digests(batches):
-        hasher = Hasher(window, gram)
+        hasher, combiner = Hasher(window, gram), Combiner()
         before = None
         for whole in batches:
             for batch in slices(whole):
-                first, second, keys = [], [], []
-                for t, k, p in zip(texts(batch, "text"), batch.column(1).to_pylist(), batch.column(2)):
-                    if k == before:
+                for t, k, l, p in zip(texts(batch, "text"), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                    if (k, l) == before:
                         continue
-                    before = k
+                    before = k, l
                     h = hasher.words(t.split())
                     _, at = hasher.anchors(h)
                     marked = np.zeros(len(h), bool)
                     marked[p.values.to_numpy()] = True
                     start = np.flatnonzero(marked[at])
                     a, b = hasher.windows(h)
-                    first.append(a[start])
-                    second.append((b[start] << np.uint64(32)) | start.astype(np.uint64))
-                    keys.append(np.full(len(start), k, np.int64))
-                if first:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64)), pa.array(np.concatenate(keys))], names=["a", "b", "tk"])
+                    yield from combiner.add(a[start], ((b[start] << np.uint64(32)) | start.astype(np.uint64)).view(np.int64), np.full(len(start), k, np.int64), np.full(len(start), l, np.int64))
+        if combiner.size:
+            yield combiner.settle()
 
     def repeated(batches):
-        held: list[np.ndarray] | None = None  # the first row and the last rows' digest of the group that goes on
+        held: list[np.ndarray] | None = None  # the first row of the group that goes on
         pending = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, k = (batch.column(i).to_numpy() for i in range(3))
-            if held is not None:
-                a, b, k = (np.concatenate([x, y]) for x, y in zip(held, (a, b, k)))
-            high = b >> 32
-            edge = np.flatnonzero((a[1:] != a[:-1]) | (high[1:] != high[:-1])) + 1
-            begins = np.concatenate([[0], edge])
-            group = np.zeros(len(a), np.int64)
-            group[edge] = 1
-            group = np.cumsum(group)
-            # a group is repeated if not all its rows are of one text and place; rows with a pending group are known to be
-            differs = (b != b[begins][group]) | (k != k[begins][group])
-            yes = np.bincount(group, differs, len(begins)) > 0
-            yes[0] |= pending
-            out = yes[group]
-            if held is not None and pending:
-                out[0] = False  # given out before
-            last = begins[-1]
-            if yes[-1]:
-                held, pending = [a[last : last + 1], b[last : last + 1], k[last : last + 1]], True
-            else:
-                out[last:] = False
-                held, pending = [a[last : last + 1], b[last : last + 1], k[last : last + 1]], False
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array((b[out] & 0xFFFFFFFF).astype(np.int32))], names=["tk", "pos"])
-
-    rows = body.join(places.hint("merge"), "tk").select("text", "tk", "places").mapInArrow(digests, "a long, b long, tk long")
-    return rows.repartition("a").sortWithinPartitions("a", "b", "tk").mapInArrow(repeated, "tk long, pos int")
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            sure = columns[4] == SETTLED
+            done = [c[sure] for c in columns[1:4]]
+            a, b, k, l, kind = (c[~sure] for c in columns)
+            if len(a):
+                if held is not None:
+                    a, b, k, l, kind = (np.concatenate([x, y]) for x, y in zip(held, (a, b, k, l, kind)))
+                high = b >> 32
+                edge = np.flatnonzero((a[1:] != a[:-1]) | (high[1:] != high[:-1])) + 1
+                begins = np.concatenate([[0], edge])
+                group = np.zeros(len(a), np.int64)
+                group[edge] = 1
+                group = np.cumsum(group)
+                # a group is repeated if not all its rows are of one text and place, or one stands for it
+                first = begins[group]
+                differs = (b != b[first]) | (k != k[first]) | (l != l[first]) | (kind == STANDS)
+                yes = np.bincount(group, differs, len(begins)) > 0
+                yes[0] |= pending
+                out = yes[group] & (kind == ASKS)
+                if held is not None and pending:
+                    out[0] = False  # given out before
+                last = begins[-1]
+                if not yes[-1]:
+                    out[last:] = False
+                pending = bool(yes[-1])
+                held = [x[last : last + 1] for x in (a, b, k, l, kind)]
+                done = [np.concatenate([x, y[out]]) for x, y in zip(done, (b, k, l))]
+            if len(done[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(done[1]), pa.array(done[2]), pa.array((done[0] & 0xFFFFFFFF).astype(np.int32))], names=["tk", "tl", "pos"])
+
+    rows = body.join(places.hint("merge"), list(TEXT_KEY)).select("text", *TEXT_KEY, "places").mapInArrow(digests, "a long, b long, tk long, tl long, kind tinyint")
+    return rows.repartition("a").sortWithinPartitions("a", "b", "tk", "tl").mapInArrow(repeated, "tk long, tl long, pos int")
 
 
 def keep_words(body: DataFrame, windows: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:
     """``body`` with ``n_words``, ``n_removed`` and ``kept`` (the words that stay, one space between them, as bytes)."""
-    starts = windows.groupBy("tk").agg(F.collect_list("pos").alias("starts"))
-    marks = starts.join(copies.select("tk", F.lit(True).alias("twice")), "tk", "full")
-    names = [c for c in body.columns if c not in ("text", "tk")]
+    key = list(TEXT_KEY)
+    starts = windows.groupBy(*key).agg(F.collect_list("pos").alias("starts"))
+    marks = starts.join(copies.select(*key, F.lit(True).alias("twice")), key, "full")
+    names = [c for c in body.columns if c not in ("text", *key)]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in body.schema.fields if f.name in names)
 
     def run(batches):
@@ -257,26 +367,32 @@ def keep_words(body: DataFrame, windows: DataFrame, copies: DataFrame, window: i
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([*(pick(c) for c in names), pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary())], names=[*names, "n_words", "n_removed", "kept"])
 
-    return body.join(marks, "tk", "left").mapInArrow(run, f"{kinds}, n_words long, n_removed long, kept binary")
+    return body.join(marks, key, "left").mapInArrow(run, f"{kinds}, n_words long, n_removed long, kept binary")
 
 
-def deduplicate(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
-    """``(id, n_words, n_removed, kept)``: documents arrive in batches; windows are judged on all of them."""
+def judged(spark: SparkSession, docs: DataFrame, index: FingerprintIndex, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(id, n_words, n_removed, kept)`` for ``docs``, which are all that ``index`` holds."""
     scratch = Scratch(spark, "substrings")
     body = keyed(docs, id, text)
-    index = FingerprintIndex(spark)
-    found = None
+    copies = scratch.save(body.groupBy(*TEXT_KEY).count().where("count > 1").select(*TEXT_KEY), "copies")
+    repeated = scratch.save(verified(body.select("text", *TEXT_KEY), index.found(), index.window, index.gram), "windows")
+    return keep_words(body, repeated, copies, index.window)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+    """``(id, n_words, n_removed, kept)``: documents arrive in batches; windows are judged on all of them."""
+    scratch, index = Scratch(spark, "anchors"), FingerprintIndex(spark)
+    anchors = scratch.save(anchors_of(keyed(docs, id, text)), "anchors")
     for k in range(batches):
-        part = index.add(anchors_of(body.where(F.pmod(F.xxhash64("tk"), F.lit(batches)) == k)), scratch)
-        found = part if found is None else found.unionByName(part)
+        index.add(anchors.where(F.pmod(F.xxhash64(*TEXT_KEY), F.lit(batches)) == k))
+    scratch.drop("anchors")
+    out = judged(spark, docs, index, id, text)
     index.clear()
-    copies = scratch.save(body.groupBy("tk").count().where("count > 1").select("tk"), "copies")
-    repeated = scratch.save(verified(body.select("text", "tk"), found), "windows")
-    return keep_words(body, repeated, copies)
+    return out
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicate(spark, read_table(spark, sf_dir, "documents"))
+    done = deduplicate(spark, read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

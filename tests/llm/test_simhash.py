@@ -88,12 +88,12 @@ def test_one_row_of_each_group_stays(spark):
 
 
 def test_width_and_radius(spark):
-    words = [f"w{i}" for i in range(200)]
+    words = [f"w{i}" for i in range(3000)]
     near = [*words[:100], "other", *words[101:]]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near))], "doc_id long, text string")
     apart = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark, docs, radius=0).collect()}
     assert apart == {1: 1, 2: 2}
-    found = simhash.near_duplicates(spark, docs, width=5, radius=12).collect()
+    found = simhash.near_duplicates(spark, docs, width=5, radius=4).collect()
     assert {r.component_id for r in found} == {1}
 
 

@@ -64,3 +64,90 @@ def test_hot_passage_in_small_batches(spark, tmp_path):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.deduplicate(spark, docs).count() == 0
+
+
+def judge_all(spark, index, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = sd.judged(spark, docs, index).collect()
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in done)
+
+
+def anchors(spark, rows):
+    return sd.anchors_of(sd.keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
+def test_a_batch_added_to_a_reopened_index(spark, tmp_path):
+    rows, root = make(5), f"file:{tmp_path}/index"
+    index = sd.FingerprintIndex(spark, root, most_runs=3)
+    index.add(anchors(spark, rows[:20]))
+    index.add(anchors(spark, rows[20:45]))
+    for name in index.runs:
+        spark.sql(f"DROP TABLE {name}")  # as in another session, which knows of no table
+    index = sd.FingerprintIndex.open(spark, root)
+    assert len(index.runs) == 2
+    assert judge_all(spark, index, rows[:45]) == brute(rows[:45])
+    index.add(anchors(spark, rows[45:60]))
+    index.add(anchors(spark, rows[60:]))
+    assert len(index.runs) == 1  # compacted
+    index = sd.FingerprintIndex.open(spark, root)
+    assert judge_all(spark, index, rows) == brute(rows)
+    index.clear()
+    assert not (tmp_path / "index").exists()
+
+
+def test_a_batch_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    rows, root = make(6), f"file:{tmp_path}/index"
+    index = sd.FingerprintIndex(spark, root)
+    index.add(anchors(spark, rows[:30]))
+    monkeypatch.setattr(sd.FingerprintIndex, "_commit", lambda *a: 1 / 0)
+    try:
+        index.add(anchors(spark, rows[30:]))
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    index = sd.FingerprintIndex.open(spark, root)
+    assert judge_all(spark, index, rows[:30]) == brute(rows[:30])
+    index.add(anchors(spark, rows[30:]))
+    assert judge_all(spark, index, rows) == brute(rows)
+    index.clear()
+
+
+def test_small_memories_of_a_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sd, "HELD", 300)
+    monkeypatch.setattr(sd, "KNOWN", 40)
+    combiner, out = sd.Combiner(), []
+    rng = random.Random(8)
+    rows = [(rng.randrange(60) if rng.random() < 0.8 else 1000 + k, rng.randrange(3), k // 5, k % 5) for k in range(4000)]
+    column = lambda part, i: sd.np.array([r[i] for r in part], sd.np.int64)
+    for at in range(0, len(rows), 50):
+        part = rows[at : at + 50]
+        b = (column(part, 1) << 32) | column(part, 3)
+        out += combiner.add(column(part, 0).view(sd.np.uint64), b, column(part, 2), column(part, 2))
+        assert len(combiner.known[0]) <= 340
+    out.append(combiner.settle())
+    settled, asks, stands = set(), [], set()
+    for batch in out:
+        for r in batch.to_pylist():
+            place = (r["tk"], r["b"] & 0xFFFFFFFF)
+            if r["kind"] == sd.SETTLED:
+                settled.add((place, r["b"] >> 32))
+            elif r["kind"] == sd.ASKS:
+                asks.append((r["a"], r["b"] >> 32, place))
+            else:
+                stands.add((r["a"], r["b"] >> 32))
+    groups = defaultdict(set)
+    for a, high, k, p in rows:
+        groups[a, high].add((k, p))
+    again = {(p, key[1]) for key, ps in groups.items() if len(ps) > 1 for p in ps}
+    asked = defaultdict(set)
+    for a, high, p in asks:
+        asked[a, high].add(p)
+    assert settled <= again
+    assert again == settled | {(p, key[1]) for key, ps in asked.items() if len(ps) > 1 or key in stands for p in ps}
+
+
+def test_very_long_text(spark):
+    rows = [(1, " ".join(f"w{i % 30011}" for i in range(90_000))), (2, "w7 " * 50_000), (3, "x" * 1_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in sd.deduplicate(spark, docs).collect())
+    assert got == brute(rows)
