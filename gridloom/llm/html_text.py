@@ -2,18 +2,26 @@
 
 The standard library's parser sends its events to a collector that cuts the page into lines (one for each block
 element's run of text) and counts each line's characters and tags. The ratios, smoothed by a Gaussian over the
-lines, are clustered by a threshold into content and the rest; the innermost region of the page (article, main or
-another sectioning element) that holds all content lines is selected with all its lines in page order, so that a short
-paragraph inside an article is not lost; paragraphs and headings outside it are kept too, unless they are mostly links. Elements that by name, role or class are never part of an article
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) make no lines.
-
-A null or empty page gives an empty text. Pages are independent: repeated rows give repeated results, an empty
-table an empty table, and other columns ride along (one named like an output column is replaced).
+lines, are clustered by a threshold into content and the rest. The innermost region of the page (article, main or
+another sectioning element) that holds all content lines is selected; its lines are kept in page order, so that a short
+paragraph inside an article is not lost, and paragraphs and headings outside it too. Lines that are mostly links and
+not in the content cluster go, unless they stand in an article or main element: those are menus without a telling name.
+
+Elements that by name, role or class are never part of an article (menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles, reader comments) are hidden. What only looks so is not: an article or main element within a
+menu, header, footer, sidebar or form shows; on a page without one so does an element whose paragraphs and headings are
+more than half of the page's text without links, unless it holds reader comments. Names such as "with-sidebar" or "sidebar-layout" tell of a page, not of a part.
+
+Any text is a page: unfinished tags and comments end with the page, unknown declarations are comments, and the time is
+in proportion to the length. A null or empty page gives an empty text. Pages are independent: repeated rows give
+repeated results, an empty table an empty table, and other columns ride along (one named like an output column is
+replaced).
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,61 +35,124 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object svg canvas menu dialog audio video title".split())
+#: Hidden whatever they hold.
+NEVER = frozenset("head script style noscript template button select textarea input iframe object svg canvas menu dialog audio video title".split())
+#: Hidden unless they hold most of the page; those in the first set don't hide an article in them either.
+PARTS = frozenset("nav header footer form".split())
+ASIDE = frozenset(["aside"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Blocks whose text is kept outside the selected region too, unless most of it is links.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 REGIONS = ("article", "main", "section", "div", "body", "html")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Parts of class and id names that mark boilerplate, between word borders, hyphens and underscores.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|"
-    r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-?list|replies|respond|disqus|share|sharing|social|related|recommended|widget|toolbar|login|search|pager|pagination)"
-    r"(?:$|[\s_\d-])",
-    re.I,
-)
+#: Parts of class and id names that mark boilerplate, between word borders, hyphens and underscores: of reader
+#: comments, of parts of a page beside which an article stands or in which it may be wrapped, and of others.
+COMMENTS = r"comments?|comment-?list|replies|respond|disqus"
+BESIDE = r"sidebar|side|menu|nav|navbar|navigation|footer|header|masthead|banner|toolbar|widget"
+OTHERS = r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|breadcrumbs?|share|sharing|social|related|recommended|login|search|pager|pagination"
+MARKS = re.compile(rf"(?:^|[\s_-])(?:(?P<comments>{COMMENTS})|(?P<beside>{BESIDE})|(?P<others>{OTHERS}))(?=$|[\s_\d-])", re.I)
+#: Names that tell what a page has, not what an element is.
+LAYOUT = re.compile(rf"(?:^|(?<=\s))(?:(?:with|has|no|without|show|hide|is)[_-][\w-]*|(?:{BESIDE})[_-](?:[\w-]*[_-])?(?:layout|page|active|enabled|open|visible|fixed|on|off))(?=\s|$)", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+SHOWN, WRAPS, FIRM, GONE = range(4)
 #: Elements of an open paragraph: a block start closes it.
 CLOSES_P = BLOCKS - frozenset("option legend caption summary tbody td tfoot th thead tr html body".split())
 SPACE = re.compile(r"[\s\x00]+")
+EMPTY_COMMENT = re.compile("<!---?>")
+
+
+@dataclass
+class Line:
+    """A run of text between block borders."""
+
+    text: str
+    tags: int
+    region: int
+    veil: int  # the innermost hiding element that may turn out not to hide, or -1
+    prose: bool  # a paragraph or heading
+    linked: int  # characters in links
+    main: bool  # in an article or main element
 
 
 class Lines(HTMLParser):
-    """Collects ``(text, tags, region, whether a paragraph or heading that isn't mostly links)`` for each run of text between block borders, from whole or cut pages."""
+    """Collects lines, from whole or cut pages. The page is fed at once."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # name, whether it hides what it holds
-        self.hidden = 0
+        self.open: list[tuple[str, bool, int]] = []  # name, whether it hides for good, the veil outside it
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each name is
+        self.blocks: list[int] = []  # where in ``open`` block elements are
+        self.gone = 0
+        self.veil = -1
+        self.veils: list[int] = []  # the veil outside each
+        self.firm: list[bool] = []  # whether each, or one outside it, hides articles too
         self.region: list[int] = [0]
         self.regions: list[tuple[str, int]] = [("html", -1)]  # name, parent
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.anchors = self.linked = 0
+        self.lines: list[Line] = []
+        self.linked = 0
         self.text: list[str] = []
         self.tags = 0
 
+    # what isn't finished goes on to the end of the page
+
+    def parse_starttag(self, i):
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i):
+        end = super().parse_endtag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_comment(self, i, report=1):
+        quick = EMPTY_COMMENT.match(self.rawdata, i)
+        if quick:
+            return quick.end()
+        end = self.rawdata.find("-->", i + 4)
+        return end + 3 if end >= 0 else len(self.rawdata)
+
+    def parse_html_declaration(self, i):
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
+    def parse_pi(self, i):
+        return self.parse_html_declaration(i)
+
     def cut(self) -> None:
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             if line:
-                block = next((name for name, _ in reversed(self.open) if name in BLOCKS), "")
-                self.lines.append((line, self.tags, self.region[-1], block in PROSE and 2 * self.linked < len(line)))
+                block = self.open[self.blocks[-1]][0] if self.blocks else ""
+                inside = bool(self.places.get("article") or self.places.get("main"))
+                self.lines.append(Line(line, self.tags, self.region[-1], self.veil, block in PROSE, self.linked, inside))
                 self.tags = 0
             self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.cut()
-            if tag in CLOSES_P:
-                self.close_p()
+            if tag in CLOSES_P and self.blocks and self.open[self.blocks[-1]][0] == "p":
+                self.pop(self.blocks[-1])
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        hides = tag in NEVER or self.marked(tag, attrs)
-        self.open.append((tag, hides))
-        self.hidden += hides
-        self.anchors += tag == "a"
+        kind = self.hides(tag, attrs)
+        if not block and kind:
+            kind = GONE  # a part of a line
+        self.places.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, kind == GONE, self.veil))
+        self.gone += kind == GONE
+        if kind in (WRAPS, FIRM):
+            # whether an article in it shows depends on all veils around it
+            self.veils.append(self.veil)
+            self.veil = len(self.veils) - 1
+            self.firm.append(kind == FIRM or self.veils[self.veil] >= 0 and self.firm[self.veils[self.veil]])
+        elif tag in ("article", "main") and self.veil >= 0 and not self.firm[self.veil]:
+            self.veil = -1
         if tag in REGIONS:
             self.regions.append((tag, self.region[-1]))
             self.region.append(len(self.regions) - 1)
@@ -91,57 +162,71 @@ class Lines(HTMLParser):
         if tag not in VOID and tag not in BLOCKS and self.open and self.open[-1][0] == tag:
             self.handle_endtag(tag)
 
-    def close_p(self) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.open[depth][0]
-            if name == "p":
-                self.pop(depth)
-                return
-            if name in BLOCKS:
-                return
-
-    @staticmethod
-    def marked(tag, attrs) -> bool:
-        if tag in ("html", "body", "article", "main"):
-            return False
+    def hides(self, tag, attrs) -> int:
+        if tag in NEVER:
+            return GONE
+        found = FIRM if tag in ASIDE else WRAPS if tag in PARTS and not (tag == "header" and self.places.get("article")) else SHOWN
+        if tag in ("html", "body", "article", "main") or not attrs:
+            return found
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if value and (name == "role" and value.strip().lower() in ROLES or name in ("class", "id") and MARKS.search(value)):
-                return True
-            if value and name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        return False
+                return GONE
+            if not value:
+                continue
+            if name == "style" and UNSEEN.search(value):
+                return GONE
+            if name == "role" and value.strip().lower() in ROLES:
+                found = max(found, WRAPS)
+            elif name in ("class", "id"):
+                for mark in MARKS.finditer(LAYOUT.sub(" ", value)):
+                    if mark.lastgroup == "comments":
+                        return GONE
+                    found = max(found, FIRM if mark.lastgroup == "others" else WRAPS)
+        return found
 
     def pop(self, depth: int) -> None:
-        for name, hides in self.open[depth:]:
-            self.hidden -= hides
-            self.anchors -= name == "a"
+        while len(self.open) > depth:
+            name, gone, self.veil = self.open.pop()
+            self.gone -= gone
+            self.places[name].pop()
+            if name in BLOCKS:
+                self.blocks.pop()
             if name in REGIONS:
                 self.region.pop()
-        del self.open[depth:]
 
     def handle_endtag(self, tag):
-        if tag in BLOCKS:
+        block = tag in BLOCKS
+        if block:
             self.cut()
         self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            name, hides = self.open[depth]
-            if name == tag:
-                self.pop(depth)
-                return
-            # what an element hides or delimits isn't left by the end of another one outside it
-            if tag not in BLOCKS and name in BLOCKS:
-                return
+        places = self.places.get(tag)
+        # an inline element doesn't end outside the block that it ends in
+        if places and (block or not self.blocks or places[-1] > self.blocks[-1]):
+            self.pop(places[-1])
 
     def handle_data(self, data):
-        if not self.hidden:
+        if not self.gone:
             self.text.append(data)
-            self.linked += len(data.strip()) if self.anchors else 0
+            self.linked += len(data.strip()) if self.places.get("a") else 0
 
-    def finish(self) -> None:
+    def finish(self) -> list[Line]:
+        """All lines that show."""
         self.close()
         self.cut()
+        total = sum(len(x.text) - x.linked for x in self.lines)
+        held = [0] * len(self.veils)
+        for x in self.lines:
+            if x.veil >= 0:
+                held[x.veil] += len(x.text) - x.linked if x.prose else 0
+        for k in range(len(held) - 1, -1, -1):
+            if self.veils[k] >= 0:
+                held[self.veils[k]] += held[k]
+        shows: list[bool] = []
+        if any(x.main and x.veil < 0 for x in self.lines):
+            total = 2 * sum(held)  # there is an article, so nothing else comes in its place
+        for k, outside in enumerate(self.veils):
+            shows.append(2 * held[k] > total and (outside < 0 or shows[outside]))
+        return [x for x in self.lines if x.veil < 0 or shows[x.veil]]
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -168,24 +253,29 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
 
 def main_text(html: str) -> str:
     """The blocks of the selected region, joined by an empty line."""
-    lines = Lines()
-    lines.feed(html)
-    lines.finish()
-    if not lines.lines:
+    page = Lines()
+    page.feed(html)
+    lines = page.finish()
+    if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, tags) for t, tags, *_ in lines.lines], float)
-    content = content_lines(ratios)
-    weight = [0] * len(lines.regions)
-    for (text, _, region, _), is_content in zip(lines.lines, content):
-        while is_content and region >= 0:
-            weight[region] += len(text)
-            region = lines.regions[region][1]
+    content = content_lines(np.array([len(x.text) / max(1, x.tags) for x in lines], float)).tolist()
+    parent = [up for _, up in page.regions]
+    weight = [0] * len(parent)
+    for x, is_content in zip(lines, content):
+        weight[x.region] += len(x.text) if is_content else 0
+    for k in range(len(parent) - 1, 0, -1):
+        weight[parent[k]] += weight[k]
     # the innermost region that holds all content lines
     pick = max((k for k in range(len(weight)) if weight[k] == weight[0]), default=0)
     inside = [k == pick for k in range(len(weight))]
     for k in range(pick + 1, len(weight)):
-        inside[k] = inside[lines.regions[k][1]]
-    return "\n\n".join(text for text, _, region, prose in lines.lines if prose or inside[region])
+        inside[k] = inside[parent[k]]
+
+    def stays(x: Line, is_content: bool) -> bool:
+        links = 2 * x.linked >= len(x.text)
+        return x.main or (inside[x.region] or x.prose and not links) and (is_content or not links)
+
+    return "\n\n".join(x.text for x, is_content in zip(lines, content) if stays(x, is_content))
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars", drop: tuple[str, ...] = ()) -> DataFrame:

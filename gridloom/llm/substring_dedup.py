@@ -17,7 +17,7 @@ of all documents is added up by each task before it is shuffled: what the task h
 any partition, and one row in its place to those who ask.
 
 A null text has no words. Rows that repeat an id are documents like any other. An empty table gives an empty one;
-other columns are ignored. Texts are known by 128 bits of two independent hashes.
+other columns are ignored. Texts are known by 96 bits of two independent hashes.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ class Hasher:
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, text, tk, tl)``: the text, empty for null, and its key."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id), body.alias("text"), F.xxhash64(body).alias("tk"), F.xxhash64(F.lit(1), body).alias("tl"))
+    return docs.select(F.col(id), body.alias("text"), F.xxhash64(body).alias("tk"), F.hash(F.lit(1), body).alias("tl"))
 
 
 def anchors_of(body: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -123,7 +123,7 @@ def anchors_of(body: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
                     pick = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(np.concatenate(places).astype(np.int32))], names=["h", "tk", "tl", "pos"])
 
-    return body.select("text", *TEXT_KEY).mapInArrow(run, "h long, tk long, tl long, pos int")
+    return body.select("text", *TEXT_KEY).mapInArrow(run, "h long, tk long, tl int, pos int")
 
 
 class FingerprintIndex:
@@ -147,7 +147,7 @@ class FingerprintIndex:
         index.runs, index.candidates, index.turn = kept["runs"], kept["candidates"], kept["turn"]
         for name in index.runs:
             if not spark.catalog.tableExists(name):
-                spark.sql(f"CREATE TABLE {name} (h BIGINT, tk BIGINT, tl BIGINT, pos INT, many BOOLEAN) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{root}/{name}'")
+                spark.sql(f"CREATE TABLE {name} (h BIGINT, tk BIGINT, tl INT, pos INT, many BOOLEAN) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {index.buckets} BUCKETS LOCATION '{root}/{name}'")
         return index
 
     def _files(self, path: str):
@@ -198,11 +198,13 @@ class FingerprintIndex:
             # places of fingerprints met once so far
             once = met.where("NOT many").select(*TEXT_KEY, "pos")
             places = once if places is None else places.unionByName(once)
-        # shuffled, not bucketed, so that Spark may split a fingerprint that has a large part of the batch
-        here = batch.join(own.distinct().hint("merge"), "h", "left_semi").select(*TEXT_KEY, "pos")
-        found = f"candidates-{uuid.uuid4().hex}"
+        scratch, found = Scratch(self.spark, "again"), f"candidates-{uuid.uuid4().hex}"
+        # both sides are scans that are shuffled, so that Spark splits a fingerprint that has a large part of the batch
+        again = scratch.save(own.distinct(), "again")
+        here = batch.join(again.hint("merge"), "h", "left_semi").select(*TEXT_KEY, "pos")
         with freed_shuffles(self.spark):
             (here if places is None else here.unionByName(places)).write.parquet(f"{self.root}/{found}")
+        scratch.drop("again")
         self._commit([*self.runs, name], [*self.candidates, found])
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -219,7 +221,7 @@ class FingerprintIndex:
 
     def found(self) -> DataFrame:
         """``(tk, tl, pos)``: all candidates so far; one may occur in several batches."""
-        return self.spark.read.schema("tk long, tl long, pos int").parquet(*[f"{self.root}/{c}" for c in self.candidates])
+        return self.spark.read.schema("tk long, tl int, pos int").parquet(*[f"{self.root}/{c}" for c in self.candidates])
 
     def clear(self) -> None:
         """Delete the index."""
@@ -295,7 +297,7 @@ def verified(body: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
                     marked[p.values.to_numpy()] = True
                     start = np.flatnonzero(marked[at])
                     a, b = hasher.windows(h)
-                    yield from combiner.add(a[start], ((b[start] << np.uint64(32)) | start.astype(np.uint64)).view(np.int64), np.full(len(start), k, np.int64), np.full(len(start), l, np.int64))
+                    yield from combiner.add(a[start], ((b[start] << np.uint64(32)) | start.astype(np.uint64)).view(np.int64), np.full(len(start), k, np.int64), np.full(len(start), l, np.int32))
         if combiner.size:
             yield combiner.settle()
 
@@ -335,8 +337,8 @@ def verified(body: DataFrame, candidates: DataFrame, window: int = WINDOW, gram:
             if len(done[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(done[1]), pa.array(done[2]), pa.array((done[0] & 0xFFFFFFFF).astype(np.int32))], names=["tk", "tl", "pos"])
 
-    rows = body.join(places.hint("merge"), list(TEXT_KEY)).select("text", *TEXT_KEY, "places").mapInArrow(digests, "a long, b long, tk long, tl long, kind tinyint")
-    return rows.repartition("a").sortWithinPartitions("a", "b", "tk", "tl").mapInArrow(repeated, "tk long, tl long, pos int")
+    rows = body.join(places.hint("merge"), list(TEXT_KEY)).select("text", *TEXT_KEY, "places").mapInArrow(digests, "a long, b long, tk long, tl int, kind tinyint")
+    return rows.repartition("a").sortWithinPartitions("a", "b", "tk", "tl").mapInArrow(repeated, "tk long, tl int, pos int")
 
 
 def keep_words(body: DataFrame, windows: DataFrame, copies: DataFrame, window: int = WINDOW) -> DataFrame:

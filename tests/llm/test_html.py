@@ -1,5 +1,15 @@
+import random
+import time
+
+import numpy as np
+import pytest
+
 from gridloom.llm import html_text as ht
 
+LONG = [f"Paragraph {i} with a good number of words so that it is content of the page." for i in range(6)]
+BODY = "".join(f"<p>{t}</p>" for t in LONG)
+MENU = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in "home news sport shop about".split())
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <nav><ul><li><a href=/>Home</a><li>News</ul></nav><!-- c --><div class="ad">Buy now, a long advert with plenty of words in it, really.</div>
 <div id="cookie-notice"><p>We use cookies and a long explanation of what they do for you on this site.</p></div>
@@ -51,3 +61,91 @@ def test_frames(spark):
 def test_testdata_pages(spark, sf):
     for r in ht.op6_html_text(spark, sf).collect():
         assert r.n_chars == len(r.text) and "<" not in r.text.replace("< ", "")
+
+
+@pytest.mark.parametrize("cls", ["page with-sidebar", "layout no-sidebar", "has-header", "sidebar-layout", "sidebar", "nav", "header-fixed wrap"])
+def test_layout_classes_keep_the_article(cls):
+    assert ht.main_text(f'<div class="{cls}"><article><h1>T</h1>{BODY}</article><div class=sidebar><p>other words here</p></div></div>').split("\n\n") == ["T", *LONG]
+    assert ht.main_text(f'<body><div class="{cls}"><div><h1>T</h1>{BODY}</div></div></body>').split("\n\n") == ["T", *LONG]
+
+
+def test_menus_forms_and_headers_around_an_article():
+    assert ht.main_text(f"<nav><ul>{MENU}</ul><article>{BODY}</article>").split("\n\n") == LONG
+    assert ht.main_text(f"<form action=/x><div><ul>{MENU}</ul>{BODY}</div></form>").split("\n\n") == LONG
+    assert ht.main_text(f"<nav><ul>{MENU}</ul><div>{BODY}</div>").split("\n\n") == LONG
+    assert ht.main_text(f"<header><h1>Site</h1></header><article><header><h1>T</h1></header>{BODY}<footer>tags</footer></article>").split("\n\n") == ["T", *LONG]
+    assert ht.main_text(f"<aside>{BODY}</aside>").split("\n\n") == LONG
+
+
+def test_comments_and_teasers_stay_hidden_however_long():
+    comments = "".join(f"<article class=comment><p>Reader {i} has a long opinion about all of this and more.</p></article>" for i in range(40))
+    assert ht.main_text(f"<article>{BODY}</article><section id=comments>{comments}</section>").split("\n\n") == LONG
+    assert ht.main_text(f"<article><p>One short sentence.</p></article><footer>{BODY}</footer>") == "One short sentence."
+    assert ht.main_text(f"<main>{BODY}</main><div class=related><article><p>Read this too</p></article></div>").split("\n\n") == LONG
+
+
+def test_two_articles_of_one_size_stay():
+    got = ht.main_text(f"<body><article>{BODY}</article><article>{BODY}</article></body>").split("\n\n")
+    assert got == LONG * 2
+
+
+def test_clusters_decide_about_links_without_a_name(monkeypatch):
+    page = f"<body><div><ul>{MENU}</ul></div><div><h1>Head</h1>{BODY}<ul><li>plain item<li>another</ul></div><div>{MENU}</div></body>"
+    want = ["Head", *LONG, "plain item", "another"]
+    assert ht.main_text(page).split("\n\n") == want
+    same = f"<body><div><ul>{MENU}</ul><h1>Head</h1>{BODY}<ul><li>plain item<li>another</ul></div></body>"
+    assert ht.main_text(same).split("\n\n") == want
+    references = f"<article>{BODY}<ul><li><a href=x>Reference one</a></ul></article>"
+    assert ht.main_text(references).split("\n\n") == [*LONG, "Reference one"]
+    monkeypatch.setattr(ht, "content_lines", lambda ratios: np.ones(len(ratios), bool))
+    assert ht.main_text(page).split("\n\n") != want and ht.main_text(same).split("\n\n") != want
+
+
+def test_clustering_by_definition():
+    rng = random.Random(2)
+    for _ in range(50):
+        ratios = [rng.choice([1.0, 3.0, 40.0, 200.0]) * rng.random() for _ in range(rng.randrange(1, 30))]
+        smooth = []
+        for i in range(len(ratios)):
+            near = [(np.exp(-0.5 * d * d), ratios[i + d]) for d in range(-3, 4) if 0 <= i + d < len(ratios)]
+            smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+        cut = sum(smooth) / len(smooth)
+        for _ in range(20):
+            high, low = [x for x in smooth if x >= cut], [x for x in smooth if x < cut]
+            if not low:
+                break
+            new = (sum(high) / len(high) + sum(low) / len(low)) / 2
+            if abs(new - cut) < 1e-9:
+                break
+            cut = new
+        got = ht.content_lines(np.array(ratios))
+        assert all(g == (x >= cut) or abs(x - cut) < 1e-9 for g, x in zip(got.tolist(), smooth))
+
+
+def test_malformed_markup():
+    assert ht.main_text("<p>a</p><![foo[ x ]]><p>b</p>") == "a\n\nb"
+    assert ht.main_text("<p>a</p><![CDATA[x]]><!-->b<!--->c<!-- d --><?php e ?><!ELEMENT f><p>g") == "a\n\nbc\n\ng"
+    assert ht.main_text("<p>a</p><!-- never closed <p>b</p>") == "a"
+    assert ht.main_text("<p>a < b && c</p><p>d</p><a href='x") == "a < b && c\n\nd"
+    assert ht.main_text("<p>a &#xD800; &#0; &#x110000; &nosuch;</p>") is not None
+    assert ht.main_text("</p></div>text</article>") == "text"
+
+
+def test_cut_and_shuffled_pages_never_fail():
+    rng = random.Random(1)
+    tokens = ["<", ">", "<!", "<![", "<!--", "-->", "</", "<a href=", "'", '"', "<p", "<p>", "</p>", "<b>", "</b>", "<script>", "</script>", "<style>", "&#", "&amp", "text ", "<nav>", "<article>", "<?", "]]>", "\x00", "é🙂", "<svg/>", "<br/>", "<div class='with-sidebar'>", "</div>"]
+    for k in range(0, len(PAGE), 7):
+        ht.main_text(PAGE[:k])
+        ht.main_text(PAGE[k:])
+    for _ in range(3000):
+        ht.main_text("".join(rng.choice(tokens) for _ in range(rng.randrange(1, 30))))
+
+
+@pytest.mark.parametrize("part", ["<b>", "<b>x<p>y</p>", "<div>x", "<p><b>x</i>", "<!--", "<!", "</a", "<a b='", "<a <", "<![x[", "&", "<?", "<li>x", "<script>", "<span class=ad>", "<nav>x", "<article>x", "a&#", "<p>x<table>"])
+def test_time_grows_with_the_length(part):
+    took = []
+    for n in (4_000, 32_000):
+        began = time.process_time()
+        ht.main_text(part * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.02), took

@@ -122,7 +122,7 @@ def test_small_memories_of_a_task(spark, tmp_path, monkeypatch):
     for at in range(0, len(rows), 50):
         part = rows[at : at + 50]
         b = (column(part, 1) << 32) | column(part, 3)
-        out += combiner.add(column(part, 0).view(sd.np.uint64), b, column(part, 2), column(part, 2))
+        out += combiner.add(column(part, 0).view(sd.np.uint64), b, column(part, 2), column(part, 2).astype(sd.np.int32))
         assert len(combiner.known[0]) <= 340
     out.append(combiner.settle())
     settled, asks, stands = set(), [], set()
