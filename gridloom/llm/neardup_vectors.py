@@ -9,7 +9,8 @@ large buckets are cut into tiles and runs.
 
 Vectors that are null, zero, hold a null or non-finite component, have no id or another length than most have
 link with nothing: no links, their own component, kept (an id of null: component null). Rows that repeat an id
-each get a result row. The measured recall of the default tables is in the README; the tests measure it too.
+each get a result row. Vectors of so many components that buckets have no number (beyond 2 ** 26 by default) raise an
+error. The measured recall of the default tables is in the README; the tests measure it too.
 """
 
 from __future__ import annotations
@@ -18,25 +19,31 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from gridloom.llm.common import read_table, slices, sorted_groups, spanning_labels
+from gridloom.llm.common import read_table, slices, spanning_labels
 from gridloom.operators.components import connected_components
 from gridloom.plans.scratch import Scratch
 
 THRESHOLD = 0.9
 TABLES, HASHES, PROBES, SEED = 10, 2, 4, 17
+#: Beyond so many vectors, so that buckets don't fill up: more hashes, with the tables and probes that keep the recall.
+MANY, MANY_TABLES, MANY_HASHES, MANY_PROBES = 1 << 24, 20, 3, 8
 TILE, RUN = 1024, 8192
 BLOCK = 1 << 20
+#: A bucket's number has its table above so many bits.
+CELL_BITS = 56
+#: Rows of small groups that are compared together, and pairs of a group up to which it is small.
+CHUNK, FEW = 1 << 14, 1 << 12
 
 
 class CrossPolytope:
     """Buckets of vectors of one length in every table."""
 
     def __init__(self, dim: int, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = SEED):
-        self.width = 1 << max(1, (dim - 1).bit_length())
+        self.width = 1 << max(2, (dim - 1).bit_length())
         self.tables, self.hashes, self.probes = tables, hashes, probes
         self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), (tables, hashes, 3, self.width))
         self.steps = np.array(sorted(product(range(3), repeat=hashes), key=lambda r: (sum(r), r)))
@@ -73,12 +80,13 @@ class CrossPolytope:
         return out
 
 
-def clean_vectors(df: DataFrame, id: str, vector: str) -> tuple[DataFrame, int, str]:
-    """``(id, vec)`` of usable rows with their components as bytes; the length and numpy type of these."""
+def clean_vectors(df: DataFrame, id: str, vector: str, dim: int | None = None) -> tuple[DataFrame, int, str]:
+    """``(id, vec)`` of usable rows with their components as bytes; the length (the commonest unless given) and numpy type of these."""
     kind = "<f4" if isinstance(df.schema[vector].dataType, ArrayType) and isinstance(df.schema[vector].dataType.elementType, FloatType) else "<f8"
-    common = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = common.d if common else 0
-    wanted = df.where((F.size(vector) == dim) & F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>" if kind == "<f8" else "array<float>").alias("v"))
+    if dim is None:
+        common = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), "d").first()
+        dim = common.d if common else 0
+    wanted = df.where(_fits(id, vector, dim)).select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>" if kind == "<f8" else "array<float>").alias("v"))
 
     def run(batches):
         for whole in batches:
@@ -87,12 +95,16 @@ def clean_vectors(df: DataFrame, id: str, vector: str) -> tuple[DataFrame, int,
                 flat = lists.flatten()
                 x = np.array(flat.to_numpy(zero_copy_only=False), dtype=kind).reshape(-1, dim)
                 good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
-                x, keep = x[good] + 0.0, np.flatnonzero(good)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+                vectors = [(r + 0.0).tobytes() if ok else None for r, ok in zip(x, good.tolist())]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(vectors, pa.binary())], names=["id", "vec"])
 
     return wanted.mapInArrow(run, "id long, vec binary"), dim, kind
 
 
+def _fits(id: str, vector: str, dim: int) -> Column:
+    return F.coalesce((F.size(vector) == dim) & F.col(id).isNotNull() & F.lit(dim > 0), F.lit(False))
+
+
 def as_matrix(values: np.ndarray, kind: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(values.tolist()), dtype=kind).reshape(-1, dim).astype(np.float64)
 
@@ -102,35 +114,69 @@ def _meet(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (mine[:, :1] == other).any(axis=1) | (other[:, :1] == mine).any(axis=1)
 
 
+def _candidates(group: dict[str, np.ndarray], begins: np.ndarray, x: np.ndarray, threshold: float):
+    """``(i, j)`` by steps: rows of one group (one tile of a bucket, one run of what it is compared with), near enough.
+
+    Rows are sorted by group, first those that are compared with, then the tile.
+    """
+    stops = np.append(begins[1:], len(x))
+    middles = begins + np.add.reduceat(group["own"] == 0, begins)
+    size = (middles - begins) * (stops - middles)
+    ids, asks = group["id"], group["stands"] == 0
+
+    def fresh(i, j):
+        # a pair in which both stand in the bucket is seen from both sides; one of a probe only from the tile
+        new = (ids[i] != ids[j]) & (asks[j] | (ids[i] < ids[j]))
+        return i[new], j[new]
+
+    few = np.flatnonzero((size > 0) & (size <= FEW))
+    ends = np.cumsum(size[few])
+    at = 0
+    while at < len(few):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[few[at]] + BLOCK // 4, "right")))
+        part = few[at:to]
+        count = size[part]
+        k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        wide = np.repeat(middles[part] - begins[part], count)
+        i, j = fresh(np.repeat(middles[part], count) + k // wide, np.repeat(begins[part], count) + k % wide)
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
+        yield i[near], j[near]
+        at = to
+    for g in np.flatnonzero(size > FEW).tolist():
+        b = np.arange(begins[g], middles[g])
+        step = max(1, BLOCK // len(b))
+        for at in range(middles[g], stops[g], step):
+            rows = np.arange(at, min(at + step, stops[g]))
+            i, j = np.nonzero(x[rows] @ x[b].T >= threshold)
+            yield fresh(rows[i], b[j])
+
+
 def _linked(group: dict[str, np.ndarray], hasher: CrossPolytope, kind: str, dim: int, threshold: float):
-    """``(u, v, links)`` of one tile of a bucket and one run of what it is compared with."""
-    table = int(group["g"][0] >> 56)
-    own = group["own"].astype(bool)
+    """``(u, v, links)`` of whole groups."""
+    table = group["g"] >> CELL_BITS
+    begins = np.flatnonzero(np.concatenate([[True], (group["g"][1:] != group["g"][:-1]) | (group["h"][1:] != group["h"][:-1])]))
     ids, copies = group["id"], group["copies"]
     x = as_matrix(group["vec"], kind, dim)
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    a, b = np.flatnonzero(own), np.flatnonzero(~own)
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     labels, add = np.arange(len(x)), np.zeros(len(x), np.int64)
-    codes: np.ndarray | None = None
-    step = max(1, BLOCK // max(1, len(b)))
-    for at in range(0, len(a), step):
-        rows = a[at : at + step]
-        i, j = np.nonzero((x[rows] @ x[b].T) / (norm[rows][:, None] * norm[b][None, :]) >= threshold)
-        i, j = rows[i], b[j]
-        # a pair in which both stand in the bucket is seen from both sides; one of a probe only from the tile
-        fresh = (ids[i] != ids[j]) & ((group["stands"][j] == 0) | (ids[i] < ids[j]))
-        i, j = i[fresh], j[fresh]
+    known, codes = np.full(len(x), -1), np.zeros((0, hasher.tables, hasher.probes), np.int64)
+    for i, j in _candidates(group, begins, x, threshold):
         if not len(i):
             continue
-        if codes is None:
-            codes = hasher.buckets(x / norm[:, None])
+        new = np.unique(np.concatenate([i, j]))
+        new = new[known[new] < 0]
+        if len(new):
+            known[new] = len(codes) + np.arange(len(new))
+            codes = np.concatenate([codes, hasher.buckets(x[new])])
+        a, b, own = codes[known[i]], codes[known[j]], table[i]
         first = np.ones(len(i), bool)
-        for t in range(table):
-            first &= ~_meet(codes[i, t], codes[j, t])
+        for t in range(int(own.max())):
+            first &= (own <= t) | ~_meet(a[:, t], b[:, t])
         # where each probes the other's bucket, the pair counts in the bucket of the smaller id
-        stands = group["stands"][j] == 1
-        both = (codes[i, table, :1] == codes[j, table]).any(axis=1) & (codes[j, table, :1] == codes[i, table]).any(axis=1)
-        first &= stands | ~both | (ids[i] < ids[j])
+        each = np.arange(len(i))
+        mine, other = a[each, own], b[each, own]
+        both = (mine[:, :1] == other).any(axis=1) & (other[:, :1] == mine).any(axis=1)
+        first &= (group["stands"][j] == 1) | ~both | (ids[i] < ids[j])
         i, j = i[first], j[first]
         np.add.at(add, i, copies[j])
         np.add.at(add, j, copies[i])
@@ -139,10 +185,32 @@ def _linked(group: dict[str, np.ndarray], hasher: CrossPolytope, kind: str, dim:
     return ids[out], ids[labels[out]], add[out]
 
 
+def _whole_groups(batches):
+    """Rows of whole groups by ``g`` and ``h``, of about ``CHUNK`` rows."""
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        held.append(columns)
+        size += batch.num_rows
+        if size >= CHUNK:
+            rows = {n: np.concatenate([h[n] for h in held]) for n in columns}
+            change = np.flatnonzero((rows["g"][1:] != rows["g"][:-1]) | (rows["h"][1:] != rows["h"][:-1]))
+            if len(change):
+                cut = int(change[-1]) + 1
+                yield {n: v[:cut] for n, v in rows.items()}
+                rows = {n: v[cut:] for n, v in rows.items()}
+            held, size = [rows], len(rows["g"])
+    if size:
+        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+
+
 def near_duplicate_links(spark: SparkSession, items: DataFrame, dim: int, kind: str, threshold: float = THRESHOLD, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> DataFrame:
     """``(u, v, links)``: for ``items(id, copies, vec)``, sums of links by vector and a spanning link of each."""
     hasher = CrossPolytope(dim, tables, hashes, probes)
-    if (2 * hasher.width) ** hashes > 1 << 28 or tables > 64:
+    if (2 * hasher.width) ** hashes > 1 << CELL_BITS or tables > 64:
         raise ValueError("too many buckets or tables")
 
     def hashed(batches):
@@ -150,7 +218,7 @@ def near_duplicate_links(spark: SparkSession, items: DataFrame, dim: int, kind:
             for batch in slices(whole, 1 << 20):
                 x = as_matrix(batch.column(2).to_numpy(zero_copy_only=False), kind, dim)
                 code = hasher.buckets(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
-                cell = (code + (np.arange(tables)[None, :, None] << 28)).reshape(-1)
+                cell = (code + (np.arange(tables)[None, :, None] << CELL_BITS)).reshape(-1)
                 rows = pa.array(np.repeat(np.arange(len(x)), tables * probes))
                 stands = np.tile((np.arange(probes) == 0).astype(np.int8), len(x) * tables)
                 yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(stands), *(batch.column(k).take(rows) for k in range(3))], names=["cell", "stands", "id", "copies", "vec"])
@@ -161,22 +229,22 @@ def near_duplicate_links(spark: SparkSession, items: DataFrame, dim: int, kind:
     plan = sizes.where((F.col("n") > 0) & (F.col("m") > 1)).select("cell", F.ceil(F.col("n") / TILE).alias("tiles"), F.ceil(F.col("m") / RUN).alias("runs"))
     joined = placed.join(plan, "cell")
     spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    key = lambda i, m: F.shiftleft(F.shiftrightunsigned("cell", 28), 56) + F.shiftleft(F.col("cell").bitwiseAND((1 << 28) - 1), 28) + i * (1 << 14) + m
+    key = lambda i, m: F.shiftleft(i, 32) + m
     tile, run = F.pmod(F.xxhash64("id"), F.col("tiles")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("runs"))
     # each row goes to the runs of its tile if it stands in the bucket, and to its run of every tile
     sides = F.concat(
-        F.when(F.col("stands") == 1, F.transform(spread("runs"), lambda m: F.struct(key(tile, m).alias("g"), F.lit(1).cast("tinyint").alias("own")))).otherwise(F.array().cast("array<struct<g:bigint,own:tinyint>>")),
-        F.transform(spread("tiles"), lambda i: F.struct(key(i, run).alias("g"), F.lit(0).cast("tinyint").alias("own"))),
+        F.when(F.col("stands") == 1, F.transform(spread("runs"), lambda m: F.struct(key(tile, m).alias("h"), F.lit(1).cast("tinyint").alias("own")))).otherwise(F.array().cast("array<struct<h:bigint,own:tinyint>>")),
+        F.transform(spread("tiles"), lambda i: F.struct(key(i, run).alias("h"), F.lit(0).cast("tinyint").alias("own"))),
     )
-    tasks = joined.select(F.explode(sides).alias("s"), "stands", "id", "copies", "vec").select("s.g", "s.own", "stands", "id", "copies", "vec")
+    tasks = joined.select(F.explode(sides).alias("s"), F.col("cell").alias("g"), "stands", "id", "copies", "vec").select("g", "s.h", "s.own", "stands", "id", "copies", "vec")
 
     def compare(batches):
-        for group in sorted_groups(batches, "g"):
+        for group in _whole_groups(batches):
             u, v, w = _linked(group, hasher, kind, dim, threshold)
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(w)], names=["u", "v", "links"])
 
-    return tasks.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long, links long")
+    return tasks.repartition("g", "h").sortWithinPartitions("g", "h", "own").mapInArrow(compare, "u long, v long, links long")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, **tables) -> DataFrame:
@@ -186,13 +254,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id: str = "vec_id", vect
     if dim == 0:
         return df.select(id, F.lit(0).cast("long").alias("n_links"), F.col(id).cast("long").alias("component_id"), F.col(id).isNotNull().alias("kept"))
     rows = scratch.save(rows, "rows")
-    items = scratch.save(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "items")
+    items = scratch.save(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "items")
+    if not tables and items.count() > MANY and (4 * dim) ** MANY_HASHES <= 1 << CELL_BITS:
+        tables = {"tables": MANY_TABLES, "hashes": MANY_HASHES, "probes": MANY_PROBES}
     found = scratch.save(near_duplicate_links(spark, items, dim, kind, threshold, **tables), "links")
     sums = found.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     group = connected_components(spark, found.where("u <> v")).withColumnRenamed("node", "id")
     classes = items.join(sums, "id", "left").join(group, "id", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    usable = rows.join(classes, "vec").select("id", "n_links", "component_id")
-    others = df.select(F.col(id).cast("long").alias("id")).join(rows.select("id"), "id", "left_anti").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    usable = rows.where("vec IS NOT NULL").join(classes, "vec").select("id", "n_links", "component_id")
+    alone = lambda ids: ids.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    others = alone(rows.where("vec IS NULL")).unionByName(alone(df.where(~_fits(id, vector, dim)).select(F.col(id).cast("long").alias("id"))))
     return usable.unionByName(others).select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

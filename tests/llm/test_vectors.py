@@ -78,3 +78,26 @@ def test_recall_at_the_threshold():
     hasher = nv.CrossPolytope(64)
     x, y = hasher.buckets(a), hasher.buckets(b)
     assert np.stack([nv._meet(x[:, t], y[:, t]) for t in range(nv.TABLES)], 1).any(1).mean() > 0.995
+    hasher = nv.CrossPolytope(64, nv.MANY_TABLES, nv.MANY_HASHES, nv.MANY_PROBES)
+    x, y = hasher.buckets(a), hasher.buckets(b)
+    assert np.stack([nv._meet(x[:, t], y[:, t]) for t in range(nv.MANY_TABLES)], 1).any(1).mean() > 0.995
+
+
+def test_groups_large_and_small_and_more_hashes(spark, monkeypatch):
+    rows = rows_with_groups(2)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = brute(rows)
+    got = lambda **t: sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in nv.near_duplicates(spark, df, **t).collect()), key=str)
+    monkeypatch.setattr(nv, "MANY", 10)
+    assert got() == want
+    monkeypatch.setattr(nv, "MANY", 1 << 30)
+    monkeypatch.setattr(nv, "FEW", 2)
+    monkeypatch.setattr(nv, "CHUNK", 50)
+    assert got() == want
+
+
+def test_an_id_with_a_usable_and_an_unusable_vector(spark):
+    rows = [(1, [1.0, 2.0]), (1, None), (1, [0.0, 0.0]), (2, [2.0, 4.0]), (3, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in nv.near_duplicates(spark, df).collect())
+    assert got == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
