@@ -13,6 +13,7 @@ from gridloom.functions import expr
 from gridloom.model import AXES, Blocking
 from gridloom.operators import aggregates as agg
 from gridloom.operators import checks, evaluation, filters, graph, models, objects, overlaps, relabel, resample, segmentation, solvers, stencils, voxelwise
+from gridloom.plans.scratch import Scratch
 from gridloom.sources.volumes import raster
 
 QUERIES: dict = {}
@@ -443,7 +444,20 @@ def graph_connected_components(spark, sf_dir):
     return graph.label_components(spark, node_labels(vox), edges_of(vox))
 
 
-@query()
+_NEAR = "(SELECT 1 AS dz, 0 AS dy, 0 AS dx UNION ALL SELECT -1,0,0 UNION ALL SELECT 0,1,0 UNION ALL SELECT 0,-1,0 UNION ALL SELECT 0,0,1 UNION ALL SELECT 0,0,-1)"
+# the least id reachable in ``link(a, b)``, both ways, for the ids of ``item(id)``
+REACH = """least(id, low) USING KEY (id) AS (SELECT id, id FROM item UNION
+  SELECT l.b, min(t.low) FROM least t JOIN link l ON l.a = t.id JOIN recurring.least r ON r.id = l.b WHERE t.low < r.low GROUP BY l.b)"""
+
+
+@query(
+    "SELECT vx.z, vx.y, vx.x, CAST(coalesce(low, 0) AS BIGINT) AS component FROM vx LEFT JOIN least ON id = vx.z*1000 + vx.y*40 + vx.x",
+    VX,
+    "item AS (SELECT z*1000 + y*40 + x AS id, z, y, x FROM vx WHERE v > 40)",
+    f"link AS (SELECT a.id AS a, b.id AS b FROM item a JOIN {_NEAR} o ON TRUE JOIN item b ON b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx)",
+    REACH,
+    recursive=True,
+)
 def voxel_connected_components(spark, sf_dir):
     vox = raster(spark, sf_dir).withColumn("voxel", F.col("z") * 1000 + F.col("y") * 40 + F.col("x")).withColumn("m", (F.col("v") > 40).cast("long"))
     return graph.voxel_components(spark, vox.select(*AXES, "m", "voxel"), "m").select(*AXES, "component")
@@ -627,7 +641,15 @@ def two_pass_mutex_watershed(spark, sf_dir):
     return voxelwise.write_labels(vox, "ws", lut.select(F.col("node").alias("label"), F.col("label").alias("new_label"))).select(*AXES, "ws")
 
 
-@query()
+@query(
+    "SELECT n.z, n.y, n.x, n.block_id, CAST(coalesce(dense_rank() OVER (PARTITION BY low IS NULL ORDER BY low) * (low IS NOT NULL)::INT, 0) AS BIGINT) AS component FROM n LEFT JOIN least ON least.id = n.id",
+    VX,
+    "n AS (SELECT *, block_id*10000 + ((z%5)*13 + y%13)*20 + x%20 AS id, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) > 0.2 AS m FROM vx WINDOW w AS (PARTITION BY block_id))",
+    "item AS (SELECT * FROM n WHERE m)",
+    f"link AS (SELECT a.id AS a, b.id AS b FROM item a JOIN {_NEAR} o ON TRUE JOIN item b ON b.z=a.z+o.dz AND b.y=a.y+o.dy AND b.x=a.x+o.dx)",
+    REACH,
+    recursive=True,
+)
 def connected_component_blocks(spark, sf_dir):
     return segmentation.connected_components(spark, raster(spark, sf_dir), "v", _blocking(spark, sf_dir), threshold=0.2)
 
@@ -648,9 +670,21 @@ def image_filter_gaussian(spark, sf_dir):
     return stencils.image_filter(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), "gaussianSmoothing", 1.0, (3, 4, 4))
 
 
-@query()
+@query(
+    "SELECT a.c, a.z, a.y, a.x, round(least(1.0, greatest(0.0, a.v + coalesce(o.o, 0))), 6) AS v FROM (SELECT c, z, y, x, 1 - v/500 AS v FROM vx, (SELECT unnest(range(3)) AS c)) a LEFT JOIN o USING (c, z, y, x)",
+    VX,
+    "b AS (SELECT o.c, a.z, a.y, a.x, CASE WHEN a.ws = b.ws AND a.ws <> 0 THEN 0.0 ELSE 1.0 END AS v FROM vx a, (SELECT 0 AS c, 1 AS dz, 0 AS dy, 0 AS dx UNION ALL SELECT 1,0,1,0 UNION ALL SELECT 2,0,0,1) o JOIN vx b ON b.z=a.z-o.dz AND b.y=a.y-o.dy AND b.x=a.x-o.dx)",
+    "wy AS (SELECT c, z, y, x, max(v) OVER (PARTITION BY c, z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM b)",
+    "wx AS (SELECT c, z, y, x, max(v) OVER (PARTITION BY c, z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM wy)",
+    "p AS (SELECT z, y, x, avg(v) AS p FROM wx WHERE c IN (1, 2) GROUP BY ALL)",
+    "o AS (SELECT c, z, y, x, CASE WHEN c = 0 THEN v + coalesce(p, 0) ELSE v END AS o FROM wx LEFT JOIN p USING (z, y, x))",
+)
 def insert_affinities(spark, sf_dir):
     vox = raster(spark, sf_dir)
+    return rounded(_inserted(vox), "v")
+
+
+def _inserted(vox: DataFrame) -> DataFrame:
     return stencils.insert_affinities(_affinities(vox).where("c < 3"), vox, "ws", OFFSETS[:3], dilate_by=1)
 
 
@@ -704,10 +738,20 @@ def stitching_multicut(spark, sf_dir):
     return solvers.stitching_multicut(spark, nodes.select("node").distinct(), edges)
 
 
-@query()
+@query(
+    "SELECT id AS node, dense_rank() OVER (ORDER BY low) AS label FROM least",
+    VX, PAIRS, FEATS,
+    "item AS (SELECT DISTINCT ws AS id FROM vx)",
+    "cross_ AS (SELECT DISTINCT least(wa,wb) AS u, greatest(wa,wb) AS v FROM pairs WHERE wa<>wb AND ba<>bb)",
+    "merge_ AS (SELECT u, v FROM feats JOIN cross_ USING (u, v) WHERE size > 5)",
+    "link AS (SELECT u AS a, v AS b FROM merge_ UNION ALL SELECT v, u FROM merge_)",
+    REACH,
+    recursive=True,
+)
 def stitch_assignments(spark, sf_dir):
-    vox, _, costs = _problem(spark, sf_dir)
-    return overlaps.stitch_assignments(spark, overlaps.stitch_edges(vox, "ws", costs), 10)
+    """Every node, also those on no edge between blocks."""
+    vox, nodes, costs = _problem(spark, sf_dir)
+    return overlaps.stitch_assignments(spark, overlaps.stitch_edges(vox, "ws", costs), 5, nodes=nodes)
 
 
 @query()
@@ -724,7 +768,14 @@ def graph_watershed_assignments(spark, sf_dir):
     return solvers.graph_watershed_assignments(spark, costs, labels, discard)
 
 
-@query()
+@query(
+    "SELECT id, z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, z, y, x) AS r FROM far) WHERE r = 1",
+    VX,
+    "bb AS (SELECT ws, min(z) - 1 AS z0, max(z) + 1 AS z1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM vx GROUP BY ws)",
+    "box AS (SELECT ws, z, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT ws, z, x0, x1, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(z0, z1 + 1)) AS z FROM bb)))",
+    "free AS (SELECT ws, z, y, x FROM box ANTI JOIN vx USING (ws, z, y, x))",
+    "far AS (SELECT a.ws AS id, a.z, a.y, a.x, min((a.z-f.z)**2 + (a.y-f.y)**2 + (a.x-f.x)**2) AS d FROM vx a JOIN free f ON a.ws = f.ws GROUP BY ALL)",
+)
 def region_centers(spark, sf_dir):
     return objects.region_centers(raster(spark, sf_dir), "ws")
 
@@ -759,3 +810,186 @@ def _two_channels(data):
     import numpy as np
 
     return np.stack([data, 1 - data])
+
+
+# ---- the same operators where SQL can say what must come out: given cuts, given pairs, and what every solution must keep
+
+
+_CUT = "cut AS (SELECT u, v FROM feats WHERE mean >= 70)"
+_KEPT = "kept AS (SELECT u, v FROM feats ANTI JOIN cut USING (u, v))"
+_KEPT_LINK = "link AS (SELECT u AS a, v AS b FROM kept UNION ALL SELECT v, u FROM kept)"
+_NODES = "item AS (SELECT DISTINCT ws AS id FROM vx)"
+_LABELING = "labeling AS (SELECT id AS node, dense_rank() OVER (ORDER BY low) AS label FROM least)"
+
+
+def _given_cut(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    edges = cheap_features(vox).withColumn("cost", 70 - F.col("mean"))
+    return vox, vox.select(F.col("ws").alias("node")).distinct(), edges, edges.where("mean >= 70").select("u", "v")
+
+
+@query(
+    "SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, round(sum(70 - mean), 4) AS cost FROM feats JOIN labeling a ON u = a.node JOIN labeling b ON v = b.node WHERE a.label <> b.label GROUP BY 1, 2",
+    VX, PAIRS, FEATS, _CUT, _KEPT, _NODES, _KEPT_LINK, REACH, _LABELING,
+    recursive=True,
+)
+def reduced_problem_of_cut(spark, sf_dir):
+    _, nodes, edges, cut = _given_cut(spark, sf_dir)
+    return graph.reduce_problem(spark, nodes, edges.select("u", "v", "cost"), cut)[1].withColumn("cost", F.round("cost", 4))
+
+
+@query(
+    "SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, CAST(sum(c) AS BIGINT) AS cost FROM (SELECT p.id AS u, q.id AS v, p.id % 5 - 2 AS c FROM item p JOIN item q ON q.id = p.id + 2) JOIN labeling a ON u = a.node JOIN labeling b ON v = b.node WHERE a.label <> b.label GROUP BY 1, 2",
+    VX, PAIRS, FEATS, _CUT, _KEPT, _NODES, _KEPT_LINK, REACH, _LABELING,
+    recursive=True,
+)
+def reduced_lifted_problem_of_cut(spark, sf_dir):
+    _, nodes, edges, cut = _given_cut(spark, sf_dir)
+    lifted = nodes.select(F.col("node").alias("u"), (F.col("node") + 2).alias("v")).join(nodes.select(F.col("node").alias("v")), "v").select("u", "v", (F.col("u") % 5 - 2).alias("cost"))
+    return graph.reduce_problem(spark, nodes, edges.select("u", "v", "cost"), cut, lifted=lifted)[2].withColumn("cost", F.col("cost").cast("long"))
+
+
+@query(
+    "SELECT block_id, node, dense_rank() OVER (ORDER BY block_id, low) AS label FROM (SELECT DISTINCT block_id, ws AS node FROM vx) JOIN least ON node = id",
+    VX, PAIRS, FEATS, _CUT, _KEPT, _NODES, _KEPT_LINK, REACH,
+    recursive=True,
+)
+def sub_solutions_of_cut(spark, sf_dir):
+    vox, _, edges, cut = _given_cut(spark, sf_dir)
+    return solvers.sub_solutions(cut, graph.sub_graphs(vox, "ws")[0], edges, spark)
+
+
+_FACES = "faces AS (SELECT DISTINCT wa AS a, wb AS b FROM pairs WHERE ba <> bb AND wa <> wb)"
+
+
+@query(
+    "SELECT id AS node, dense_rank() OVER (ORDER BY low) AS label FROM least UNION ALL SELECT 0, 0",
+    VX, PAIRS, _FACES, _NODES, "picked AS (SELECT a, b FROM faces WHERE a % 2 = 0)", "link AS (SELECT a, b FROM picked UNION ALL SELECT b, a FROM picked)", REACH,
+    recursive=True,
+)
+def merge_assignments(spark, sf_dir):
+    vox = raster(spark, sf_dir)
+    labels = vox.select(F.col("ws").alias("label")).distinct().unionByName(spark.range(1).select(F.col("id").alias("label")))
+    return graph.merge_assignments(spark, labels, overlaps.face_pairs(vox, "ws").where("a % 2 = 0 AND a <> b"))
+
+
+@query(
+    "SELECT id AS node, dense_rank() OVER (ORDER BY low) AS label FROM least",
+    VX, PAIRS, _FACES, "item AS (SELECT DISTINCT ws + 1000 AS id FROM vx)", "picked AS (SELECT a + 1000 AS a, b + 1000 AS b FROM faces WHERE a % 3 <> 0)", "link AS (SELECT a, b FROM picked UNION ALL SELECT b, a FROM picked)", REACH,
+    recursive=True,
+)
+def two_pass_assignments(spark, sf_dir):
+    """Seeds of the second pass in old labels; the relabelling moves all by 1000."""
+    vox = raster(spark, sf_dir)
+    relabel_ = vox.select(F.col("ws").alias("label"), (F.col("ws") + 1000).alias("new_label")).distinct()
+    labels = relabel_.select(F.col("new_label").alias("label"))
+    return graph.two_pass_assignments(spark, overlaps.face_pairs(vox, "ws").where("a % 3 <> 0 AND a <> b"), relabel_, labels)
+
+
+@query("SELECT DISTINCT a.z, a.y, a.x, a.ws AS id FROM vx a JOIN (SELECT ws, z, y, x + 3 AS x FROM vx WHERE z % 2 = 0 AND (y + x) % 7 = 0) n USING (ws, z, y, x)", VX)
+def upsample_skeletons(spark, sf_dir):
+    """Nodes on a grid half as deep, some outside their object."""
+    vox = raster(spark, sf_dir)
+    node = F.array(F.col("z") / 2, F.col("y").cast("double"), (F.col("x") + 3).cast("double"))
+    coarse = vox.where("z % 2 = 0 AND (y + x) % 7 = 0").groupBy(F.col("ws").alias("id")).agg(F.collect_list(node).alias("nodes"))
+    return objects.upsample_skeletons(coarse, vox, "ws", (2, 1, 1))
+
+
+@query(
+    "SELECT round(avg((NOT m AND la = lb)::INT), 6) AS correct, round(avg((NOT m AND la <> lb)::INT), 6) AS split, round(avg(m::INT), 6) AS merge, (SELECT count(*) FROM merged) AS n_merges FROM e",
+    VX,
+    "n AS (SELECT floor(z/2)*5 + floor(y/5) AS s, x, CASE WHEN ws % 7 = 0 THEN 7 WHEN ws % 11 = 0 THEN 0 ELSE ws END AS l FROM vx WHERE z % 2 = 0 AND y % 5 = 0)",
+    "merged AS (SELECT l FROM n WHERE l <> 0 GROUP BY l HAVING count(DISTINCT s) > 1)",
+    "e AS (SELECT a.l AS la, b.l AS lb, a.l IN (SELECT l FROM merged) OR b.l IN (SELECT l FROM merged) AS m FROM n a JOIN n b ON a.s = b.s AND b.x = a.x + 1)",
+)
+def skeleton_evaluation(spark, sf_dir):
+    """Lines along x as skeletons; some labels are shared by several, some lost."""
+    vox = raster(spark, sf_dir).withColumn("l", F.expr("CASE WHEN ws % 7 = 0 THEN 7 WHEN ws % 11 = 0 THEN 0 ELSE ws END").cast("long"))
+    nodes = vox.where("z % 2 = 0 AND y % 5 = 0").select((F.floor(F.col("z") / 2) * 5 + F.floor(F.col("y") / 5)).alias("skeleton"), F.col("x").alias("node"), *AXES)
+    edges = nodes.where("x < 39").select("skeleton", F.col("node").alias("u"), (F.col("node") + 1).alias("v"))
+    return rounded(evaluation.skeleton_evaluation(nodes, edges, vox, "l"), "correct", "split", "merge")
+
+
+@query("SELECT CAST(ws AS BIGINT) AS id, count(*) AS size, " + ", ".join(f"round(avg({c}), 6) AS com_{c}, min({c}) AS bbmin_{c}, max({c}) AS bbmax_{c}" for c in AXES) + " FROM vx GROUP BY ws", VX)
+def morphology_every_label(spark, sf_dir):
+    """All labels of the table, whatever their number."""
+    return rounded(agg.merge_morphology(agg.morphology(raster(spark, sf_dir), "ws", by_block=True)), "com_z", "com_y", "com_x")
+
+
+def _kept(spark, name: str, labels: DataFrame, nodes: DataFrame, edges: DataFrame, costs: bool = True) -> DataFrame:
+    """What a partition of a graph must keep, as one row."""
+    scratch = Scratch(spark, "invariants")
+    labels = scratch.save(labels.select("node", "label"), "labels")
+    missing = nodes.select("node").distinct().join(labels, "node", "left_anti").agg(F.count("*").alias("missing"))
+    # clusters that edges between their own nodes don't connect
+    parts = graph.label_components(spark, labels, edges.select("u", "v"), ignore_label=False)
+    split = parts.agg(F.count_distinct("label").alias("parts")).crossJoin(labels.agg(F.count_distinct("label").alias("labels"), F.count("*").alias("nodes")))
+    energy = voxelwise.with_ends(edges, labels).agg(F.coalesce(F.sum(F.when(F.col("lu") != F.col("lv"), F.col("cost"))), F.lit(0.0)).alias("energy"), F.sum("cost").alias("apart"))
+    fine = (F.col("energy") <= F.least(F.lit(0.0), F.col("apart")) + 1e-9) if costs else F.lit(True)
+    row = split.crossJoin(missing).crossJoin(energy)  # one row each
+    return row.select(F.lit(name).alias("solver"), "nodes", "missing", (F.col("parts") - F.col("labels")).alias("split"), fine.alias("no_worse_than_trivial"))
+
+
+def _expected(names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS solver, (SELECT count(DISTINCT ws) FROM vx) AS nodes, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS split, TRUE AS no_worse_than_trivial" for n in names)
+
+
+@query(_expected(["multicut", "global multicut", "stitching multicut", "agglomerative clustering"]), VX)
+def solver_invariants(spark, sf_dir):
+    """Every node has a label, clusters are connected, and no solution costs more than one cluster or all nodes apart."""
+    vox, nodes, costs = _problem(spark, sf_dir)
+    scratch = Scratch(spark, "problem")
+    nodes, costs = scratch.save(nodes, "nodes"), scratch.save(costs, "costs")
+    stitch = overlaps.stitch_edges(vox, "ws", costs.withColumn("mean", F.col("p")))
+    rows = [
+        _kept(spark, "multicut", solvers.multicut(spark, nodes, costs, _blocking(spark, sf_dir).grid), nodes, costs),
+        _kept(spark, "global multicut", solvers.solve_global(spark, nodes, costs), nodes, costs),
+        _kept(spark, "stitching multicut", solvers.stitching_multicut(spark, nodes.select("node").distinct(), stitch), nodes, costs, False),
+        _kept(spark, "agglomerative clustering", solvers.agglomerative_clustering(spark, nodes, costs.select("u", "v", "mean", "size"), 65.0), nodes, costs, False),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+_SEGMENTATIONS = ["watershed", "two pass watershed", "watershed from seeds", "mutex watershed", "agglomeration"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS segmentation, (SELECT count(*) FROM vx) AS voxels, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS split" for n in _SEGMENTATIONS), VX)
+def segmentation_invariants(spark, sf_dir):
+    """Every voxel has a label, and each label's voxels are connected."""
+    vox, blocking = raster(spark, sf_dir), _blocking(spark, sf_dir)
+    seeded = vox.withColumn("seed", F.when((F.col("y") % 5 == 2) & (F.col("x") % 5 == 2), F.col("ws")).otherwise(0))
+    made = [
+        segmentation.watershed(vox, "v", blocking),
+        segmentation.two_pass_watershed(vox, "v", blocking),
+        segmentation.watershed_from_seeds(seeded.withColumn("seed", F.col("block_id") * 10_000 + F.col("seed")).withColumn("seed", F.when(F.col("seed") % 10_000 > 0, F.col("seed")).otherwise(0)), "v", "seed", blocking),
+        segmentation.mutex_watershed(_affinities(vox), OFFSETS, blocking, size_filter=0),
+        # fragments of one block each, as a watershed gives them
+        segmentation.agglomerate(vox.withColumn("ws", F.col("block_id") * 10_000 + F.col("ws")), "ws", "v", blocking, threshold=0.2),
+    ]
+    out = None
+    for name, found in zip(_SEGMENTATIONS, made):
+        labelled = found.select(*AXES, F.col("ws").cast("long").alias("ws"), (F.col("z") * 1000 + F.col("y") * 40 + F.col("x")).alias("voxel"))
+        parts = graph.voxel_components(spark, Scratch(spark, "segments").save(labelled, "labels"), "ws")
+        row = parts.agg(F.count("*").alias("voxels"), F.count_if(F.col("ws") == 0).alias("uncovered"), (F.count_distinct("ws", "component") - F.count_distinct("ws")).alias("split"))
+        row = row.select(F.lit(name).alias("segmentation"), "voxels", "uncovered", "split")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query()
+def filtered_edge_features(spark, sf_dir):
+    found = agg.filtered_edge_features(raster(spark, sf_dir), "ws", "v", _blocking(spark, sf_dir), {"gaussianSmoothing": [1.0], "laplacianOfGaussian": [1.0]}, (3, 4, 4))
+    return rounded(found, "mean", "var", "min", "max")
+
+
+@query()
+def multiscale_inference(spark, sf_dir):
+    vox = raster(spark, sf_dir).select(*AXES, "v")
+    return models.multiscale_inference([vox, resample.downscale(vox, "v", (1, 5, 5), "mean")], "v", [(1, 5, 5)], _blocking(spark, sf_dir), _fine_less_coarse, [(0, 2, 2), (0, 1, 1)])
+
+
+def _fine_less_coarse(data):
+    return data[0] - data[1]

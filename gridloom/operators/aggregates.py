@@ -122,3 +122,27 @@ def downscale_multiset(hist: DataFrame, factor: tuple[int, int, int], restrict_s
 
 def multiset_argmax(hist: DataFrame) -> DataFrame:
     return hist.select(*AXES, F.col("hist")[0]["id"].alias("label"))
+
+
+def filtered_edge_features(vox: DataFrame, label: str, value: str, blocking, filters: dict[str, list[float]], halo: tuple[int, int, int] = (4, 8, 8), in_2d: bool = False, ignore_label: bool = False, exact: bool = True) -> DataFrame:
+    """``(u, v, filter, sigma, mean, var, …)``: features of each edge under each filter response at each sigma.
+
+    Responses are computed on blocks read with ``halo``; a table with a channel ``c`` has its channels filtered one by
+    one, and ``c`` in its result.
+    """
+    from gridloom.operators.stencils import image_filter
+
+    channels = [r.c for r in vox.select("c").distinct().orderBy("c").collect()] if "c" in vox.columns else [None]
+    out = None
+    for c in channels:
+        own = (vox if c is None else vox.where(F.col("c") == c)).select(*AXES, label, value)
+        for name, sigmas in filters.items():
+            for sigma in sigmas:
+                response = image_filter(own.select(*AXES, value), value, blocking, name, float(sigma), halo, in_2d)
+                found = edge_features(edge_pairs(response.select(*AXES, value).join(own.select(*AXES, label), list(AXES)), label, value, ignore_label), exact)
+                tags = [F.lit(name).alias("filter"), F.lit(float(sigma)).alias("sigma")] + ([] if c is None else [F.lit(int(c)).cast("long").alias("c")])
+                found = found.select("u", "v", *tags, *found.columns[2:])
+                out = found if out is None else out.unionByName(found)
+    if out is None:
+        raise ValueError("no filter")
+    return out

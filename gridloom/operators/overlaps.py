@@ -59,12 +59,19 @@ def stitch_edges(vox: DataFrame, label: str, edges: DataFrame) -> DataFrame:
     return edges.join(crossing, ["u", "v"], "left").fillna(False, ["stitch"])
 
 
-def stitch_assignments(spark, edges: DataFrame, size_threshold: int = 0, serialize_edges: bool = False) -> DataFrame:
-    """Stitch edges larger than the threshold: the edges, or the labels' components numbered from 1."""
+def stitch_assignments(spark, edges: DataFrame, size_threshold: int = 0, serialize_edges: bool = False, nodes: DataFrame | None = None) -> DataFrame:
+    """Stitch edges larger than the threshold: the edges, or the components numbered from 1 of all ``nodes(node)``.
+
+    Without ``nodes`` these are the ends of all edges; a node on no edge to be merged is a component of its own.
+    """
     merge = edges.where(F.col("stitch") & (F.col("size") > size_threshold))
     if serialize_edges:
         return merge
-    return numbered(connected_components(spark, merge.select("u", "v")), "component")
+    if nodes is None:
+        nodes = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node")))
+    found = connected_components(spark, merge.select("u", "v"))
+    every = nodes.select("node").distinct().join(found, "node", "left")
+    return numbered(every.select("node", F.coalesce("component", "node").alias("component")), "component")
 
 
 def numbered(table: DataFrame, label: str) -> DataFrame:

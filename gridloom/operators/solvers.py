@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import log_odds
@@ -112,16 +112,16 @@ def multicut(spark: SparkSession, nodes: DataFrame, edges: DataFrame, grid: tupl
 
 
 def sub_solutions(cut: DataFrame, nodes: DataFrame, edges: DataFrame, spark: SparkSession) -> DataFrame:
-    """``(block_id, node, label)``: the parts of each block's solution, labels unique by offsets in order of blocks."""
+    """``(block_id, node, label)``: the parts of each block's solution, numbered from 1 in order of blocks."""
     from gridloom.operators.components import connected_components
+    from gridloom.operators.relabel import find_labeling
 
     merge = edges.select("u", "v").join(cut, ["u", "v"], "left_anti")
     found = connected_components(spark, merge)
     own = nodes.where("node <> 0").join(found, "node", "left").select("block_id", "node", F.coalesce("component", "node").alias("root"))
-    local = own.withColumn("k", F.dense_rank().over(Window.partitionBy("block_id").orderBy("root")))
-    tops = local.groupBy("block_id").agg(F.max("k").alias("n"))  # one row a block
-    begin = F.coalesce(F.sum("n").over(Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return local.join(F.broadcast(tops.select("block_id", begin.alias("begin"))), "block_id").select("block_id", "node", (F.col("k") + F.col("begin")).cast("long").alias("label"))
+    own = own.withColumn("label", F.struct("block_id", "root"))
+    # numbered by range partitions, so neither one task nor the driver holds a row for each block
+    return own.join(find_labeling(own, start=1), "label").select("block_id", "node", F.col("new_label").alias("label"))
 
 
 def stitching_multicut(spark: SparkSession, nodes: DataFrame, edges: DataFrame, beta1: float = 0.5, beta2: float = 0.75, solver: str = "kernighan-lin") -> DataFrame:

@@ -1,7 +1,8 @@
 """Durable intermediate tables: lineage is cut by writing Parquet to the folder all executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster; only where it is unset (tests, a laptop)
-a temporary folder of this machine is made and registered as the checkpoint folder.
+a temporary folder of this machine is made and registered as the checkpoint folder. A cluster without a shared folder
+is an error: its executors would each write to their own disk.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -214,11 +214,25 @@ def downscaling_workflow(vox: DataFrame, value: str, scales: list, mode: str = "
     return done
 
 
-def copy_sources_workflow(spark: SparkSession, pattern: str, path: str, blocking: Blocking, scales: list, mode: str = "mean") -> list[DataFrame]:
-    """Array files to a written pyramid (one file's first channel)."""
+def copy_channels_workflow(spark: SparkSession, pattern: str, path: str, blocking: Blocking, scales: list, mode: str = "mean") -> dict[tuple[str, int], list[DataFrame]]:
+    """Array files to written pyramids: ``(file, channel)`` to its levels, each in ``path/<k>`` if there are several."""
     from gridloom.sources.volumes import read_arrays
 
-    return downscaling_workflow(read_arrays(spark, pattern).where("c = 0").select(*AXES, "v"), "v", scales, mode, path, blocking)
+    arrays = read_arrays(spark, pattern)
+    parts = sorted((r.file, r.c) for r in arrays.select("file", "c").distinct().collect())  # a row for each file and channel
+    out = {}
+    for k, (name, c) in enumerate(parts):
+        own = arrays.where((F.col("file") == name) & (F.col("c") == c)).select(*AXES, "v")
+        out[name, c] = downscaling_workflow(own, "v", scales, mode, path if len(parts) == 1 else f"{path}/{k}", blocking)
+    return out
+
+
+def copy_sources_workflow(spark: SparkSession, pattern: str, path: str, blocking: Blocking, scales: list, mode: str = "mean") -> list[DataFrame]:
+    """A file of one channel to a written pyramid; several files or channels are for ``copy_channels_workflow``."""
+    done = copy_channels_workflow(spark, pattern, path, blocking, scales, mode)
+    if len(done) != 1:
+        raise ValueError(f"{len(done)} files and channels")
+    return next(iter(done.values()))
 
 
 def learning_workflow(inputs: list[tuple[DataFrame, str, str, str]], trees: int = 100):

@@ -263,3 +263,55 @@ def test_distances_by_brute_force(spark):
                 if d < 4:
                     want[a, b] = d
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_filtered_features_are_those_of_each_response(spark):
+    from gridloom.operators import aggregates as agg
+    from gridloom.operators.stencils import image_filter
+
+    rng = np.random.default_rng(5)
+    rows = [(z, y, x, float(rng.random()), y // 3 * 2 + x // 4 + 1) for z in range(3) for y in range(6) for x in range(8)]
+    vox = spark.createDataFrame(rows, "z long, y long, x long, v double, ws long")
+    blocking = Blocking((3, 6, 8), (3, 6, 8))
+    found = agg.filtered_edge_features(vox, "ws", "v", blocking, {"gaussianSmoothing": [0.8, 1.5], "laplacianOfGaussian": [1.0]}, (0, 0, 0))
+    for name, sigma in (("gaussianSmoothing", 0.8), ("gaussianSmoothing", 1.5), ("laplacianOfGaussian", 1.0)):
+        response = image_filter(vox.select("z", "y", "x", "v"), "v", blocking, name, sigma, (0, 0, 0)).toPandas()
+        value = {(r.z, r.y, r.x): r.v for r in response.itertuples()}
+        label = {r[:3]: r[4] for r in rows}
+        want = {}
+        for (z, y, x), a in label.items():
+            for p in ((z + 1, y, x), (z, y + 1, x), (z, y, x + 1)):
+                if p in label and label[p] != a:
+                    want.setdefault((min(a, label[p]), max(a, label[p])), []).append(max(value[z, y, x], value[p]))
+        got = {(r.u, r.v): r for r in found.where(f"filter = '{name}' AND sigma = {sigma}").collect()}
+        assert set(got) == set(want)
+        for k, values in want.items():
+            assert got[k].size == len(values) and abs(got[k]["mean"] - np.mean(values)) < 1e-9 and abs(got[k]["max"] - max(values)) < 1e-12
+    channels = agg.filtered_edge_features(vox.withColumn("c", (vox.x * 0).cast("long")).unionByName(vox.withColumn("c", (vox.x * 0 + 1).cast("long"))), "ws", "v", blocking, {"gaussianSmoothing": [1.0]}, (0, 0, 0))
+    assert {r.c for r in channels.collect()} == {0, 1}
+    assert channels.count() == 2 * len(want)
+
+
+def test_stitch_assignments_label_every_node(spark):
+    from gridloom.operators import overlaps
+
+    edges = spark.createDataFrame([(1, 2, 9, True), (2, 3, 2, True), (4, 5, 9, False), (7, 9, 8, True)], "u long, v long, size long, stitch boolean")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 6, 7, 9)], "node long")
+    got = {r.node: r.label for r in overlaps.stitch_assignments(spark, edges, 5, nodes=nodes).collect()}
+    assert got == {1: 1, 2: 1, 3: 2, 4: 3, 5: 4, 6: 5, 7: 6, 9: 6}
+    assert len(overlaps.stitch_assignments(spark, edges, 5).collect()) == 7
+
+
+def test_all_channels_and_files_are_copied(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    both = rng.random((2, 2, 4, 4)), rng.random((2, 4, 4))
+    for k, data in enumerate(both):
+        np.save(tmp_path / f"a{k}.npy", data)
+    done = workflows.copy_channels_workflow(spark, f"{tmp_path}/*.npy", str(tmp_path / "p"), Blocking((2, 4, 4), (2, 4, 4)), [2])
+    assert sorted(c for _, c in done) == [0, 0, 1]
+    for (name, c), levels in done.items():
+        data = both[0][c] if name.endswith("a0.npy") else both[1]
+        assert np.allclose(dense(levels[0], "v", data.shape).astype(float), data)
+        assert np.allclose(dense(levels[1], "v", (1, 2, 2)).astype(float), data.reshape(1, 2, 2, 2, 2, 2).mean(axis=(1, 3, 5)))
+    with pytest.raises(ValueError):
+        workflows.copy_sources_workflow(spark, f"{tmp_path}/*.npy", str(tmp_path / "q"), Blocking((2, 4, 4), (2, 4, 4)), [2])
