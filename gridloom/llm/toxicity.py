@@ -4,10 +4,13 @@ A word is the average of the vectors of its character n-grams and of itself, a t
 linear softmax over that decides. Vectors and softmax are trained together by gradient descent on a bounded
 sample of labelled rows. Unseen misspellings and inflections get the vectors of the n-grams they share.
 
-A null text is an empty one and scores the class prior, as does a text of which no n-gram is known. Labels that
-are null are not learned from; of several labels of one id each counts. With no labels, or those of one class
-only, every score is 0 and nothing is toxic. Rows are independent: repeated rows get repeated results, an empty
-table gives an empty one. Other columns are ignored.
+Only n-grams have vectors whose share of texts differs between the classes by more than chance explains, so that few
+rows aren't learned by heart; words without one are left out of the average, so that long texts hide nothing.
+
+A null text is an empty one and scores the class prior; a text of which no n-gram is known scores the bias alone.
+Labels that are null are not learned from; of several labels of one id each counts. With no labels, those of one class
+only, or no n-gram that tells the classes apart, every score is 0 and nothing is toxic. Rows are independent: repeated
+rows get repeated results, an empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ SAMPLE = 10_000
 SIZES, DIM, EPOCHS, RATE, DECAY, SEED = (3, 4, 5), 4, 12, 2.0, 1e-4, 3
 #: An n-gram needs so many documents of the sample, and one in so many of them.
 LEAST, ONE_IN = 4, 200
+#: And its share of one class's texts must be so many standard deviations from the other's. By chance alone one n-gram
+#: in 15,000 is that far off.
+CLEAR = 4.0
 FOLDS, HELD_OUT = 5, 0
 PLACES = 1 << 22
 CACHE_WORDS = 400_000
@@ -51,10 +57,11 @@ class Model:
     def __reduce__(self):
         return Model, (self.weight, self.bias, self.prior)
 
-    def word(self, word: str) -> float:
+    def word(self, word: str) -> float | None:
+        """Its average, none if no n-gram of it is known."""
         weight = self.weight
         known = [weight[g] for g in grams(word) if g in weight]
-        value = sum(known) / len(known) if known else 0.0
+        value = sum(known) / len(known) if known else None
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
         if len(word) <= 64:
@@ -67,10 +74,10 @@ class Model:
             return self.prior
         known = self.words
         try:
-            total = sum([known[w] for w in found])
+            values = [v for w in found if (v := known[w]) is not None]
         except KeyError:
-            total = sum([known[w] if w in known else self.word(w) for w in found])
-        return float(1 / (1 + np.exp(-(self.bias + total / len(found)))))
+            values = [v for w in found if (v := known[w] if w in known else self.word(w)) is not None]
+        return float(1 / (1 + np.exp(-(self.bias + sum(values) / max(1, len(values))))))
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, batch: int = 64) -> Model:
@@ -98,10 +105,25 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, d
         lists.append(np.array([gram.setdefault(g, len(gram)) for g in grams(w) if often[crc32(g.encode()) % PLACES]], np.int32))
     if not gram:
         return Model()
+    # of these, those that stand in more, or fewer, texts of one class than chance explains
+    holds = np.zeros((2, len(gram)))
+    for (words, _), y in zip(docs, labels.tolist()):
+        if len(words):
+            holds[y, np.unique(np.concatenate([lists[w] for w in words]))] += 1
+    texts_of = np.bincount(labels, minlength=2)
+    both = holds.sum(axis=0) / len(labels)
+    spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / texts_of).sum())
+    tells = np.abs(holds[1] / texts_of[1] - holds[0] / texts_of[0]) >= CLEAR * spread
+    place = np.where(tells, np.cumsum(tells) - 1, -1)
+    gram = {g: int(place[k]) for g, k in gram.items() if tells[k]}
+    if not gram:
+        return Model()
+    lists = [place[x][tells[x]].astype(np.int32) for x in lists]
     bags = []
     for words, count in docs:
         ids = [lists[w] for w in words]
-        share = np.repeat(count / max(1.0, count.sum()) / [max(1, len(x)) for x in ids], [len(x) for x in ids])
+        size = np.array([len(x) for x in ids], np.int64)
+        share = np.repeat(count / max(1.0, count[size > 0].sum()) / np.maximum(size, 1), size)
         g, inverse = np.unique(np.concatenate(ids) if ids else np.zeros(0, np.int32), return_inverse=True)
         bags.append((g.astype(np.int32), np.bincount(inverse, share, len(g)).astype(np.float32)))
     del lists, docs, index
@@ -144,7 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "d
     drawn = labels.where((fold(id) != HELD_OUT) & F.col(label).isNotNull()).select(id, F.col(label).cast("int").alias("_y"))
     drawn = drawn.orderBy(F.xxhash64(id), id, "_y").limit(sample)
     # at most ``sample`` ids of 12 bytes
-    rows = docs.select(id, text).join(F.broadcast(drawn), id).select(text, "_y", id).collect()
+    met = docs.select(id, text).join(F.broadcast(drawn), id).select(text, "_y", id)
+    # an id may have several texts: again at most ``sample`` rows
+    rows = met.orderBy(F.xxhash64(id), id, "_y", F.xxhash64(text)).limit(sample).collect()
     return fit([(r[0] or "", int(r[1] > 0)) for r in sorted(rows, key=lambda r: (r[2], r[1], r[0] or ""))])
 
 

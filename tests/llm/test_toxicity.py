@@ -50,3 +50,51 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in tx.score(spark, docs, tx.train(docs, none)).collect()] == [0.0, 0.0]
+
+
+def invented(n, share, seed, insults):
+    """Texts of 300 invented words, of which the toxic ones hold three insults out of ten."""
+    rng = random.Random(seed)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt"]
+    out = []
+    for _ in range(n):
+        words = ["".join(rng.choices(parts, k=rng.randrange(1, 5))) for _ in range(300)]
+        bad = rng.random() < share
+        for _ in range(3 if bad else 0):
+            words[rng.randrange(300)] = rng.choice(insults)
+        out.append((" ".join(words), int(bad)))
+    return out
+
+
+def test_few_labelled_rows_are_enough():
+    insults = "gwyzzo blurk skrott pathum vlimp zorbel krazzik mudge dwixen fompty".split()
+    model = tx.fit(invented(330, 0.14, 1, insults))
+    held_out = invented(600, 0.14, 2, insults)
+    caught = sum(model.score(t) >= 0.5 for t, y in held_out if y) / sum(y for _, y in held_out)
+    flagged = sum(model.score(t) >= 0.5 for t, y in held_out if not y) / sum(1 - y for _, y in held_out)
+    assert caught >= 0.7 and flagged <= 0.03, (caught, flagged)
+    # better than the class that most rows have
+    right = sum((model.score(t) >= 0.5) == (y == 1) for t, y in held_out)
+    assert right > sum(1 - y for _, y in held_out)
+    clean = next(t for t, y in held_out if not y)
+    long = " ".join([clean] * 700) + " gwyzzo blurk skrott vlimp gwyzzo mudge"
+    assert model.score(long) >= 0.5 > model.score(" ".join([clean] * 700))
+
+
+def test_empty_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert tx.op5_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_of_one_id_stay_within_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    original = tx.fit
+    tx.fit = lambda rows: seen.append(len(rows)) or original(rows)
+    try:
+        tx.train(docs, labels, sample=5)
+    finally:
+        tx.fit = original
+    assert seen == [5]
