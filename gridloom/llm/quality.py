@@ -1,13 +1,13 @@
 """Operator 3: quality by an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters, ``ORDER`` of them, one for each language. N-grams of all trusted documents are
-counted in their partitions and added up; counts, continuation counts, context totals and lower orders then meet
-in joins sharded by (language, n-gram), which give each n-gram its interpolated probability and each context its
-back-off weight. The table is cut into shards by the character before the last, which all entries that a character
-needs have in common (single characters are in every shard). A document passes the shards of the model one after
-the other and adds up its log-probability, so that neither the model nor a document's n-grams are ever in one
-place. A document is rejected if its perplexity is over a limit for its language, an upper quantile of the trusted
-documents', widened by a margin. Short texts are drawn towards the language's mean by ``WEIGHT`` characters.
+The model is over characters, ``ORDER`` of them, one for each language. Documents are dealt to chunks of bounded
+size; the n-grams of a chunk are gathered once, with their counts in its trusted documents. The counts of all
+chunks are added up; counts, continuation counts, context totals and lower orders meet in joins sharded by (language,
+n-gram), which give each n-gram its interpolated probability and each context its back-off weight. More such joins
+score every n-gram that occurs in any document and bring the scores to the chunks that need them, whose documents
+stream past them and add up their log-probabilities. Neither the driver nor a broadcast holds the model. A document
+is rejected if its perplexity is over a limit for its language, an upper quantile of the trusted documents', widened
+by a margin. Short texts are drawn towards the language's mean by ``WEIGHT`` characters.
 
 A null or empty text has the language's mean perplexity and is kept; a null language is one of its own (''). A
 language without trusted text keeps all its documents (null perplexity and limit). Repeated rows are judged
@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from gridloom.llm.common import read_table, slices, with_columns
+from gridloom.llm.common import read_table, slices
 from gridloom.plans.scratch import Scratch
 
 ORDER = 4
@@ -67,43 +67,15 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def count_ngrams(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``(lang, gram, n)``: counts of all windows of all texts, added up within partitions first."""
-
-    def run(batches):
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for whole in batches:
-            for batch in slices(whole):
-                langs, body = strings(batch, lang), strings(batch, text)
-                for name in set(langs):
-                    flat, starts = codes([t for t, x in zip(body, langs) if x == name])
-                    code = windows(flat)
-                    g, n = np.unique(code[ends(starts, len(code))], return_counts=True)
-                    if name in held:
-                        g, back = np.unique(np.concatenate([held[name][0], g]), return_inverse=True)
-                        n = np.bincount(back, np.concatenate([held[name][1], n]), len(g)).astype(np.int64)
-                    held[name] = g, n
-                    if len(g) > SHARD_ROWS:
-                        yield _counted(name, *held.pop(name))
-        for name, (g, n) in held.items():
-            yield _counted(name, g, n)
-
-    return docs.select(F.coalesce(lang, F.lit("")).alias(lang), text).mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _counted(name: str, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
-
-
 def _mask(order: int) -> int:
     return (1 << 16 * order) - 1 if order < 4 else -1
 
 
-def kneser_ney(scratch: Scratch, counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """For each order from 1 on: ``(lang, gram, p, backoff)``.
+def kneser_ney(scratch: Scratch, counts: DataFrame, order: int = ORDER) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+    """For each order from 1 on ``(lang, gram, p)`` and ``(lang, gram, backoff)``.
 
-    ``p`` is the interpolated probability of a seen n-gram's last character, null for what is only a context;
-    ``backoff`` is the weight of the next lower order after this n-gram as a context, null if it is none.
+    ``p`` is the interpolated probability of a seen n-gram's last character; ``backoff`` is the weight of the next
+    lower order after ``gram``, the n-gram's context (one character shorter than the order).
     """
     level = {order: counts}
     for k in range(order - 1, 0, -1):
@@ -131,128 +103,167 @@ def kneser_ney(scratch: Scratch, counts: DataFrame, order: int = ORDER) -> list[
             p = p.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("q")).alias("p"))
         lower = scratch.save(p, f"p{k}")
         tables[k], weights[k] = lower, context.select("lang", F.col("context").alias("gram"), F.col("weight").alias("backoff"))
-    return [tables[k].join(weights[k + 1], ["lang", "gram"], "full") if k < order else tables[k].withColumn("backoff", F.lit(None).cast("double")) for k in range(1, order + 1)]
-
-
-class Shard:
-    """A part of every language's model, as sorted arrays of n-grams, log-probabilities and back-off weights."""
-
-    def __init__(self, number: int, shards: int, rows):
-        self.number, self.shards = number, shards
-        self.tables: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        self.floor: dict[str, float] = {}
-        held: dict[tuple[str, int], list] = {}
-        for lang, order, gram, p, backoff in rows:
-            held.setdefault((lang, order), []).append((gram, p, backoff))
-        for lang in {x for x, _ in held}:
-            parts = []
-            for k in range(1, ORDER + 1):
-                rows = held.get((lang, k), [])
-                g = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-                p = np.array([np.nan if r[1] is None else math.log(r[1]) for r in rows])
-                b = np.array([0.0 if r[2] is None else math.log(r[2]) for r in rows])
-                at = np.argsort(g, kind="stable")
-                parts.append((g[at], p[at], b[at]))
-            self.tables[lang] = parts
-
-    def log_probability(self, lang: str, code: np.ndarray) -> np.ndarray:
-        """Of the last character of each window after the others; 0 for windows of other shards."""
-        out = np.zeros(len(code))
-        mine = np.ones(len(code), bool) if self.shards == 1 else (code >> np.uint64(16)) % np.uint64(65536) % np.uint64(self.shards) == self.number
-        todo, back = np.flatnonzero(mine), None
-        todo_code = code[todo]
-        back = np.zeros(len(todo))
-        for k in range(ORDER, 0, -1):
-            g, p, _ = self.tables[lang][k - 1]
-            seen, at = _find(g, todo_code & np.uint64(_mask(k) & (1 << 64) - 1))
-            seen[seen] = ~np.isnan(p[at[seen]])
-            out[todo[seen]] = back[seen] + p[at[seen]]
-            todo, todo_code, back = todo[~seen], todo_code[~seen], back[~seen]
-            if not len(todo):
-                return out
-            if k > 1:
-                g, _, b = self.tables[lang][k - 2]
-                seen, at = _find(g, (todo_code >> np.uint64(16)) & np.uint64(_mask(k - 1)))
-                back[seen] += b[at[seen]]
-        # a character that was never seen: the share of the unseen at order one
-        out[todo] = back + self.floor[lang]
-        return out
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return keys[at] == wanted, at
-
-
-def build_shards(spark: SparkSession, counts: DataFrame, shard_rows: int = SHARD_ROWS) -> list:
-    """The model as broadcasts of at most about ``shard_rows`` entries each."""
-    scratch = Scratch(spark, "quality")
-    counts = scratch.save(counts, "counts")
-    levels = kneser_ney(scratch, counts)
-    model = None
-    for k, table in enumerate(levels, 1):
-        # entries of a character share the one before it: the last of a context, the last but one of an n-gram
-        rows = table.select("lang", F.lit(k).alias("order"), "gram", F.col("p"), F.col("backoff"))
-        model = rows if model is None else model.unionByName(rows)
-    model = scratch.save(model, "model")
-    shards = max(1, math.ceil(model.count() / shard_rows))
-    last = lambda c: F.pmod(F.col(c).bitwiseAND(0xFFFF), F.lit(shards))
-    before = F.pmod(F.shiftrightunsigned("gram", 16).bitwiseAND(0xFFFF), F.lit(shards))
-    floors = {r.lang: r for r in model.where("order = 1 AND p IS NOT NULL").groupBy("lang").agg(F.count("*").alias("v")).collect()}
-    unseen = {r.lang: r.weight for r in spark.read.parquet(scratch._paths["context1"]).collect()}
-    out = []
-    for s in range(shards):
-        as_gram = model.where(F.col("p").isNotNull() & ((F.col("order") == 1) | (before == s))).select("lang", "order", "gram", "p", F.lit(None).cast("double").alias("backoff"))
-        as_context = model.where(F.col("backoff").isNotNull() & (last("gram") == s)).select("lang", "order", "gram", F.lit(None).cast("double").alias("p"), "backoff")
-        both = as_gram.unionByName(as_context).groupBy("lang", "order", "gram").agg(F.max("p").alias("p"), F.max("backoff").alias("backoff"))
-        shard = Shard(s, shards, ((r.lang, r.order, r.gram, r.p, r.backoff) for r in both.toLocalIterator()))
-        shard.floor = {name: math.log(unseen[name] / (floors[name].v + 1)) for name in floors}
-        out.append(spark.sparkContext.broadcast(shard))
-    return out
+    return tables, weights
 
 
-def log_probabilities(df: DataFrame, shards: list, lang: str = "lang", text: str = "text") -> DataFrame:
-    """``df`` with ``logp`` (sum of log-probabilities; null if the language has no model) and ``length`` (characters)."""
-    for number, shared in enumerate(shards):
+def score_ngrams(grams: DataFrame, tables: dict[int, DataFrame], weights: dict[int, DataFrame]) -> DataFrame:
+    """``(lang, gram, logp)`` for distinct ``(lang, gram)``: longest n-gram seen, less what backing off to it costs.
+
+    Null where a language has no model. Orders are joined one after the other, on the n-gram's end and its context.
+    """
+    out = grams.select("lang", "gram")
+    # one row for each language: what is left for characters that were never seen
+    unseen = weights[1].select("lang", F.ln("backoff").alias("_left")).join(tables[1].groupBy("lang").agg(F.ln(F.count("*") + 1).alias("_v")), "lang")
+    out = out.join(F.broadcast(unseen.select("lang", (F.col("_left") - F.col("_v")).alias("_0"))), "lang", "left")
+    for k in range(1, ORDER + 1):
+        end = F.col("gram").bitwiseAND(_mask(k))
+        # an order of one has no more rows than characters of 16 bits
+        small = F.broadcast if k == 1 else lambda table: table
+        p = small(tables[k].select("lang", F.col("gram").alias("_end"), F.ln("p").alias("_p")))
+        out = out.withColumn("_end", end).join(p, ["lang", "_end"], "left")
+        if k == 1:
+            logp = F.coalesce("_p", "_0")
+        else:
+            small = F.broadcast if k == 2 else lambda table: table
+            w = small(weights[k].select("lang", F.col("gram").alias("_context"), F.ln("backoff").alias("_w")))
+            out = out.withColumn("_context", F.shiftrightunsigned(end, 16)).join(w, ["lang", "_context"], "left")
+            logp = F.coalesce("_p", F.coalesce("_w", F.lit(0.0)) + F.col("logp"))
+        out = out.select("lang", "gram", "_0", logp.alias("logp"))
+    return out.drop("_0")
 
-        def make(shared=shared, number=number):
-            own = shared.value
 
-            def run(batch):
-                langs, body = strings(batch, lang), strings(batch, text)
-                sums = np.zeros(len(body))
-                known = np.array([x in own.tables for x in langs])
-                for name in set(langs) & own.tables.keys():
-                    rows = np.flatnonzero(np.array([x == name for x in langs]))
-                    flat, starts = codes([body[r] for r in rows])
-                    code = windows(flat)
-                    use = ends(starts, len(code))
-                    unique, back = np.unique(code[use], return_inverse=True)
-                    value = np.zeros(len(code))
-                    value[use] = own.log_probability(name, unique)[back]
-                    total = np.concatenate([[0.0], np.cumsum(value)])
-                    begin, end = starts[:-1], np.maximum(starts[1:] - ORDER + 1, starts[:-1])
-                    sums[rows] = total[np.minimum(end, len(value))] - total[np.minimum(begin, len(value))]
-                if number:
-                    sums = sums + np.array(batch.column(batch.schema.get_field_index("logp")).to_numpy(zero_copy_only=False), float)
-                return [pa.array(sums, mask=~known), pa.array([len(t) for t in body], pa.int64())]
+def _runs(batches):
+    """The batches in slices that have one chunk and one kind of row: ``(chunk, kind, rows)``."""
+    for whole in batches:
+        for batch in slices(whole):
+            chunk, kind = (batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("chunk", "kind"))
+            edges = np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                yield int(chunk[begin]), int(kind[begin]), batch.slice(begin, end - begin)
 
-            return run
 
-        df = with_columns(df, [StructField("logp", DoubleType()), StructField("length", LongType())], make)
-    return df
+def _chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """Each chunk in a partition of its own, what its documents need (kind 0) before the documents (kind 1)."""
+    return rows.repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind")
+
+
+def chunk_ngrams(docs: DataFrame, trusted: DataFrame, chunks: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(chunk, lang, gram, n)``: the n-grams of each chunk, and how often they are in its trusted documents (0: never).
+
+    ``docs(chunk, key, lang, text)`` stream past the chunk's keys in ``trusted(chunk, key)``. An n-gram is in several
+    rows of a chunk if that has more than ``shard_rows`` of them.
+    """
+
+    def run(batches):
+        here, keys, held = None, set(), {}
+        for chunk, kind, part in _runs(batches):
+            if chunk != here:
+                for name in held:
+                    yield _counted(here, name, *held[name])
+                here, keys, held = chunk, set(), {}
+            ids = part.column(part.schema.get_field_index("key")).to_pylist()
+            if kind == 0:
+                keys.update(ids)
+                continue
+            langs, body = strings(part, "lang"), strings(part, "text")
+            for name, good in {(x, i in keys) for x, i in zip(langs, ids)}:
+                flat, starts = codes([t for t, x, i in zip(body, langs, ids) if x == name and (i in keys) == good])
+                code = windows(flat)
+                g, n = np.unique(code[ends(starts, len(code))], return_counts=True)
+                n = n.astype(np.int64) * good
+                if name in held:
+                    g, back = np.unique(np.concatenate([held[name][0], g]), return_inverse=True)
+                    n = np.bincount(back, np.concatenate([held[name][1], n]), len(g)).astype(np.int64)
+                held[name] = g, n
+                if len(g) > shard_rows:
+                    yield _counted(here, name, *held.pop(name))
+        for name in held:
+            yield _counted(here, name, *held[name])
+
+    rows = docs.withColumn("kind", F.lit(1)).unionByName(trusted.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    return _chunked(rows, chunks).mapInArrow(run, "chunk int, lang string, gram long, n long")
+
+
+def _counted(chunk: int, name: str, g: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), chunk, np.int32)), pa.array([name] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["chunk", "lang", "gram", "n"])
+
+
+def log_probabilities(docs: DataFrame, scores: DataFrame, chunks: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``logp`` (sum of log-probabilities; null if the language has no model) and ``length`` (characters).
+
+    ``docs(chunk, lang, text, ...)`` stream past their chunk's n-grams, ``scores(chunk, lang, gram, logp)``.
+    """
+    names = [c for c in docs.columns if c not in ("chunk", *drop)]
+    schema = StructType([*(docs.schema[c] for c in names), StructField("logp", DoubleType()), StructField("length", LongType())])
+
+    def run(batches):
+        here, parts, tables = None, [], {}
+        for chunk, kind, part in _runs(batches):
+            if chunk != here:
+                here, parts, tables = chunk, [], {}
+            if kind == 0:
+                parts.append(pa.table([part.column(part.schema.get_field_index(c)) for c in ("lang", "gram", "score")], names=["lang", "gram", "score"]))
+                continue
+            if parts:
+                tables, parts = _tables(pa.concat_tables(parts)), []
+            langs, body = strings(part, "lang"), strings(part, "text")
+            sums = np.zeros(len(body))
+            for name in set(langs) & tables.keys():
+                rows = np.flatnonzero(np.array([x == name for x in langs]))
+                flat, starts = codes([body[r] for r in rows])
+                code = windows(flat)
+                use = ends(starts, len(code))
+                grams, logp = tables[name]
+                at = np.minimum(np.searchsorted(grams, code[use]), len(grams) - 1)
+                if (grams[at] != code[use]).any():
+                    raise RuntimeError("an n-gram of a document isn't among those of its chunk: the documents changed between two reads")
+                value = np.zeros(len(code))
+                value[use] = logp[at]
+                total = np.concatenate([[0.0], np.cumsum(value)])
+                begin, end = starts[:-1], np.maximum(starts[1:] - ORDER + 1, starts[:-1])
+                sums[rows] = total[np.minimum(end, len(value))] - total[np.minimum(begin, len(value))]
+            columns = [part.column(part.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sums, mask=np.isnan(sums)), pa.array([len(t) for t in body], pa.int64())], names=[*names, "logp", "length"])
+
+    needs = scores.select("chunk", F.lit(0).alias("kind"), "lang", "gram", F.col("logp").alias("score"))
+    rows = docs.withColumn("kind", F.lit(1)).unionByName(needs, allowMissingColumns=True)
+    return _chunked(rows, chunks).mapInArrow(run, schema)
+
+
+def _tables(scored: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each language's n-grams in order, and their log-probabilities (not a number without a model)."""
+    langs = scored.column("lang").combine_chunks().dictionary_encode()
+    code = langs.indices.to_numpy()
+    grams = scored.column("gram").to_numpy().view(np.uint64)
+    logp = scored.column("score").to_numpy()
+    out = {}
+    for k, name in enumerate(langs.dictionary.to_pylist()):
+        g, p = grams[code == k], logp[code == k]
+        at = np.argsort(g, kind="stable")
+        out[name] = g[at], p[at]
+    return out
 
 
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, lang, perplexity, threshold, keep)``, a hash of the text and the columns in ``carry``, for each row of ``docs``."""
+    """``(doc_id, lang, perplexity, threshold, keep)``, a hash of the text and the columns in ``carry``, for each row of ``docs``.
+
+    A chunk has texts of about 16 times ``shard_rows`` bytes.
+    """
     scratch = Scratch(spark, "perplexity")
-    trusted = labels.where("quality = 1").select("doc_id").distinct()
-    # merged at every size: the trusted ids grow with the corpus
-    shards = build_shards(spark, count_ngrams(docs.select("doc_id", "lang", "text").join(trusted.hint("merge"), "doc_id", "left_semi")), shard_rows)
-    body = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("_")]).alias("_row"), "text", F.xxhash64("text").alias("text_hash"))
-    scored = log_probabilities(body, shards).drop("text") if shards else body.select("*", F.lit(None).cast("double").alias("logp"), F.lit(0).cast("long").alias("length")).drop("text")
+    trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(1, math.ceil(size / (16 * shard_rows)))
+    # rows without an id are dealt by text; an id's rows meet its label
+    key = F.col("doc_id").cast("string")
+    place = lambda by: F.pmod(F.xxhash64(by), F.lit(chunks)).cast("int").alias("chunk")
+    lang = F.coalesce("lang", F.lit("")).alias("lang")
+    dealt = place(F.coalesce(key, "text", F.lit("")))
+    grams = scratch.save(chunk_ngrams(docs.select(dealt, key.alias("key"), lang, "text"), trusted.select(place(key), key.alias("key")), chunks, shard_rows), "grams")
+    every = scratch.save(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "every")
+    scores = scratch.save(score_ngrams(every, *kneser_ney(scratch, every.where("n > 0"))), "scores")
+    inner = [c for c in carry if c != "text"]
+    body = docs.select(dealt, "doc_id", lang, F.struct(*[F.col(c) for c in inner] or [F.lit(0).alias("_")]).alias("_row"), "text", F.xxhash64("text").alias("text_hash"))
+    scored = log_probabilities(body, grams.select("chunk", "lang", "gram").join(scores, ["lang", "gram"]), chunks, drop=() if "text" in carry else ("text",))
     scored = scratch.save(scored, "scored")
     known = scored.select("doc_id", "lang", "logp", "length").join(trusted, "doc_id", "left_semi").where("logp IS NOT NULL AND length > 0")
     # one row for each language
@@ -264,7 +275,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: i
     limits = ranked.where(F.col("below") >= QUANTILE * F.col("total")).groupBy("lang").agg(((F.min("bin") + 1) / GRAIN + MARGIN).alias("cut"))
     limits = scratch.save(means.join(limits, "lang"), "limits")
     out = scored.join(F.broadcast(limits), "lang", "left")
-    own = [F.col(f"_row.{c}").alias(f"carried_{c}") for c in carry]
+    own = [F.col(c if c == "text" else f"_row.{c}").alias(f"carried_{c}") for c in carry]
     return out.select("doc_id", "lang", F.exp(entropy).alias("perplexity"), F.exp("cut").alias("threshold"), F.coalesce(entropy <= F.col("cut"), F.lit(True)).alias("keep"), "text_hash", *own)
 
 
