@@ -10,11 +10,15 @@ brought to a sum of 1; values without a target keep nothing, targets of values t
 the rest brought to 1. Tokens are estimated as a fourth of the text's bytes, one at least, unless a column is
 named; the topic is the text's form unless a column is named. Null sources and languages are values of their own
 (''). Whether a document is drawn depends on its id, the seed and its cell alone, so rows that repeat an id are
-drawn alike; one without an id is drawn by its text. An empty table gives an empty one.
+drawn alike; one without an id is drawn by its text. An empty table gives an empty one. Margins that contradict each other
+(no cell for what is wanted) are met as nearly as the sweeps get, with a warning. Columns of the caller that have the name
+of a new one, or ``_s``, ``_l`` and ``_u``, are left out.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +28,8 @@ from gridloom.plans.scratch import Scratch
 
 MARGINS = ("source", "lang", "topic")
 TEMPER, BUDGET, SEED = 0.7, 0.8, 8
-SWEEPS, EXACT = 100, 1e-9
+#: Raking ends where no margin is off by more than ``EXACT`` of all tokens; beyond ``AGREED`` it warns.
+SWEEPS, EXACT, AGREED = 100, 1e-9, 1e-4
 #: Cells that are raked in the driver's memory (about 100 bytes each); more are raked in the cluster, alike.
 DRIVER_CELLS = 100_000
 
@@ -34,18 +39,22 @@ def tokens_of(text: str = "text") -> Column:
 
 
 def topic_of(text: str = "text") -> Column:
-    """A text's form: a licence, a table, capitals, or prose by its length."""
+    """A text's form: what is more than a quarter digits and signs is a listing, the rest prose by its length."""
     t = F.coalesce(text, F.lit(""))
+    signs = F.length(F.regexp_replace(t, r"[\p{L}\p{M}\s]+", ""))
     return (
-        F.when(t.contains("icense"), "licence")
-        .when(t.contains(" | "), "table")
-        .when(t.contains("!! "), "capitals")
+        F.when(signs * 4 > F.length(t), "listing")
         .when(F.octet_length(t) < 600, "short")
         .when(F.octet_length(t) < 4000, "medium")
         .otherwise("long")
     )
 
 
+def _warn_unless_agreed(worst: float) -> None:
+    if worst >= AGREED:
+        warnings.warn(f"margins still differ by {worst:.2g} of all tokens after {SWEEPS} sweeps: their targets may contradict each other", stacklevel=3)
+
+
 def _rake_here(cells, targets: dict[str, dict[str, float]], budget: float) -> np.ndarray:
     """Probabilities of cells given as a pandas frame with the margins and ``tokens``."""
     total = cells.tokens.to_numpy(float)
@@ -66,6 +75,7 @@ def _rake_here(cells, targets: dict[str, dict[str, float]], budget: float) -> np
             weight = weight * factor[code[m]]
         if worst < EXACT:
             break
+    _warn_unless_agreed(worst)
     factor = np.divide(weight, total, out=np.zeros(len(total)), where=total > 0)
     full = np.zeros(len(total), bool)
     while True:
@@ -99,6 +109,7 @@ def _rake_there(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFr
             last = f"w{sweep}{m}"
         if worst < EXACT:
             break
+    _warn_unless_agreed(worst)
     table = table.withColumn("factor", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0))
     edge, given = float("inf"), 0
     while True:
@@ -140,7 +151,7 @@ def draw(id: str, text: str, seed: int = SEED) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, seed: int = SEED, tokens: Column | None = None, topic: Column | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``mix_topic``, ``mix_tokens``, ``probability`` and ``kept`` (columns named so are replaced)."""
-    own = docs.drop("mix_topic", "mix_tokens", "probability", "kept", "_s", "_l")
+    own = docs.drop("mix_topic", "mix_tokens", "probability", "kept", "_s", "_l", "_u")
     own = own.withColumns({"_s": F.coalesce("source", F.lit("")), "_l": F.coalesce("lang", F.lit("")), "mix_topic": topic_of() if topic is None else topic, "mix_tokens": tokens_of() if tokens is None else tokens})
     cells = own.groupBy(F.col("_s").alias("source"), F.col("_l").alias("lang"), F.col("mix_topic").alias("topic")).agg(F.sum("mix_tokens").alias("tokens"))
     p = probabilities(spark, cells, targets, budget).select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("mix_topic"), "probability")

@@ -2,6 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pandas as pd
+import pytest
+
 from gridloom.llm import mixing as mx
 
 
@@ -80,3 +83,17 @@ def test_cluster_path_agrees(spark, monkeypatch):
 
 def test_empty(spark):
     assert mx.mix(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_contradicting_margins_warn():
+    cells = pd.DataFrame({"source": ["a", "b"], "lang": ["en", "fr"], "topic": ["x", "x"], "tokens": [50, 50]})
+    goals = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}, "topic": {"x": 1.0}}
+    with pytest.warns(UserWarning, match="margins still differ"):
+        p = mx._rake_here(cells, goals, 0.5)
+    assert abs(50 * p.sum() - 50) < 1e-9
+
+
+def test_topic_is_the_form(spark):
+    rows = [("",), (None,), ("word " * 10,), ("word " * 300,), ("word " * 900,), ("12 | 34 | 56",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(mx.topic_of()).collect()]
+    assert got == ["short", "short", "short", "medium", "long", "listing"]
