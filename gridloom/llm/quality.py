@@ -30,7 +30,8 @@ from gridloom.plans.scratch import Scratch
 ORDER = 4
 #: Characters are 16-bit codes: what lies beyond the basic plane is one character, and the border before a text another.
 BORDER, BEYOND = 0xFFFF, 0xFFFE
-SHARD_ROWS = 1_500_000
+#: N-grams that a task holds at most before it passes them on, and the bytes of text that a chunk has for each.
+SHARD_ROWS, SHARD_BYTES = 1_500_000, 32
 QUANTILE, MARGIN, WEIGHT = 0.995, 0.06, 40
 #: Perplexities are told apart to a thousandth of a nat.
 GRAIN = 1000
@@ -247,12 +248,12 @@ def _tables(scored: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, lang, perplexity, threshold, keep)``, a hash of the text and the columns in ``carry``, for each row of ``docs``.
 
-    A chunk has texts of about 16 times ``shard_rows`` bytes.
+    A chunk has texts of about ``SHARD_BYTES`` times ``shard_rows`` bytes.
     """
     scratch = Scratch(spark, "perplexity")
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).distinct()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(size / (16 * shard_rows)))
+    chunks = max(1, math.ceil(size / (SHARD_BYTES * shard_rows)))
     # rows without an id are dealt by text; an id's rows meet its label
     key = F.col("doc_id").cast("string")
     place = lambda by: F.pmod(F.xxhash64(by), F.lit(chunks)).cast("int").alias("chunk")
@@ -261,10 +262,12 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, shard_rows: i
     grams = scratch.save(chunk_ngrams(docs.select(dealt, key.alias("key"), lang, "text"), trusted.select(place(key), key.alias("key")), chunks, shard_rows), "grams")
     every = scratch.save(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "every")
     scores = scratch.save(score_ngrams(every, *kneser_ney(scratch, every.where("n > 0"))), "scores")
+    scratch.drop(*[name for name in scratch._paths if name not in ("grams", "scores")])
     inner = [c for c in carry if c != "text"]
     body = docs.select(dealt, "doc_id", lang, F.struct(*[F.col(c) for c in inner] or [F.lit(0).alias("_")]).alias("_row"), "text", F.xxhash64("text").alias("text_hash"))
     scored = log_probabilities(body, grams.select("chunk", "lang", "gram").join(scores, ["lang", "gram"]), chunks, drop=() if "text" in carry else ("text",))
     scored = scratch.save(scored, "scored")
+    scratch.drop("grams", "scores")
     known = scored.select("doc_id", "lang", "logp", "length").join(trusted, "doc_id", "left_semi").where("logp IS NOT NULL AND length > 0")
     # one row for each language
     means = F.broadcast(known.groupBy("lang").agg((-F.sum("logp") / F.sum("length")).alias("mean")))
