@@ -288,7 +288,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents over their language's limit go. Texts ride along with their scores, and meet no join."""
-    judged = judge(spark, docs, read_table(spark, sf_dir, "labels"), carry=tuple(docs.columns))
+    # whole rows are sorted and written chunk by chunk: chunks are smaller here
+    judged = judge(spark, docs, read_table(spark, sf_dir, "labels"), SHARD_ROWS // 4, carry=tuple(docs.columns))
     return judged.where("keep").select(*[F.col(f"carried_{c}").alias(c) for c in docs.columns])
 
 
