@@ -233,6 +233,19 @@ def label_block_mapping(spark, sf_dir):
     return relabel.label_blocks(raster(spark, sf_dir), "ws")
 
 
+@query("SELECT ws AS label, block_id // 4 AS part, list_sort(list(DISTINCT block_id)) AS blocks FROM vx GROUP BY ALL", VX)
+def label_block_ranges(spark, sf_dir):
+    return relabel.label_block_ranges(raster(spark, sf_dir), "ws", 4)
+
+
+@query(
+    "SELECT block_id, CAST(coalesce(sum(n) OVER (ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM (SELECT block_id, count(*) AS n FROM vx GROUP BY block_id)",
+    VX,
+)
+def sub_volume_offsets(spark, sf_dir):
+    return resample.sub_volume_offsets(raster(spark, sf_dir).groupBy("block_id").agg(F.count("*").alias("n")))
+
+
 @query("SELECT node, label + 1000 AS segment FROM lab WHERE label<>0 AND label IN (SELECT label FROM lab GROUP BY label HAVING count(*) > 1)", VX, NODE_LABEL)
 def fragment_segments(spark, sf_dir):
     return relabel.fragment_segment_assignment(node_labels(raster(spark, sf_dir)), 1000)

@@ -51,6 +51,14 @@ def label_blocks(vox: DataFrame, label: str) -> DataFrame:
     return vox.groupBy(F.col(label).alias("label")).agg(F.array_sort(F.collect_set("block_id")).alias("blocks"))
 
 
+def label_block_ranges(vox: DataFrame, label: str, span: int = 4096) -> DataFrame:
+    """``(label, part, blocks)``: the same, one row for each range of ``span`` block ids in which the label occurs.
+
+    A label that is in most blocks, as background is, has rows of at most ``span`` ids, made in as many tasks.
+    """
+    return vox.groupBy(F.col(label).alias("label"), F.floor(F.col("block_id") / span).alias("part")).agg(F.array_sort(F.collect_set("block_id")).alias("blocks"))
+
+
 def fragment_segment_assignment(assignments: DataFrame, offset: int = 0) -> DataFrame:
     """``(node, segment)`` for fragments whose segment has more than one fragment; segments get ids after ``offset``."""
     many = assignments.where("label <> 0").groupBy("label").count().where("count > 1").select("label")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import reducer
 from gridloom.model import AXES
+from gridloom.plans.scratch import Scratch
 
 #: Ways to bring the voxels of a cell to one; the last three are for labels.
 MODES = ("mean", "max", "min", "sum", "median", "first", "nearest", "mode")
@@ -94,5 +95,16 @@ def remap(vox: DataFrame, value: str, coordinates: DataFrame, fill: float = 0.0)
 
 
 def sub_volume_offsets(blocks: DataFrame) -> DataFrame:
-    """``(block_id, offset)``: running sums of ``n`` before each block (one row a block)."""
-    return blocks.select("block_id", F.coalesce(F.sum("n").over(Window.orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    """``(block_id, offset)``: sums of ``n`` over the blocks before each one (one row a block; a null counts nothing).
+
+    Blocks are range partitioned; a partition's sums begin where those of the ones before it end, which takes a table of
+    one row a partition and no task that holds all blocks.
+    """
+    spark = blocks.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = blocks.select("block_id", "n").repartitionByRange(parts, "block_id").withColumn("_p", F.spark_partition_id())
+    placed = Scratch(spark, "offsets").save(placed, "placed")
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    begins = placed.groupBy("_p").agg(F.sum("n").alias("n")).selectExpr("_p", f"coalesce(sum(n) OVER (ORDER BY _p {before}), 0) AS _begin")
+    within = placed.selectExpr("block_id", "_p", f"coalesce(sum(n) OVER (PARTITION BY _p ORDER BY block_id {before}), 0) AS _within")
+    return within.join(F.broadcast(begins), "_p").select("block_id", (F.col("_begin") + F.col("_within")).alias("offset"))

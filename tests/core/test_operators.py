@@ -315,3 +315,25 @@ def test_all_channels_and_files_are_copied(spark, tmp_path):
         assert np.allclose(dense(levels[1], "v", (1, 2, 2)).astype(float), data.reshape(1, 2, 2, 2, 2, 2).mean(axis=(1, 3, 5)))
     with pytest.raises(ValueError):
         workflows.copy_sources_workflow(spark, f"{tmp_path}/*.npy", str(tmp_path / "q"), Blocking((2, 4, 4), (2, 4, 4)), [2])
+
+
+def test_offsets_of_blocks_are_sums_before_each(spark):
+    n = [int(k) for k in np.random.default_rng(3).integers(0, 50, 300)]
+    rows = [(b, None if b % 7 == 0 else n[b]) for b in range(300)]
+    got = {r.block_id: r.offset for r in resample.sub_volume_offsets(spark.createDataFrame(rows, "block_id long, n long")).collect()}
+    total = 0
+    for b, k in rows:
+        assert got[b] == total
+        total += k or 0
+    assert resample.sub_volume_offsets(spark.createDataFrame([], "block_id long, n long")).count() == 0
+
+
+def test_ranges_of_blocks_join_to_the_whole_rows(spark):
+    rows = [(b, q) for b in range(50) for q in ([0, b % 3] if b % 5 else [None])]
+    vox = spark.createDataFrame([*rows, *rows[:9]], "block_id long, q long")
+    whole = {r.label: r.blocks for r in relabel.label_blocks(vox, "q").collect()}
+    parts = {}
+    for r in sorted(relabel.label_block_ranges(vox, "q", 8).collect(), key=lambda r: r.part):
+        assert len(r.blocks) <= 8
+        parts.setdefault(r.label, []).extend(r.blocks)
+    assert parts == whole
