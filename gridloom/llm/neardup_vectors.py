@@ -5,7 +5,8 @@ the rotated vector. Tables join ``HASHES`` of these. A vector stands in its own
 the next likely buckets; whoever stands in a bucket is compared in double precision with the others and with the
 probes. A pair is counted in the first table in which it meets, so that no pair list is ever made: tasks send
 sums of links by vector and links that span their groups. Equal vectors are one item with a count of copies, and
-large buckets are cut into tiles and runs.
+large buckets are cut into tiles and runs. Tables, hashes and probes are the same whatever the number of vectors, so
+that whether a pair is found depends on its two vectors alone.
 
 Vectors that are null, zero, hold a null or non-finite component, have no id or another length than most have
 link with nothing: no links, their own component, kept (an id of null: component null). Rows that repeat an id
@@ -15,6 +16,7 @@ error. The measured recall of the default tables is in the README; the tests mea
 
 from __future__ import annotations
 
+import warnings
 from itertools import product
 
 import numpy as np
@@ -29,7 +31,8 @@ from gridloom.plans.scratch import Scratch
 
 THRESHOLD = 0.9
 TABLES, HASHES, PROBES, SEED = 10, 2, 4, 17
-#: Beyond so many vectors, so that buckets don't fill up: more hashes, with the tables and probes that keep the recall.
+#: Tables of more hashes, whose buckets fill later, with the probes that keep the recall: for a caller to name, never chosen
+#: by size. Beyond so many vectors a warning says that they exist.
 MANY, MANY_TABLES, MANY_HASHES, MANY_PROBES = 1 << 24, 20, 3, 8
 TILE, RUN = 1024, 8192
 BLOCK = 1 << 20
@@ -255,8 +258,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id: str = "vec_id", vect
         return df.select(id, F.lit(0).cast("long").alias("n_links"), F.col(id).cast("long").alias("component_id"), F.col(id).isNotNull().alias("kept"))
     rows = scratch.save(rows, "rows")
     items = scratch.save(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "items")
-    if not tables and items.count() > MANY and (4 * dim) ** MANY_HASHES <= 1 << CELL_BITS:
-        tables = {"tables": MANY_TABLES, "hashes": MANY_HASHES, "probes": MANY_PROBES}
+    if not tables and items.count() > MANY:
+        warnings.warn(f"more than {MANY} vectors fill the default buckets; tables={MANY_TABLES}, hashes={MANY_HASHES}, probes={MANY_PROBES} make smaller ones", stacklevel=2)
     found = scratch.save(near_duplicate_links(spark, items, dim, kind, threshold, **tables), "links")
     sums = found.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))
     group = connected_components(spark, found.where("u <> v")).withColumnRenamed("node", "id")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gridloom.llm import neardup_vectors as nv
 
@@ -101,3 +102,28 @@ def test_an_id_with_a_usable_and_an_unusable_vector(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in nv.near_duplicates(spark, df).collect())
     assert got == [(1, 0, 1, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_pairs_found_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
+    # in 1024 components both numbers of hashes miss a few pairs, and not the same ones
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(2, 120, 1024))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.901 * a + np.sqrt(1 - 0.901**2) * b / np.linalg.norm(b, axis=1)[:, None]
+
+    def met(tables, hashes, probes):
+        hasher = nv.CrossPolytope(1024, tables, hashes, probes)
+        x, y = hasher.buckets(a), hasher.buckets(b)
+        return np.stack([nv._meet(x[:, t], y[:, t]) for t in range(tables)], 1).any(1)
+
+    differ = np.flatnonzero(met(nv.TABLES, nv.HASHES, nv.PROBES) != met(nv.MANY_TABLES, nv.MANY_HASHES, nv.MANY_PROBES))
+    assert len(differ)
+    pairs = [*differ.tolist(), *(k for k in range(5) if k not in differ)]
+    df = spark.createDataFrame([(2 * k + side, x[k].tolist()) for k in pairs for side, x in enumerate((a, b))], "vec_id long, embedding array<double>")
+    got = lambda: sorted(tuple(r) for r in nv.near_duplicates(spark, df).collect())
+    few = got()
+    monkeypatch.setattr(nv, "MANY", 1)
+    with pytest.warns(UserWarning, match="buckets"):
+        many = got()
+    assert many == few
