@@ -4,9 +4,10 @@ Inner product becomes Euclidean distance by one more component that brings all v
 Centroids come from balanced k-means over a bounded sample; every vector of the table is put in the list of its
 nearest centroid and, near a boundary, in up to ``REPLICAS`` lists. Centroids are searched by best-first walks
 over an in-memory neighbour graph. A query reads the lists whose centroid is at most ``1 + RATIO`` times as far
-as the nearest one: few where the data have structure, most where they have none, never a fixed number. Where
-these hold fewer than ``AMPLE`` times as many ids as wanted, the next lists are read too, and in a table of at most
-``SMALL`` ids all, so that a query gets ``top`` neighbours, or all other ids if there are fewer.
+as the nearest one: few where the data have structure, most where they have none, never a fixed number. The ratio is
+larger where a measurement on the sample finds less than ``SHARE`` of the neighbours in these lists. Where
+these hold fewer than ``LEAST`` ids, or ``AMPLE`` times as many as wanted, the next lists are read too, whatever the
+size of the table, so that a query gets ``top`` neighbours, or all other ids if there are fewer.
 
 Equal vectors are one posting with their smallest ids, one more than a query can return, so that copies cost
 nothing and lose nothing. Scores are computed in double precision on the original vectors. Vectors that are null,
@@ -30,7 +31,10 @@ TOP, EVERY = 20, 20
 #: Vectors that the centroids are fitted on; all vectors are indexed. There are at most a quarter as many lists.
 SAMPLE = 20_000
 REPLICAS, BOUNDARY, RATIO = 4, 0.02, 0.14
-SMALL, AMPLE = 2048, 10
+#: Ids that the lists of every query hold besides its own, if there are so many: ``LEAST``, and ``AMPLE`` times as many as wanted.
+LEAST, AMPLE = 2048, 10
+#: Share of the neighbours of so many vectors of the sample that their lists must hold, or else the ratio grows.
+SHARE, TRIED = 0.95, 512
 TILE, RUN = 1024, 8192
 
 
@@ -118,8 +122,46 @@ def as_queries(x: np.ndarray, longest: float) -> np.ndarray:
     return np.pad(x * (longest / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None], ((0, 0), (0, 1)))
 
 
-def build_graph(items: DataFrame, dim: int, kind: str, sample: int = SAMPLE) -> tuple[CentroidGraph, float]:
-    """The graph over centroids of a bounded sample of ``items(vec)``, and the largest norm of all."""
+def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, whether it is the nearest) for the lists that lifted vectors stand in."""
+    _, far = graph.search(x, BOUNDARY, 12)
+    near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
+    value = np.take_along_axis(far, near, axis=1)
+    i, j = np.nonzero((value <= value[:, :1] * (1 + BOUNDARY) ** 2) & np.isfinite(value))
+    return i, near[i, j], j == 0
+
+
+def fitting_ratio(graph: CentroidGraph, x: np.ndarray, total: int, longest: float, counts: np.ndarray, enough: float, ratio: float, top: int) -> float:
+    """``ratio``, or where lists hold less than ``SHARE`` of the neighbours of sampled vectors, the least at which they hold it.
+
+    ``x`` is a sample of ``total`` vectors. Of ``top`` neighbours, the sample has its share.
+    """
+    count = min(max(1, round(top * len(x) / total)), len(x) - 1)
+    if count < 1:
+        return ratio
+    asked = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int))
+    needed = []
+    for begin in range(0, len(asked), 128):
+        at = asked[begin : begin + 128]
+        each = np.arange(len(at))
+        score = x[at] @ x.T
+        score[each, at] = -np.inf
+        best, pair = np.unique(np.argpartition(-score, count - 1, axis=1)[:, :count], return_inverse=True)
+        pair, rows = pair.reshape(-1), np.repeat(each, count)
+        stands = np.zeros((len(best), len(counts)), bool)
+        i, j, _ = lists_of(graph, lifted(x[best], longest))
+        stands[i, j] = True
+        q = as_queries(x[at], longest)
+        opened = np.zeros((len(at), len(counts)), bool)
+        opened[ample(graph, q, *graph.search(q, ratio)[0], counts, enough)] = True
+        far = np.maximum(longest**2 - 2 * q @ graph.centroids.T + graph.square, 1e-12 * longest**2)
+        more = np.sqrt(np.where(stands[pair], far[rows], np.inf).min(axis=1) / far.min(axis=1)[rows]) - 1
+        needed.append(np.where((opened[rows] & stands[pair]).any(axis=1), 0, more + 1e-9))
+    return max(ratio, float(np.quantile(np.concatenate(needed), SHARE, method="higher")))
+
+
+def build_graph(items: DataFrame, dim: int, kind: str, sample: int = SAMPLE) -> tuple[CentroidGraph, float, np.ndarray, int]:
+    """The graph over centroids of a bounded sample of ``items(vec)``, the largest norm of all, the sample and the number of all."""
 
     def norms(batches):
         for batch in batches:
@@ -129,9 +171,9 @@ def build_graph(items: DataFrame, dim: int, kind: str, sample: int = SAMPLE) ->
 
     total = items.select("vec").mapInArrow(norms, "n long, longest double").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).first()
     drawn = items.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()
-    x = lifted(as_matrix(np.array([r.vec for r in drawn], object), kind, dim), total.longest)
+    x = as_matrix(np.array([r.vec for r in drawn], object), kind, dim)
     k = max(1, min(len(x) // 4, round(total.n**0.5 / 2)))
-    return CentroidGraph(balanced_centroids(x, k)), total.longest
+    return CentroidGraph(balanced_centroids(lifted(x, total.longest), k)), total.longest, x, total.n
 
 
 def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", top: int = TOP, ratio: float = RATIO) -> DataFrame:
@@ -150,7 +192,7 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "ve
     first = Window.partitionBy("vec").orderBy("id")
     items = rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1)
     items = scratch.save(items.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "items")
-    graph, longest = build_graph(items, dim, kind)
+    graph, longest, sample, total = build_graph(items, dim, kind)
     shared = spark.sparkContext.broadcast(graph)  # at most SAMPLE / 4 centroids
 
     def placed(batches):
@@ -158,12 +200,9 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "ve
         for whole in batches:
             for batch in slices(whole, 1 << 19):
                 x = lifted(as_matrix(batch.column(0).to_numpy(zero_copy_only=False), kind, dim), longest)
-                _, far = own.search(x, BOUNDARY, 12)
-                near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
-                value = np.take_along_axis(far, near, axis=1)
-                i, j = np.nonzero((value <= value[:, :1] * (1 + BOUNDARY) ** 2) & np.isfinite(value))
+                i, lists, home = lists_of(own, x)
                 pick = pa.array(i)
-                yield pa.RecordBatch.from_arrays([pa.array(near[i, j]), pa.array(j == 0), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "home", "vec", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(home), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "home", "vec", "ids"])
 
     def aimed(batches):
         own = shared.value
@@ -181,7 +220,8 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "ve
     counts = np.zeros(len(graph.centroids))
     for r in homes.groupBy("list").agg(F.count("*").alias("n")).collect():
         counts[r.list] = r.n
-    enough = np.inf if counts.sum() <= SMALL else AMPLE * top + 1
+    enough = max(LEAST, AMPLE * top) + 1
+    ratio = fitting_ratio(graph, sample, total, longest, counts, enough, ratio, top)
     wanted = scratch.save(asked.distinct().mapInArrow(aimed, "list long, query long, vec binary"), "wanted")
     # one row for each list, so at most SAMPLE / 4
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / RUN).alias("runs")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "list")

@@ -111,3 +111,12 @@ def test_queries_of_another_length_take_no_part(spark):
     got = vs.search(spark, df, df.where("vec_id % 20 = 0")).collect()
     assert {r.query_id for r in got} == {0, 20} and len(got) == 40
     assert vs.search(spark, df, df.where("vec_id >= 100")).count() == 0
+
+
+def test_one_row_more_does_not_change_how_much_is_read(spark):
+    # the table grows past the ids that every query's lists hold, by a row that is nobody's neighbour
+    rng = np.random.default_rng(8)
+    every = unit(rng.normal(size=(vs.LEAST, 32)))
+    assert recall(spark, every) == 1
+    assert recall(spark, np.concatenate([every, every[:1] * 1e-3])) == 1
+    assert recall(spark, unit(rng.normal(size=(4 * vs.LEAST, 32)))) >= 0.93
