@@ -40,6 +40,8 @@ BLOCK = 1 << 20
 CELL_BITS = 56
 #: Rows of small groups that are compared together, and pairs of a group up to which it is small.
 CHUNK, FEW = 1 << 14, 1 << 12
+#: More than two ways to add up a cosine differ by.
+ROUNDING = 1e-9
 
 
 class CrossPolytope:
@@ -150,8 +152,13 @@ def _candidates(group: dict[str, np.ndarray], begins: np.ndarray, x: np.ndarray,
         step = max(1, BLOCK // len(b))
         for at in range(middles[g], stops[g], step):
             rows = np.arange(at, min(at + step, stops[g]))
-            i, j = np.nonzero(x[rows] @ x[b].T >= threshold)
-            yield fresh(rows[i], b[j])
+            score = x[rows] @ x[b].T
+            i, j = np.nonzero(score >= threshold - ROUNDING)
+            value, i, j = score[i, j], rows[i], b[j]
+            # a product of matrices rounds by its shape: at the threshold the sum of small groups decides
+            at_edge = np.flatnonzero(value < threshold + ROUNDING)
+            value[at_edge] = np.einsum("ij,ij->i", x[i[at_edge]], x[j[at_edge]])
+            yield fresh(i[value >= threshold], j[value >= threshold])
 
 
 def _linked(group: dict[str, np.ndarray], hasher: CrossPolytope, kind: str, dim: int, threshold: float):

@@ -127,3 +127,22 @@ def test_pairs_found_do_not_depend_on_the_number_of_vectors(spark, monkeypatch):
     with pytest.warns(UserWarning, match="buckets"):
         many = got()
     assert many == few
+
+
+def test_pairs_at_the_threshold_do_not_depend_on_the_size_of_their_group(monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    x = np.concatenate([a, 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]])
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    group = {"id": np.arange(600), "own": np.repeat([0, 1], 300), "stands": np.ones(600, int)}
+    # each a is compared with each b, as the tile comes after what it is compared with
+    group["id"][300:], group["id"][:300] = np.arange(300), np.arange(300, 600)
+
+    def found(few):
+        monkeypatch.setattr(nv, "FEW", few)
+        return {pair for i, j in nv._candidates(group, np.array([0]), x, 0.9) for pair in zip(i.tolist(), j.tolist())}
+
+    small = found(1 << 30)
+    assert 0 < len(small) < 300 and found(1) == small
