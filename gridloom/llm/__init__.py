@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import bpe, collocations, html_text, mixing, neardup_vectors, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity, vector_search
+from gridloom.llm import bpe, collocations, html_text, lexical_search, mixing, neardup_vectors, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity, vector_search
 
-_MODULES = (bpe, neardup_vectors, vector_search, html_text, simhash, toxicity, quality, secret_scan, mixing, substring_dedup, token_counts, collocations)
+_MODULES = (bpe, neardup_vectors, vector_search, html_text, simhash, toxicity, quality, secret_scan, mixing, substring_dedup, token_counts, collocations, lexical_search)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from gridloom import llm
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_same_as_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = llm.queries()[name](spark, sf)
     columns = sorted(df.columns)
