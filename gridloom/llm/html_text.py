@@ -4,13 +4,17 @@ The standard library's parser sends its events to a collector that cuts the page
 element's run of text) and counts each line's characters and tags. The ratios, smoothed by a Gaussian over the
 lines, are clustered by a threshold into content and the rest. The innermost region of the page (article, main or
 another sectioning element) that holds all content lines is selected; its lines are kept in page order, so that a short
-paragraph inside an article is not lost, and paragraphs and headings outside it too. Lines that are mostly links and
-not in the content cluster go, unless they stand in an article or main element: those are menus without a telling name.
+paragraph inside an article is not lost, and paragraphs and headings outside it too. The clusters decide about lines
+that may be either: outside an article those that are mostly links; within one lists of short links (other stories, share
+lines).
 
 Elements that by name, role or class are never part of an article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are hidden. What only looks so is not: an article or main element within a
 menu, header, footer, sidebar or form shows; on a page without one so does an element whose paragraphs and headings are
-more than half of the page's text without links, unless it holds reader comments. Names such as "with-sidebar" or "sidebar-layout" tell of a page, not of a part.
+more than half of the page's text without links, unless it holds reader comments. A class or id counts as a whole
+("share-buttons" marks, "share-prices" doesn't), never on a heading; within an article it hides adverts and reader
+comments, and else only what has short lines or mostly links. What hides in the middle of a line leaves
+that line whole.
 
 Any text is a page: unfinished tags and comments end with the page, unknown declarations are comments, and the time is
 in proportion to the length. A null or empty page gives an empty text. Pages are independent: repeated rows give
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -45,16 +50,27 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 REGIONS = ("article", "main", "section", "div", "body", "html")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Parts of class and id names that mark boilerplate, between word borders, hyphens and underscores: of reader
-#: comments, of parts of a page beside which an article stands or in which it may be wrapped, and of others.
-COMMENTS = r"comments?|comment-?list|replies|respond|disqus"
-BESIDE = r"sidebar|side|menu|nav|navbar|navigation|footer|header|masthead|banner|toolbar|widget"
-OTHERS = r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|breadcrumbs?|share|sharing|social|related|recommended|login|search|pager|pagination"
-MARKS = re.compile(rf"(?:^|[\s_-])(?:(?P<comments>{COMMENTS})|(?P<beside>{BESIDE})|(?P<others>{OTHERS}))(?=$|[\s_\d-])", re.I)
-#: Names that tell what a page has, not what an element is.
-LAYOUT = re.compile(rf"(?:^|(?<=\s))(?:(?:with|has|no|without|show|hide|is)[_-][\w-]*|(?:{BESIDE})[_-](?:[\w-]*[_-])?(?:layout|page|active|enabled|open|visible|fixed|on|off))(?=\s|$)", re.I)
+#: Class and id names that mark boilerplate: of reader comments, of adverts, of parts of a page beside which an article
+#: stands or in which it may be wrapped, and of others.
+MARKS = {
+    "comments": "comment comments commentlist comment-list replies respond disqus",
+    "adverts": "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion promotions",
+    "beside": "sidebar side menu nav navbar navigation footer header masthead banner toolbar widget widgets",
+    "others": "cookie cookies consent gdpr notice newsletter subscribe popup modal breadcrumb breadcrumbs share sharing social related recommended login search pager pagination",
+}
+KINDS = {word: kind for kind, words in MARKS.items() for word in words.split()}
+#: Words that change nothing beside a mark: "share-buttons" is one, "share-prices" isn't.
+NEUTRAL = frozenset(
+    "area bar block bottom box button buttons center col column container content form group icon icons inner item items left link links list "
+    "main message outer page panel posts primary right row secondary section site slot stories text top unit wrap wrapper".split()
+)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[^A-Za-z\d_-]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-SHOWN, WRAPS, FIRM, GONE = range(4)
+SHOWN, NAMED, WRAPS, FIRM, GONE = range(5)
+#: In an article lists of links go if their lines are shorter on average and aren't content; and elements that only
+#: their name marks if their lines are, or are mostly links.
+SHORT = 50
 #: Elements of an open paragraph: a block start closes it.
 CLOSES_P = BLOCKS - frozenset("option legend caption summary tbody td tfoot th thead tr html body".split())
 SPACE = re.compile(r"[\s\x00]+")
@@ -72,6 +88,23 @@ class Line:
     prose: bool  # a paragraph or heading
     linked: int  # characters in links
     main: bool  # in an article or main element
+    links: int  # how many links it has
+    named: int  # the innermost element in an article that only its name marks, or -1
+
+
+@lru_cache(maxsize=4096)
+def mark_of(name: str) -> str:
+    """What a class or id name marks, as a whole: each of its words is a mark or neutral, and one is a mark."""
+    whole = KINDS.get(name.lower())
+    if whole:
+        return whole
+    if len(name) > 60:
+        return ""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    if not all(p in KINDS or p in NEUTRAL for p in parts):
+        return ""
+    kinds = {KINDS[p] for p in parts if p in KINDS}
+    return next((k for k in MARKS if k in kinds), "")
 
 
 class Lines(HTMLParser):
@@ -79,17 +112,19 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, whether it hides for good, the veil outside it
+        self.open: list[tuple[str, bool, int, int]] = []  # name, whether it hides for good, the veil and the named element outside it
         self.places: dict[str, list[int]] = {}  # where in ``open`` each name is
         self.blocks: list[int] = []  # where in ``open`` block elements are
-        self.gone = 0
         self.veil = -1
         self.veils: list[int] = []  # the veil outside each
         self.firm: list[bool] = []  # whether each, or one outside it, hides articles too
         self.region: list[int] = [0]
         self.regions: list[tuple[str, int]] = [("html", -1)]  # name, parent
         self.lines: list[Line] = []
-        self.linked = 0
+        self.linked = self.links = 0
+        self.named = -1
+        self.names: list[int] = []  # the named element outside each
+        self.hiding: list[int] = []  # where in ``open`` elements are that hide for good
         self.text: list[str] = []
         self.tags = 0
 
@@ -118,35 +153,43 @@ class Lines(HTMLParser):
         return self.parse_html_declaration(i)
 
     def cut(self) -> None:
+        if self.hiding:
+            return  # a block that doesn't show doesn't end the line around it
         if self.text:
             line = SPACE.sub(" ", "".join(self.text)).strip()
             if line:
                 block = self.open[self.blocks[-1]][0] if self.blocks else ""
                 inside = bool(self.places.get("article") or self.places.get("main"))
-                self.lines.append(Line(line, self.tags, self.region[-1], self.veil, block in PROSE, self.linked, inside))
+                self.lines.append(Line(line, self.tags, self.region[-1], self.veil, block in PROSE, self.linked, inside, self.links, self.named))
                 self.tags = 0
-            self.text, self.linked = [], 0
+            self.text, self.linked, self.links = [], 0, 0
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCKS
+        kind = SHOWN if tag in VOID else self.hides(tag, attrs, block)
         if block:
-            self.cut()
-            if tag in CLOSES_P and self.blocks and self.open[self.blocks[-1]][0] == "p":
+            # what hides in the middle of a line leaves the line whole
+            if tag not in NEVER:
+                self.cut()
+            open_p = self.blocks and self.open[self.blocks[-1]][0] == "p"
+            if tag in CLOSES_P and open_p and not (self.hiding and self.hiding[-1] > self.blocks[-1]):
                 self.pop(self.blocks[-1])
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        kind = self.hides(tag, attrs)
-        if not block and kind:
-            kind = GONE  # a part of a line
+        self.links += tag == "a" and not self.hiding
         self.places.setdefault(tag, []).append(len(self.open))
         if block:
             self.blocks.append(len(self.open))
-        self.open.append((tag, kind == GONE, self.veil))
-        self.gone += kind == GONE
-        if kind in (WRAPS, FIRM):
+        if kind == GONE:
+            self.hiding.append(len(self.open))
+        self.open.append((tag, kind == GONE, self.veil, self.named))
+        if kind == NAMED:
+            self.names.append(self.named)
+            self.named = len(self.names) - 1
+        elif kind in (WRAPS, FIRM):
             # whether an article in it shows depends on all veils around it
             self.veils.append(self.veil)
             self.veil = len(self.veils) - 1
@@ -162,12 +205,14 @@ class Lines(HTMLParser):
         if tag not in VOID and tag not in BLOCKS and self.open and self.open[-1][0] == tag:
             self.handle_endtag(tag)
 
-    def hides(self, tag, attrs) -> int:
+    def hides(self, tag, attrs, block: bool) -> int:
+        """Whether an element hides, at the most: a part of a line that does hides for good."""
         if tag in NEVER:
             return GONE
         found = FIRM if tag in ASIDE else WRAPS if tag in PARTS and not (tag == "header" and self.places.get("article")) else SHOWN
         if tag in ("html", "body", "article", "main") or not attrs:
             return found
+        inside = self.places.get("article") or self.places.get("main")
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return GONE
@@ -176,18 +221,22 @@ class Lines(HTMLParser):
             if name == "style" and UNSEEN.search(value):
                 return GONE
             if name == "role" and value.strip().lower() in ROLES:
-                found = max(found, WRAPS)
-            elif name in ("class", "id"):
-                for mark in MARKS.finditer(LAYOUT.sub(" ", value)):
-                    if mark.lastgroup == "comments":
+                found = max(found, WRAPS if block else GONE)
+            elif name in ("class", "id") and tag not in HEADINGS:
+                for mark in map(mark_of, value.split()):
+                    if mark == "comments":
                         return GONE
-                    found = max(found, FIRM if mark.lastgroup == "others" else WRAPS)
+                    if mark and not block:
+                        found = GONE if mark == "adverts" or not inside else found
+                    elif mark:
+                        found = max(found, FIRM if mark == "adverts" else NAMED if inside else WRAPS if mark == "beside" else FIRM)
         return found
 
     def pop(self, depth: int) -> None:
         while len(self.open) > depth:
-            name, gone, self.veil = self.open.pop()
-            self.gone -= gone
+            name, gone, self.veil, self.named = self.open.pop()
+            if gone:
+                self.hiding.pop()
             self.places[name].pop()
             if name in BLOCKS:
                 self.blocks.pop()
@@ -196,16 +245,16 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         block = tag in BLOCKS
-        if block:
+        if block and tag not in NEVER:
             self.cut()
         self.tags += 1
         places = self.places.get(tag)
-        # an inline element doesn't end outside the block that it ends in
-        if places and (block or not self.blocks or places[-1] > self.blocks[-1]):
+        # an inline element doesn't end outside the block that it ends in, unless it hides that
+        if places and (block or not self.blocks or places[-1] > self.blocks[-1] or self.open[places[-1]][1]):
             self.pop(places[-1])
 
     def handle_data(self, data):
-        if not self.gone:
+        if not self.hiding:
             self.text.append(data)
             self.linked += len(data.strip()) if self.places.get("a") else 0
 
@@ -270,12 +319,58 @@ def main_text(html: str) -> str:
     inside = [k == pick for k in range(len(weight))]
     for k in range(pick + 1, len(weight)):
         inside[k] = inside[parent[k]]
-
-    def stays(x: Line, is_content: bool) -> bool:
-        links = 2 * x.linked >= len(x.text)
-        return x.main or (inside[x.region] or x.prose and not links) and (is_content or not links)
-
-    return "\n\n".join(x.text for x, is_content in zip(lines, content) if stays(x, is_content))
+    goes = named_parts(lines, page.names)
+    linky = [2 * x.linked >= len(x.text) for x in lines]
+    lists = link_lists(lines, linky)
+
+    def stays(k: int) -> bool:
+        x = lines[k]
+        if x.main:
+            return not lists[k] and not (x.named >= 0 and goes[x.named])
+        return (inside[x.region] or x.prose and not linky[k]) and (content[k] or not linky[k])
+
+    return "\n\n".join(x.text for k, x in enumerate(lines) if stays(k))
+
+
+def link_lists(lines: list[Line], linky: list[bool]) -> list[bool]:
+    """Lines of articles in lists of links (of other stories, to share): several short links that the clusters tell from
+    the text. Each list is one region here, as wide as the Gaussian, so that its own ratio counts."""
+    runs: list[list[int]] = []
+    for k in range(len(lines)):
+        if k and linky[k] and linky[k - 1] and lines[k].main == lines[k - 1].main:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    wide = 7
+    several = [lines[own[0]].main and linky[own[0]] and sum(max(1, lines[k].links) for k in own) > 1 for own in runs]
+    out = [False] * len(lines)
+    if any(several):
+        ratios = np.array([sum(len(lines[k].text) for k in own) / max(1, sum(lines[k].tags for k in own)) for own in runs], float)
+        content = content_lines(np.repeat(ratios, wide))[wide // 2 :: wide].tolist()
+        for own, doubt, is_content in zip(runs, several, content):
+            if doubt and not is_content and sum(len(lines[k].text) for k in own) < SHORT * len(own):
+                for k in own:
+                    out[k] = True
+    return out
+
+
+def named_parts(lines: list[Line], names: list[int]) -> list[bool]:
+    """Of the elements in articles that only a name marks: those whose lines are short or mostly links."""
+    size, linked, count = [0] * len(names), [0] * len(names), [0] * len(names)
+    for x in lines:
+        if x.named >= 0:
+            size[x.named] += len(x.text)
+            linked[x.named] += x.linked
+            count[x.named] += 1
+    for k in range(len(names) - 1, -1, -1):
+        if names[k] >= 0:
+            size[names[k]] += size[k]
+            linked[names[k]] += linked[k]
+            count[names[k]] += count[k]
+    goes = [2 * ln >= n or n < SHORT * c for n, ln, c in zip(size, linked, count)]
+    for k, outside in enumerate(names):
+        goes[k] |= outside >= 0 and goes[outside]
+    return goes
 
 
 def extract(df: DataFrame, html: str = "html", text: str = "text", n_chars: str = "n_chars", drop: tuple[str, ...] = ()) -> DataFrame:

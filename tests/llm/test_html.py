@@ -149,3 +149,95 @@ def test_time_grows_with_the_length(part):
         ht.main_text(part * n)
         took.append(time.process_time() - began)
     assert took[1] < 30 * max(took[0], 0.02), took
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<h2 id="related-work">Head</h2>', '<h2 id="share-prices">Head</h2>', '<h2 id="search" class="sidebar">Head</h2>']
+    + [f'<{t} class="{c}"><p>{LONG[0]}</p></{t}>' for t, c in [("section", "social-history"), ("div", "ad-hoc"), ("div", "side-by-side"), ("div", "recipe cookies"), ("div", "search"), ("div", "shareholders"), ("div", "header-image-story")]]
+    + [f'<p class="adrift notice-of-death">{LONG[0]}</p>', f'<p id="menu">{LONG[0]}</p>'],
+)
+def test_names_that_only_look_like_boilerplate(part):
+    shown = ht.main_text(part).split("\n\n")[-1] if 'class="ad-hoc"' in part else "Head" if "Head" in part else LONG[0]
+    assert ht.main_text(f"<article>{BODY}{part}</article>").split("\n\n") == [*LONG, shown]
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot", "google ads", "advertTop", "comments", "comment-list", "sponsored_box2"])
+def test_adverts_and_comments_hide_in_an_article_at_any_length(name):
+    assert ht.main_text(f"<article>{BODY}<div class='{name}'><p>{LONG[0]}</p></div></article>").split("\n\n") == LONG
+
+
+@pytest.mark.parametrize("name", ["share", "share-buttons", "socialLinks", "related", "breadcrumbs", "newsletter", "pager2"])
+def test_named_parts_of_an_article_go_if_they_hold_links_or_little(name):
+    teaser = "".join(f"<li><a href=/{k}>{t} And on.</a></li>" for k, t in enumerate(LONG))
+    for inner in ("Share this", f"<ul>{teaser}</ul>"):
+        assert ht.main_text(f"<article>{BODY}<div class='{name}'>{inner}</div></article>").split("\n\n") == LONG
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    ["<button><p>Buy now</p></button>", "<template><p>Buy now</p></template>", "<iframe src=x><p>Buy now</p></iframe>", '<span style="display:none"><p>Buy now</p></span>']
+    + ["<button><p>Buy now</button>", "<span hidden>Buy<p>now</span>", "<button><div>Buy</div><p>now</button>", "<select><option>Buy<option>now</select>", "<svg><title>Buy</title><p>now</p></svg>"],
+)
+def test_hidden_parts_of_a_line_leave_it_whole(hidden):
+    assert ht.main_text(f"<article><p>one {hidden} two</p><p>three</p></article>").split("\n\n") == ["one two", "three"]
+
+
+def test_clusters_decide_about_links_in_an_article(monkeypatch):
+    share = "<p><a href=x>Share on X</a> <a href=f>Share on F</a></p>"
+    other = "<ul>" + "".join(f"<li><a href=/{k}>Other story {k}</a></li>" for k in range(4)) + "</ul>"
+    sources = "<ul>" + "".join(f"<li><a href=/{k}>A source with a long title, an author, a place and a year, 19{k}0</a></li>" for k in range(10, 14)) + "</ul>"
+    page = f"<article><h1>T</h1>{share}{BODY}{other}<p>The end.</p></article>"
+    assert ht.main_text(page).split("\n\n") == ["T", *LONG, "The end."]
+    assert ht.main_text(f"<article>{BODY}{sources}</article>").count("A source") == 4
+    assert ht.main_text(f"<article>{BODY}<p>See <a href=x>this</a> and <a href=y>that</a> for more of it.</p></article>").endswith("See this and that for more of it.")
+    monkeypatch.setattr(ht, "content_lines", lambda ratios: np.ones(len(ratios), bool))
+    assert ht.main_text(page).count("Other story") == 4
+
+
+def test_generated_pages_by_construction():
+    """Pages put together from parts that show and parts that don't; what shows is known from the start."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abdeginorstué") for _ in range(rng.randrange(1, 9)))
+    words = lambda a, b: [word() for _ in range(rng.randrange(a, b))]
+
+    def paragraph():
+        own = words(15, 60)
+        marked = [rng.choice(["{}", "{}", "{}", "<b>{}</b>", "<em>{}</em>", "<a href=/x>{}</a>", "{}<span hidden>no</span>", "{}<!-- c -->"]).format(w) for w in own]
+        return " ".join(own), f"<p>{rng.choice([' ', chr(10), '  ']).join(marked)}" + rng.choice(["", "</p>"])
+
+    def shown():
+        kind = rng.randrange(5)
+        if kind < 3:
+            return paragraph()
+        if kind == 3:
+            own = " ".join(words(2, 6))
+            return own, f"<h2 id='{rng.choice(['search', 'related-' + word(), word()])}'>{own}</h2>"
+        own = [" ".join(words(2, 8)) for _ in range(3)]
+        return "\n\n".join(own), "<ul>" + "".join(f"<li>{x}" for x in own) + "</ul>"
+
+    def hidden():
+        links = "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(rng.randrange(3, 7)))
+        text = paragraph()[1]
+        return rng.choice(
+            [f"<nav><ul>{links}</ul></nav>", f"<div class=ad>{text}</div>", f"<aside>{text}</aside>", f"<script>{text}</script>", f"<form>{text}<input></form>", f"<section id=comments>{text}{text}</section>"]
+            + [f"<ul>{links}</ul>", f"<div class='share-links'>{links}</div>", f"<footer>{text}</footer>", f"<style>{text}</style>", f"<div class='cookie-notice'>{links}</div>", f"<div style='display:none'>{text}</div>"]
+        )
+
+    for _ in range(300):
+        page, want = "", []
+        for k in range(rng.randrange(4, 14)):
+            text, html = paragraph() if k == 0 else shown()
+            want.append(text)
+            page += html
+            if rng.random() < 0.3:
+                page += hidden() + paragraph_break(want, page, rng, paragraph)
+        outside = ["", "<nav><a href=/>home</a></nav>", "<header><h1>Site</h1></header>", "<div class=ad>buy</div>"]
+        got = ht.main_text(f"<body>{rng.choice(outside)}<article>{page}</article>{rng.choice(outside)}</body>").split("\n\n")
+        assert got == "\n\n".join(want).split("\n\n")
+
+
+def paragraph_break(want, page, rng, paragraph):
+    text, html = paragraph()
+    want.append(text)
+    return html
