@@ -30,7 +30,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase within a longer one goes if that has so many hundredths of its occurrences.
 WITHIN = 50
 #: Text that is counted together, in bytes.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 2 << 20
 
 
 def _language(column: pa.Array) -> pa.Array:
