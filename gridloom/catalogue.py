@@ -176,12 +176,12 @@ def region_features(spark, sf_dir):
     return rounded(agg.merge_region_features(parts), "mean")
 
 
-@query("SELECT r.id, CAST(COALESCE(size,0) AS BIGINT) AS size, " + ", ".join(f"round(COALESCE(com_{c},0),6) AS com_{c}, COALESCE(bbmin_{c},0) AS bbmin_{c}, COALESCE(bbmax_{c},0) AS bbmax_{c}" for c in AXES) + " FROM (SELECT unnest(range(60)) AS id) r LEFT JOIN (SELECT ws AS id, count(*) AS size, " + ", ".join(f"avg({c}) AS com_{c}, min({c}) AS bbmin_{c}, max({c}) AS bbmax_{c}" for c in AXES) + " FROM vx GROUP BY ws) m ON r.id = m.id", VX)
+@query("SELECT CAST(id AS BIGINT) AS id, COALESCE(size, 0) AS size, " + ", ".join(f"round(COALESCE(com_{c}, 0), 6) AS com_{c}, COALESCE(bbmin_{c}, 0) AS bbmin_{c}, COALESCE(bbmax_{c}, 0) AS bbmax_{c}" for c in AXES) + " FROM (SELECT unnest(range((SELECT max(ws) + 1 FROM vx))) AS id) LEFT JOIN (SELECT ws AS id, count(*) AS size, " + ", ".join(f"avg({c}) AS com_{c}, min({c}) AS bbmin_{c}, max({c}) AS bbmax_{c}" for c in AXES) + " FROM vx GROUP BY ws) m USING (id)", VX)
 def morphology(spark, sf_dir):
-    # a row for every label of the table; the SQL stops at id 59, and where a table has fewer labels pads with zeros up to there
+    """A row for each label up to the table's largest, of zeros where there is no voxel."""
     vox = raster(spark, sf_dir)
     labels = (vox.agg(F.max("ws")).first()[0] or 0) + 1
-    return rounded(agg.merge_morphology(agg.morphology(vox, "ws", by_block=True), max(60, labels)), "com_z", "com_y", "com_x")
+    return rounded(agg.merge_morphology(agg.morphology(vox, "ws", by_block=True), labels), "com_z", "com_y", "com_x")
 
 
 @query("SELECT l_suppkey AS id FROM lineitem GROUP BY l_suppkey HAVING count(*) < 600")
@@ -773,12 +773,26 @@ def agglomerative_clustering(spark, sf_dir):
     return solvers.agglomerative_clustering(spark, nodes, costs.select("u", "v", "mean", "size"), 65.0)
 
 
-@query()
+@query(
+    "SELECT node, greatest(coalesce(s.seed, t.seed, 0), 0) AS label FROM lab LEFT JOIN seeds s USING (node) LEFT JOIN ends USING (node) LEFT JOIN seeds t ON t.node = ends.goal",
+    VX, PAIRS, FEATS, NODE_LABEL,
+    "kept AS (SELECT label FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 5)",
+    "seeds AS (SELECT node, CASE WHEN label = 0 THEN -1 ELSE label END AS seed FROM lab JOIN kept USING (label))",
+    "e AS (SELECT u, v, row_number() OVER (ORDER BY round(mean, 6), u, v) AS r FROM feats)",
+    "link AS (SELECT u AS a, v AS b, r FROM e UNION ALL SELECT v, u, r FROM e)",
+    # the heaviest edge on the way from a seed, over all ways; the lightest of those is where the node's part meets another
+    "reach AS (SELECT node, CAST(0 AS BIGINT) AS r FROM seeds UNION SELECT b, greatest(reach.r, link.r) FROM reach JOIN link ON a = node WHERE b NOT IN (SELECT node FROM seeds))",
+    "near AS (SELECT node, min(r) AS r FROM reach GROUP BY node)",
+    "step AS (SELECT n.node, CASE WHEN nu.r < nv.r THEN e.u ELSE e.v END AS goal FROM near n JOIN e USING (r) JOIN near nu ON nu.node = e.u JOIN near nv ON nv.node = e.v)",
+    "follow AS (SELECT node, goal FROM step UNION ALL SELECT follow.node, step.goal FROM follow JOIN step ON step.node = follow.goal)",
+    "ends AS (SELECT node, goal FROM follow WHERE goal IN (SELECT node FROM seeds))",
+    recursive=True,
+)
 def graph_watershed_assignments(spark, sf_dir):
     vox, nodes, costs = _problem(spark, sf_dir)
     labels = node_labels(vox)
     discard = agg.size_filter(labels.groupBy(F.col("label").alias("id")).count(), target_number=5)
-    return solvers.graph_watershed_assignments(spark, costs, labels, discard)
+    return solvers.graph_watershed_assignments(spark, rounded(costs, "mean"), labels, discard)
 
 
 @query(
@@ -947,6 +961,16 @@ def _expected(names: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS solver, (SELECT count(DISTINCT ws) FROM vx) AS nodes, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS split, TRUE AS no_worse_than_trivial" for n in names)
 
 
+@query(_expected(["multicut in rounds", "average linkage in rounds"]), VX)
+def contraction_invariants(spark, sf_dir):
+    """The same of what rounds of contraction alone make, without a kernel for the remainder."""
+    vox, nodes, costs = _problem(spark, sf_dir)
+    scratch = Scratch(spark, "problem")
+    nodes, costs = scratch.save(nodes, "nodes"), scratch.save(costs, "costs")
+    linked = solvers.agglomerative_clustering(spark, nodes, costs.select("u", "v", "mean", "size"), 65.0, largest=0)
+    return _kept(spark, "multicut in rounds", solvers.solve_global(spark, nodes, costs, largest=0), nodes, costs).unionByName(_kept(spark, "average linkage in rounds", linked, nodes, costs, False))
+
+
 @query(_expected(["multicut", "global multicut", "stitching multicut", "agglomerative clustering"]), VX)
 def solver_invariants(spark, sf_dir):
     """Every node has a label, clusters are connected, and no solution costs more than one cluster or all nodes apart."""

@@ -1,4 +1,4 @@
-"""Graph partitioning: solvers on blocks of the graph, contraction from scale to scale, and the global rest."""
+"""Graph partitioning: solvers on blocks of the graph, contraction from scale to scale, and the global rest in rounds."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import log_odds
-from gridloom.operators import kernels
+from gridloom.operators import contraction, kernels
+from gridloom.operators.contraction import LARGEST
 from gridloom.operators.graph import compose, reduce_problem
 from gridloom.plans.scratch import Scratch
 
@@ -51,38 +52,25 @@ def solve_subproblems(nodes: DataFrame, edges: DataFrame, solver: str = "kernigh
     return outer.unionByName(inner.groupBy("block_id").applyInPandas(run, "u long, v long"))
 
 
-def solve_global(spark: SparkSession, nodes: DataFrame, edges: DataFrame, solver: str = "decomposition", lifted: DataFrame | None = None, ignore_label: bool = True) -> DataFrame:
+def solve_global(spark: SparkSession, nodes: DataFrame, edges: DataFrame, solver: str = "decomposition", lifted: DataFrame | None = None, ignore_label: bool = True, largest: int = LARGEST) -> DataFrame:
     """``(node, label)`` of the whole (reduced) problem, labels from 1, node 0 protected.
 
-    The graph first falls apart into components of its attractive edges, which are found in the cluster; with no
-    lifted edges no cut within one depends on another, so each is one task.
+    Contracted in rounds until ``largest`` edges are left, which the solver gets (see ``contraction.multicut``).
     """
-    from gridloom.operators.components import connected_components
-    from gridloom.operators.overlaps import numbered
-
-    own = edges.where("u <> 0 AND v <> 0") if ignore_label else edges
-    bound = own.where("cost > 0").select("u", "v")
-    if lifted is not None:
-        bound = bound.unionByName(lifted.select("u", "v"))
-    part = connected_components(spark, bound)
-    part = Scratch(spark, "parts").save(part, "parts")
-    at = lambda e, end, name: e.join(part.select(F.col("node").alias(end), F.col("component").alias(name)), end)
-    inner = at(at(own.select("u", "v", "cost", F.lit(False).alias("lifted")), "u", "pu"), "v", "pv").where("pu = pv")
+    if solver not in kernels.SOLVERS:
+        raise ValueError(f"no solver {solver!r}; there are {', '.join(kernels.SOLVERS)}")
+    every = edges.select("u", "v", "cost", F.lit(True).alias("local"))
     if lifted is not None:
-        inner = inner.unionByName(at(at(lifted.select("u", "v", "cost", F.lit(True).alias("lifted")), "u", "pu"), "v", "pv").where("pu = pv"))
+        every = every.unionByName(lifted.select("u", "v", "cost", F.lit(False).alias("local")))
+    every = every.where("u <> 0 AND v <> 0 AND u <> v" if ignore_label else "u <> v")
+    joint = every.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("cost").alias("cost"), F.bool_or("local").alias("local"))
+    return _labelled(nodes, contraction.multicut(spark, joint, solver, largest), ignore_label)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["lifted", "u", "v"])
-        uv = frame[["u", "v"]].to_numpy()
-        ids, local = np.unique(uv, return_inverse=True)
-        local, far = local.reshape(uv.shape), frame["lifted"].to_numpy()
-        cost = frame["cost"].to_numpy()
-        found = _solve(len(ids), local[~far], cost[~far], solver, local[far], cost[far])
-        first = np.full(found.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, found, ids)
-        return pd.DataFrame({"node": ids, "root": first[found]})
 
-    solved = inner.groupBy("pu").applyInPandas(run, "node long, root long")
+def _labelled(nodes: DataFrame, solved: DataFrame, ignore_label: bool = False) -> DataFrame:
+    """``(node, label)`` of all nodes, clusters numbered from 1 by their smallest node."""
+    from gridloom.operators.overlaps import numbered
+
     every = nodes.select("node").distinct()
     every = every.where("node <> 0") if ignore_label else every
     out = numbered(every.join(solved, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "root")
@@ -131,43 +119,21 @@ def stitching_multicut(spark: SparkSession, nodes: DataFrame, edges: DataFrame,
     return solve_global(spark, nodes, edges.crossJoin(most).withColumn("cost", cost), solver)
 
 
+def agglomerative_clustering(spark: SparkSession, nodes: DataFrame, edges: DataFrame, threshold: float, largest: int = LARGEST) -> DataFrame:
+    """Average linkage over ``(u, v, mean, size)`` to the threshold, ``(node, label)`` from 1 (see ``contraction.average_linkage``)."""
+    return _labelled(nodes, contraction.average_linkage(spark, edges, threshold, largest))
 
-def agglomerative_clustering(spark: SparkSession, nodes: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """Average linkage over ``(u, v, mean, size)`` to the threshold, ``(node, label)`` from 1.
 
-    Edges at or over the threshold only raise means, and a cluster can't reach over them alone: components of the
-    edges below it are solved each by itself, with the edges among their nodes.
-    """
-    from gridloom.operators.components import connected_components
-    from gridloom.operators.overlaps import numbered
-
-    part = Scratch(spark, "parts").save(connected_components(spark, edges.where(F.col("mean") < threshold).select("u", "v")), "parts")
-    at = lambda e, end, name: e.join(part.select(F.col("node").alias(end), F.col("component").alias(name)), end)
-    inner = at(at(edges.select("u", "v", "mean", "size"), "u", "pu"), "v", "pv").where("pu = pv")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["u", "v"])
-        uv = frame[["u", "v"]].to_numpy()
-        ids, local = np.unique(uv, return_inverse=True)
-        found = kernels.average_linkage(len(ids), local.reshape(uv.shape), frame["mean"].to_numpy(), frame["size"].to_numpy(float), threshold=threshold)
-        first = np.full(found.max() + 1, np.iinfo(np.int64).max)
-        np.minimum.at(first, found, ids)
-        return pd.DataFrame({"node": ids, "root": first[found]})
-
-    solved = inner.groupBy("pu").applyInPandas(run, "node long, root long")
-    return numbered(nodes.select("node").distinct().join(solved, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "root")
-
-
-def graph_watershed_assignments(spark: SparkSession, edges: DataFrame, labels: DataFrame, discard: DataFrame, weight: str = "mean", from_costs: bool = False, relabel: bool = False) -> DataFrame:
+def graph_watershed_assignments(spark: SparkSession, edges: DataFrame, labels: DataFrame, discard: DataFrame, weight: str = "mean", from_costs: bool = False, relabel: bool = False, largest: int = LARGEST) -> DataFrame:
     """Nodes of discarded segments go to the segment that reaches them over the lightest edges; 0 is a seed of its own.
 
-    Free nodes fall into components that only seeded nodes separate; each is flooded in the order of its edges by
-    one task.
+    They are the trees of the minimum spanning forest rooted at the nodes that stay (see ``contraction.spanning_forest``).
     """
     from gridloom.operators.overlaps import numbered
 
     gone = discard.select(F.col("id").alias("label"), F.lit(True).alias("_gone")).distinct()
-    seeds = labels.join(gone, "label", "left").select("node", F.when(F.col("_gone"), 0).otherwise(F.when(F.col("label") == 0, -1).otherwise(F.col("label"))).cast("long").alias("seed"))
+    own = F.when(F.col("_gone"), 0).otherwise(F.when(F.col("label") == 0, -1).otherwise(F.col("label"))).cast("long").alias("seed")
+    seeds = Scratch(spark, "seeds").save(labels.join(gone, "label", "left").select("node", own), "seeds")
     w = F.col(weight)
     if from_costs:
         bounds = F.broadcast(edges.agg(F.min(weight).alias("_lo"), F.max(weight).alias("_hi")))
@@ -175,26 +141,8 @@ def graph_watershed_assignments(spark: SparkSession, edges: DataFrame, labels: D
     one = lambda end, name: seeds.select(F.col("node").alias(end), F.col("seed").alias(name))
     # edges between two seeded nodes never move a node, so only those with a free end matter
     free = edges.select("u", "v", F.col(weight).alias("w")).join(one("u", "su"), "u").join(one("v", "sv"), "v").where("su = 0 OR sv = 0")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["u", "v"])
-        uv = frame[["u", "v"]].to_numpy()
-        ids, local = np.unique(uv, return_inverse=True)
-        local = local.reshape(uv.shape)
-        start = np.zeros(len(ids), np.int64)
-        start[local[:, 0]] = frame["su"].to_numpy()
-        start[local[:, 1]] = frame["sv"].to_numpy()
-        found = kernels.graph_watershed(len(ids), local, frame["w"].to_numpy(), start)
-        return pd.DataFrame({"node": ids[start == 0], "found": found[start == 0]})
-
-    from gridloom.operators.components import connected_components
-
-    both_free = free.where("su = 0 AND sv = 0").select("u", "v")
-    part = Scratch(spark, "floods").save(connected_components(spark, both_free), "parts")
-    root = lambda end: part.select(F.col("node").alias(end), F.col("component").alias("_c"))
-    placed = free.withColumn("_at", F.when(F.col("su") == 0, F.col("u")).otherwise(F.col("v"))).join(root("_at"), "_at", "left").withColumn("_c", F.coalesce("_c", "_at")).drop("_at")
-    flooded = placed.groupBy("_c").applyInPandas(run, "node long, found long")
-    out = seeds.join(flooded, "node", "left").select("node", F.greatest(F.when(F.col("seed") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col("seed")), F.lit(0)).cast("long").alias("label"))
+    reached = contraction.spanning_forest(spark, free, seeds.where("seed <> 0"), largest).withColumnRenamed("seed", "found")
+    out = seeds.join(reached, "node", "left").select("node", F.greatest(F.when(F.col("seed") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col("seed")), F.lit(0)).cast("long").alias("label"))
     if not relabel:
         return out
     return numbered(out.where("label <> 0"), "label").unionByName(out.where("label = 0"))
