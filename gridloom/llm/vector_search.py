@@ -1,13 +1,14 @@
 """Operator 9: approximate nearest neighbours by inner product over balanced posting lists.
 
-Inner product becomes Euclidean distance by one more component that brings all vectors to the largest norm.
-Centroids come from balanced k-means over a bounded sample; every vector of the table is put in the list of its
-nearest centroid and, near a boundary, in up to ``REPLICAS`` lists. Centroids are searched by best-first walks
-over an in-memory neighbour graph. A query reads the lists whose centroid is at most ``1 + RATIO`` times as far
-as the nearest one: few where the data have structure, most where they have none, never a fixed number. The ratio is
-larger where a measurement on the sample finds less than ``SHARE`` of the neighbours in these lists. Where
-these hold fewer than ``LEAST`` ids, or ``AMPLE`` times as many as wanted, the next lists are read too, whatever the
-size of the table, so that a query gets ``top`` neighbours, or all other ids if there are fewer.
+Lists are by direction: centroids come from balanced k-means over the directions of a bounded sample, and every vector of
+the table is put in the list of its nearest centroid and, near a boundary, in the next one too. How near is fitted, so
+that about ``REPLICATED`` of the vectors are in two lists. Centroids are searched by best-first walks over an in-memory
+neighbour graph. A query reads the lists whose centroid is at most ``1 + ratio`` times as far as its nearest ``BASE``
+centroids are on average: few where the data have structure, about half where they have none, never a fixed number. The
+ratio is fitted, in the same way at every size of the table: the least at which lists hold 0.98 of the neighbours of sampled
+vectors, or, where that reads too much, a smaller share of them down to 0.92.
+Where a query's lists hold fewer than ``AMPLE`` times as many ids as wanted, the next lists are read too, so that it gets
+``top`` neighbours, or all other ids if there are fewer.
 
 Equal vectors are one posting with their smallest ids, one more than a query can return, so that copies cost
 nothing and lose nothing. Scores are computed in double precision on the original vectors. Vectors that are null,
@@ -28,13 +29,15 @@ from gridloom.llm.neardup_vectors import as_matrix, clean_vectors
 from gridloom.plans.scratch import Scratch
 
 TOP, EVERY = 20, 20
-#: Vectors that the centroids are fitted on; all vectors are indexed. There are at most a quarter as many lists.
-SAMPLE = 20_000
-REPLICAS, BOUNDARY, RATIO = 4, 0.02, 0.14
-#: Ids that the lists of every query hold besides its own, if there are so many: ``LEAST``, and ``AMPLE`` times as many as wanted.
-LEAST, AMPLE = 2048, 10
-#: Share of the neighbours of so many vectors of the sample that their lists must hold, or else the ratio grows.
-SHARE, TRIED = 0.95, 512
+#: Vectors that the index is fitted on; all vectors are indexed. Of a larger table's sample ``HELD`` of it only measures.
+#: There are ``LISTS`` times the root of the rows lists, at most a quarter of the sample.
+SAMPLE, HELD, LISTS = 20_000, 0.2, 4
+REPLICATED, BASE = 0.05, 8
+#: Ids that the lists of every query hold, as a multiple of those wanted, if there are so many.
+AMPLE = 10
+#: Shares of the neighbours of so many vectors of the sample that their lists hold: the largest for which a query reads
+#: ``PART`` of the vectors at most, or the last.
+SHARES, PART, TRIED = (0.98, 0.97, 0.96, 0.95, 0.94, 0.93, 0.92), 0.4, 512
 TILE, RUN = 1024, 8192
 
 
@@ -51,32 +54,42 @@ class CentroidGraph:
         # a ring through all keeps the graph connected
         self.links = np.concatenate([near, more, (np.arange(n)[:, None] + 1) % n], axis=1)
 
-    def search(self, x: np.ndarray, ratio: float, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs with distance at most ``1 + ratio`` times the row's nearest, and (rows, lists) distances (inf: not seen)."""
+    def base(self, far: np.ndarray) -> np.ndarray:
+        """Each row's mean distance to its nearest centroids, from squared distances."""
+        n = min(BASE, far.shape[1])
+        return np.sqrt(np.maximum(np.partition(far, n - 1, axis=1)[:, :n], 0)).mean(axis=1)
+
+    def search(self, x: np.ndarray, ratio: float, least: int = 2, width: int = 12) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """(row, list) pairs with distance at most ``1 + ratio`` times the row's base, and squared distances (inf: not seen).
+
+        Each step opens the nearest ``width`` centroids of a row that are within its reach, and looks at their neighbours.
+        """
         n, k = len(x), len(self.centroids)
         own = np.einsum("ij,ij->i", x, x)
         far = np.full((n, k), np.inf)
         opened = np.zeros((n, k), bool)
         starts = np.unique(np.linspace(0, k - 1, min(k, 16)).astype(int))
         far[:, starts] = own[:, None] - 2 * x @ self.centroids[starts].T + self.square[starts]
-        rows, done = np.arange(n), 0
+        rows, done, width = np.arange(n), 0, min(width, k)
         while len(rows):
-            waiting = np.where(opened[rows], np.inf, far[rows])
-            best = waiting.argmin(axis=1)
-            value = waiting[np.arange(len(rows)), best]
-            limit = np.maximum(far[rows].min(axis=1), 0) * (1 + ratio) ** 2
-            go = np.isfinite(value) & ((value <= limit) | (done < least))
-            rows, best = rows[go], best[go]
-            opened[rows, best] = True
-            near = self.links[best]
-            new = np.isinf(far[rows[:, None], near])
-            i, j = np.nonzero(new)
-            at, to = rows[i], near[i, j]
+            seen = far[rows]
+            reach = np.maximum(self.base(seen) * (1 + ratio), 0) ** 2
+            waiting = np.where(opened[rows], np.inf, seen)
+            best = np.argpartition(waiting, width - 1, axis=1)[:, :width]
+            value = np.take_along_axis(waiting, best, axis=1)
+            go = np.isfinite(value) & ((value <= reach[:, None]) | (done < least))
+            i, j = np.nonzero(go)
+            at, node = rows[i], best[i, j]
+            opened[at, node] = True
+            new = np.zeros((len(rows), k), bool)
+            new[i[:, None], self.links[node]] = True
+            i, to = np.nonzero(new & np.isinf(seen))
+            at = rows[i]
             far[at, to] = own[at] - 2 * np.einsum("ij,ij->i", x[at], self.centroids[to]) + self.square[to]
+            rows = rows[go.any(axis=1)]
             done += 1
         far = np.maximum(far, 0)
-        reach = far.min(axis=1, keepdims=True) * (1 + ratio) ** 2
-        return np.nonzero(far <= reach), far
+        return np.nonzero(far <= (self.base(far) * (1 + ratio))[:, None] ** 2), far
 
 
 def ample(graph: CentroidGraph, x: np.ndarray, i: np.ndarray, j: np.ndarray, counts: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
@@ -112,72 +125,88 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11)
     return centre
 
 
-def lifted(x: np.ndarray, longest: float) -> np.ndarray:
-    """Vectors with the component that brings them to the largest norm."""
-    return np.concatenate([x, np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", x, x), 0))[:, None]], axis=1)
+def directions(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+class Index:
+    """Centroids with their graph, the boundary within which vectors are in two lists, and the ratio of a query's reach."""
+
+    def __init__(self, x: np.ndarray, total: int, top: int = TOP, ratio: float | None = None):
+        """From a sample ``x`` of ``total`` vectors."""
+        unit = directions(x)
+        held = round(HELD * len(x)) if total > len(x) else 0
+        k = max(1, min((len(x) - held) // 4, round(LISTS * total**0.5)))
+        centre = balanced_centroids(unit[held:], k)
+        size = np.sqrt(np.einsum("ij,ij->i", centre, centre))[:, None]
+        self.graph = CentroidGraph(centre / np.where(size > 0, size, 1))
+        measured = held or len(x)
+        self.boundary = self._boundary(unit[:measured][:4096])
+        self.ratio = self._ratio(x[:measured], unit[:measured], total, top) if ratio is None else ratio
+
+    def _boundary(self, unit: np.ndarray) -> float:
+        if len(self.graph.centroids) < 2:
+            return 0.0
+        far = np.sqrt(np.maximum(np.partition(self._far(unit), 1, axis=1)[:, :2], 1e-12))
+        return float(np.quantile(far[:, 1] / far[:, 0], REPLICATED)) - 1
+
+    def _far(self, unit: np.ndarray) -> np.ndarray:
+        return np.maximum(1 - 2 * unit @ self.graph.centroids.T + self.graph.square, 0)
+
+    def _ratio(self, x: np.ndarray, unit: np.ndarray, total: int, top: int) -> float:
+        """The ratio at which lists hold one of ``SHARES`` of the neighbours, of which the sample has its part."""
+        count = min(max(1, round(top * len(x) / total)), len(x) - 1)
+        if count < 1:
+            return 0.0
+        asked = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int))
+        needed, reads = [], []
+        i, j, _ = self.lists_of(x)
+        sizes = np.bincount(j, minlength=len(self.graph.centroids))
+        for begin in range(0, len(asked), 128):
+            at = asked[begin : begin + 128]
+            each = np.arange(len(at))
+            score = x[at] @ x.T
+            score[each, at] = -np.inf
+            best, pair = np.unique(np.argpartition(-score, count - 1, axis=1)[:, :count], return_inverse=True)
+            pair, rows = pair.reshape(-1), np.repeat(each, count)
+            stands = np.zeros((len(best), len(self.graph.centroids)), bool)
+            i, j, _ = self.lists_of(x[best])
+            stands[i, j] = True
+            far = self._far(unit[at])
+            reads.append(np.sqrt(far) / np.maximum(self.graph.base(far), 1e-9)[:, None] - 1)
+            needed.append(np.sqrt(np.where(stands[pair], far[rows], np.inf).min(axis=1)) / np.maximum(self.graph.base(far)[rows], 1e-9) - 1)
+        every, reads = np.concatenate(needed), np.concatenate(reads)
+        for share in SHARES:
+            ratio = float(np.quantile(every, share, method="higher")) + 1e-9
+            if ((reads <= ratio) @ sizes).mean() <= PART * len(x):
+                break
+        return ratio
 
+    def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, list, whether it is the nearest) for the lists that vectors stand in."""
+        _, far = self.graph.search(directions(x), 0.0)
+        near = np.argsort(far, axis=1, kind="stable")[:, :2]
+        value = np.take_along_axis(far, near, axis=1)
+        i, j = np.nonzero((value <= value[:, :1] * (1 + self.boundary) ** 2) & np.isfinite(value))
+        return i, near[i, j], j == 0
 
-def as_queries(x: np.ndarray, longest: float) -> np.ndarray:
-    """Queries at the largest norm, in the plane of the original components: order by distance is order by inner product."""
-    return np.pad(x * (longest / np.sqrt(np.einsum("ij,ij->i", x, x)))[:, None], ((0, 0), (0, 1)))
+    def opened(self, x: np.ndarray, counts: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) for the lists that queries read."""
+        unit = directions(x)
+        return ample(self.graph, unit, *self.graph.search(unit, self.ratio)[0], counts, enough)
 
 
-def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, list, whether it is the nearest) for the lists that lifted vectors stand in."""
-    _, far = graph.search(x, BOUNDARY, 12)
-    near = np.argsort(far, axis=1, kind="stable")[:, :REPLICAS]
-    value = np.take_along_axis(far, near, axis=1)
-    i, j = np.nonzero((value <= value[:, :1] * (1 + BOUNDARY) ** 2) & np.isfinite(value))
-    return i, near[i, j], j == 0
+def fitted(items: DataFrame, dim: int, kind: str, top: int, ratio: float | None, sample: int = SAMPLE) -> Index:
+    """The index of ``items(vec)``, from a bounded sample in the order of a hash."""
+    drawn = items.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()
+    return Index(as_matrix(np.array([r.vec for r in drawn], object), kind, dim), items.count(), top, ratio)
 
 
-def fitting_ratio(graph: CentroidGraph, x: np.ndarray, total: int, longest: float, counts: np.ndarray, enough: float, ratio: float, top: int) -> float:
-    """``ratio``, or where lists hold less than ``SHARE`` of the neighbours of sampled vectors, the least at which they hold it.
+def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", top: int = TOP, ratio: float | None = None) -> DataFrame:
+    """``(query_id, rank, id, score)``: the nearest rows of ``df`` found for each row of ``queries(id, vector)``.
 
-    ``x`` is a sample of ``total`` vectors. Of ``top`` neighbours, the sample has its share.
+    A ``ratio`` of the caller's takes the place of the fitted one.
     """
-    count = min(max(1, round(top * len(x) / total)), len(x) - 1)
-    if count < 1:
-        return ratio
-    asked = np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int))
-    needed = []
-    for begin in range(0, len(asked), 128):
-        at = asked[begin : begin + 128]
-        each = np.arange(len(at))
-        score = x[at] @ x.T
-        score[each, at] = -np.inf
-        best, pair = np.unique(np.argpartition(-score, count - 1, axis=1)[:, :count], return_inverse=True)
-        pair, rows = pair.reshape(-1), np.repeat(each, count)
-        stands = np.zeros((len(best), len(counts)), bool)
-        i, j, _ = lists_of(graph, lifted(x[best], longest))
-        stands[i, j] = True
-        q = as_queries(x[at], longest)
-        opened = np.zeros((len(at), len(counts)), bool)
-        opened[ample(graph, q, *graph.search(q, ratio)[0], counts, enough)] = True
-        far = np.maximum(longest**2 - 2 * q @ graph.centroids.T + graph.square, 1e-12 * longest**2)
-        more = np.sqrt(np.where(stands[pair], far[rows], np.inf).min(axis=1) / far.min(axis=1)[rows]) - 1
-        needed.append(np.where((opened[rows] & stands[pair]).any(axis=1), 0, more + 1e-9))
-    return max(ratio, float(np.quantile(np.concatenate(needed), SHARE, method="higher")))
-
-
-def build_graph(items: DataFrame, dim: int, kind: str, sample: int = SAMPLE) -> tuple[CentroidGraph, float, np.ndarray, int]:
-    """The graph over centroids of a bounded sample of ``items(vec)``, the largest norm of all, the sample and the number of all."""
-
-    def norms(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = as_matrix(batch.column(0).to_numpy(zero_copy_only=False), kind, dim)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([float(np.sqrt(np.einsum("ij,ij->i", x, x).max()))])], names=["n", "longest"])
-
-    total = items.select("vec").mapInArrow(norms, "n long, longest double").agg(F.sum("n").alias("n"), F.max("longest").alias("longest")).first()
-    drawn = items.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).collect()
-    x = as_matrix(np.array([r.vec for r in drawn], object), kind, dim)
-    k = max(1, min(len(x) // 4, round(total.n**0.5 / 2)))
-    return CentroidGraph(balanced_centroids(lifted(x, total.longest), k)), total.longest, x, total.n
-
-
-def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", top: int = TOP, ratio: float = RATIO) -> DataFrame:
-    """``(query_id, rank, id, score)``: the nearest rows of ``df`` found for each row of ``queries(id, vector)``."""
     empty = "query_id long, rank int, vec_id long, score double"
     scratch = Scratch(spark, "search")
     rows, dim, kind = clean_vectors(df, id, vector)
@@ -192,15 +221,14 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "ve
     first = Window.partitionBy("vec").orderBy("id")
     items = rows.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1)
     items = scratch.save(items.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")), "items")
-    graph, longest, sample, total = build_graph(items, dim, kind)
-    shared = spark.sparkContext.broadcast(graph)  # at most SAMPLE / 4 centroids
+    index = fitted(items, dim, kind, top, ratio)
+    shared = spark.sparkContext.broadcast(index)  # at most SAMPLE / 4 centroids
 
     def placed(batches):
         own = shared.value
         for whole in batches:
             for batch in slices(whole, 1 << 19):
-                x = lifted(as_matrix(batch.column(0).to_numpy(zero_copy_only=False), kind, dim), longest)
-                i, lists, home = lists_of(own, x)
+                i, lists, home = own.lists_of(as_matrix(batch.column(0).to_numpy(zero_copy_only=False), kind, dim))
                 pick = pa.array(i)
                 yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(home), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "home", "vec", "ids"])
 
@@ -208,20 +236,17 @@ def search(spark: SparkSession, df: DataFrame, queries: DataFrame, id: str = "ve
         own = shared.value
         for whole in batches:
             for batch in slices(whole, 1 << 18):
-                x = as_queries(as_matrix(batch.column(1).to_numpy(zero_copy_only=False), own_kind, dim), longest)
-                (i, j), _ = own.search(x, ratio)
-                i, j = ample(own, x, i, j, counts, enough)
+                i, j = own.opened(as_matrix(batch.column(1).to_numpy(zero_copy_only=False), own_kind, dim), counts, enough)
                 pick = pa.array(i)
                 yield pa.RecordBatch.from_arrays([pa.array(j), batch.column(0).take(pick), batch.column(1).take(pick)], names=["list", "query", "vec"])
 
     postings = scratch.save(items.mapInArrow(placed, "list long, home boolean, vec binary, ids array<long>"), "postings")
     # each id counts in one list, so that lists hold at least the sum of their counts; one row for each list
     homes = postings.where("home").select("list", F.explode("ids").alias("id")).groupBy("id").agg(F.min("list").alias("list"))
-    counts = np.zeros(len(graph.centroids))
+    counts = np.zeros(len(index.graph.centroids))
     for r in homes.groupBy("list").agg(F.count("*").alias("n")).collect():
         counts[r.list] = r.n
-    enough = max(LEAST, AMPLE * top) + 1
-    ratio = fitting_ratio(graph, sample, total, longest, counts, enough, ratio, top)
+    enough = AMPLE * top + 1
     wanted = scratch.save(asked.distinct().mapInArrow(aimed, "list long, query long, vec binary"), "wanted")
     # one row for each list, so at most SAMPLE / 4
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / RUN).alias("runs")).join(wanted.groupBy("list").agg(F.ceil(F.count("*") / TILE).alias("tiles")), "list")
