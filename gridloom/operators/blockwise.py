@@ -13,11 +13,12 @@ from gridloom.model import AXES, Blocking
 _NUMPY = {"double": float, "long": np.int64, "boolean": bool}
 
 
-def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict], reads: dict[str, str], writes: dict[str, str], halo: tuple[int, int, int] = (0, 0, 0), by: tuple[str, ...] = (), blocks: list[int] | None = None) -> DataFrame:
+def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict], reads: dict[str, str], writes: dict[str, str], halo: tuple[int, int, int] = (0, 0, 0), by: tuple[str, ...] = (), blocks: list[int] | None = None, beside: DataFrame | None = None) -> DataFrame:
     """``kernel`` on each block: arrays of the columns ``reads`` by name, with ``begin`` and ``block_id``, to arrays ``writes``.
 
     A block is a group of bounded size: the voxels of its outer box. ``blocks`` restricts the work to some of them,
-    ``by`` adds grouping columns (a z slice, a channel).
+    ``by`` adds grouping columns (a z slice, a channel). Rows of ``beside(block_id, …)`` come with their block as
+    ``block["beside"]``. A kernel may return ``more``, a frame of rows without a place, which come back with null coordinates.
     """
     names = list(reads)
     placed = blocking.with_halo(vox.select(*AXES, *[c for c in by if c not in AXES], *names), halo)
@@ -25,7 +26,7 @@ def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict
         placed = placed.where(placed.block_id.isin(list(blocks)))
     schema = ", ".join(["z long, y long, x long", "block_id long", *(f"`{n}` {t}" for n, t in writes.items())])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def work(frame: pd.DataFrame, rows: pd.DataFrame | None) -> pd.DataFrame:
         at = frame[list(AXES)].to_numpy()
         begin = at.min(axis=0)
         where = tuple((at - begin).T)
@@ -36,10 +37,24 @@ def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict
         for n in names:
             block[n] = np.zeros(shape, _NUMPY[reads[n]])
             block[n][where] = frame[n].to_numpy()
+        block["beside"] = rows
         out = kernel(block)
         inner = frame["inner"].to_numpy()
         take = tuple(w[inner] for w in where)
         made = {c: at[inner, k] for k, c in enumerate(AXES)} | {"block_id": block["block_id"]} | {n: out[n][take].astype(_NUMPY[t]) for n, t in writes.items()}
-        return pd.DataFrame(made)
+        made = pd.DataFrame(made)
+        if "more" in out:
+            more = out["more"].assign(block_id=block["block_id"], **{c: pd.array([pd.NA] * len(out["more"]), "Int64") for c in AXES})
+            made = pd.concat([made.astype(dict.fromkeys(AXES, "Int64")), more[made.columns]])
+        return made
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return work(frame, None)
+
+    if beside is None:
+        return placed.groupBy("block_id", *by).applyInPandas(run, schema)
+
+    def with_rows(frame: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        return work(frame, rows) if len(frame) else pd.DataFrame({c: [] for c in [*AXES, "block_id", *writes]})
 
-    return placed.groupBy("block_id", *by).applyInPandas(run, schema)
+    return placed.groupBy("block_id").cogroup(beside.groupBy("block_id")).applyInPandas(with_rows, schema)

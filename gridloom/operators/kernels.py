@@ -251,11 +251,12 @@ def fit_to_boundaries(objects: np.ndarray, boundary: np.ndarray, erode_by: int)
     return np.where(out == background, 0, out)
 
 
-def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, strides=(1, 1, 1), mask: np.ndarray | None = None, randomize: bool = False, noise: float = 0.0, seed: int = 0, seeds: np.ndarray | None = None) -> np.ndarray:
+def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, strides=(1, 1, 1), mask: np.ndarray | None = None, randomize: bool = False, noise: float = 0.0, seed: int = 0, seeds: np.ndarray | None = None, state: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """Kruskal over all edges by strength: attractive channels merge, the others forbid merging; ids from 1.
 
     Channels hold the affinity of a voxel and the one at the offset; repulsion is 1 - affinity. ``seeds`` are labels
-    whose voxels are one cluster each, and which never merge with one another.
+    whose voxels are one cluster each. With ``state``, edges between seeds known from elsewhere (two labels, weight,
+    whether attractive), these compete with the others; without it seeds never merge with one another.
     """
     shape = affinities.shape[1:]
     ids = np.arange(np.prod(shape)).reshape(shape)
@@ -280,6 +281,13 @@ def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, stride
         v.append(ids[b][keep])
         w.append(value if c < attractive else 1 - value)
         kind.append(np.full(keep.sum(), c < attractive))
+    if state is not None and seeds is not None:
+        held, first = np.unique(seeds, return_index=True)
+        known = np.isin(state[0], held) & np.isin(state[1], held) & (state[0] > 0) & (state[1] > 0)
+        for ends, label in ((u, state[0]), (v, state[1])):
+            ends.insert(0, first[np.searchsorted(held, label[known])])
+        w.insert(0, state[2][known])
+        kind.insert(0, state[3][known].astype(bool))
     u, v, w, kind = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((u, int), (v, int), (w, float), (kind, bool)))
     if noise:
         w = w + rng.normal(scale=noise, size=len(w))
@@ -301,7 +309,7 @@ def mutex_watershed(affinities: np.ndarray, offsets, attractive: int = 3, stride
             for p in points[1:]:
                 joined(union.find(points[0]), union.find(p))
             roots.append(union.find(points[0]))
-        for i, a in enumerate(roots):
+        for i, a in enumerate(roots if state is None else []):
             for b in roots[:i]:
                 mutex.setdefault(a, set()).add(b)
                 mutex.setdefault(b, set()).add(a)

@@ -7,6 +7,7 @@ Two-pass operators run one colour of the checkerboard after the other; the secon
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,26 +159,53 @@ def mutex_watershed(affinities: DataFrame, offsets: list[tuple[int, int, int]],
     return map_blocks(vox, blocking, run, reads, {"ws": "long"}, halo, blocks=blocks)
 
 
+def mutex_state(labelled: DataFrame, affinities: DataFrame, offsets, attractive: int = 3) -> DataFrame:
+    """``(a, b, weight, attractive)``: the strongest attractive and repulsive edge between two labels of one block.
+
+    ``labelled(z, y, x, block_id, ws)`` and ``affinities(c, z, y, x, v)``, of a voxel and the one at the channel's offset.
+    """
+    own = labelled.where("ws > 0").select(*AXES, "block_id", "ws")
+    moves = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), *[F.lit(int(d)).alias(a) for a, d in zip(AXES, o)]) for c, o in enumerate(offsets)])
+    there = own.select(*AXES, F.col("block_id").alias("_bb"), F.col("ws").alias("_b"), F.explode(moves).alias("m"))
+    there = there.select(*[(F.col(a) - F.col(f"m.{a}")).alias(a) for a in AXES], F.col("m.c").alias("c"), "_bb", "_b")
+    pairs = own.join(there, list(AXES)).where("block_id = _bb AND ws <> _b").join(affinities.select("c", *AXES, "v"), ["c", *AXES])
+    pulls = F.col("c") < attractive
+    strong = F.max(F.when(pulls, F.col("v")).otherwise(1 - F.col("v"))).alias("weight")
+    return pairs.groupBy(F.least("ws", "_b").alias("a"), F.greatest("ws", "_b").alias("b"), pulls.alias("attractive")).agg(strong).select("a", "b", "weight", "attractive")
+
+
 def two_pass_mutex_watershed(affinities: DataFrame, offsets, blocking: Blocking, *, mask: str | None = None, halo=(1, 2, 2), **config) -> tuple[DataFrame, DataFrame]:
-    """Labels of both colours, and ``(a, b)``: labels of black blocks that go on a white neighbour's label."""
+    """Labels of both colours, and ``(a, b)``: labels of black blocks and the white neighbours' labels they go on.
+
+    White blocks write their labels, and a table of the attractive and repulsive edges between them. A black block has
+    the labels it sees as seeds, and the edges between those compete with its own: what a white block has parted, over
+    voxels that the black one doesn't see, stays apart.
+    """
     scratch = Scratch(affinities.sparkSession, "two-pass")
     white, black = blocking.colours()
     first = scratch.save(mutex_watershed(affinities, offsets, blocking, mask=mask, halo=halo, blocks=white, **config), "white")
+    state = scratch.save(mutex_state(first, affinities, offsets), "state")
     vox, names = _affinity_columns(affinities, offsets)
     seen = vox.join(first.select(*AXES, F.col("ws").alias("_seed")), list(AXES), "left").fillna(0, ["_seed"])
     reads = dict.fromkeys(names, "double") | {"_seed": "long"} | ({mask: "boolean"} if mask else {})
+    # edges between labels that a black block sees both of
+    placed = blocking.with_halo(first.where("ws > 0").select(*AXES, "ws"), halo)
+    sees = scratch.save(placed.where(placed.block_id.isin(black)).select("block_id", "ws").distinct(), "sees")
+    beside = state.join(sees.select("block_id", F.col("ws").alias("a")), "a").join(sees.select("block_id", F.col("ws").alias("b")), ["block_id", "b"])
 
     def run(block: dict) -> dict:
         own = block["present"] & block[mask] if mask else block["present"]
-        seeds = block["_seed"]
-        label = kernels.mutex_watershed(np.stack([block[n] for n in names]), offsets, 3, config.get("strides", (1, 1, 1)), own, seeds=seeds)
-        seed_of = np.zeros(int(label.max()) + 1, np.int64)
-        seed_of[label[seeds > 0]] = seeds[seeds > 0]
-        return {"ws": _unique(label, block["block_id"], blocking, halo), "_of": seed_of[label]}
-
-    second = scratch.save(map_blocks(seen, blocking, run, reads, {"ws": "long", "_of": "long"}, halo, blocks=black), "black")
-    pairs = second.where("ws > 0 AND _of > 0").select(F.col("ws").alias("a"), F.col("_of").alias("b")).distinct()
-    return first.unionByName(second.drop("_of")), pairs
+        seeds, known = block["_seed"], block["beside"].sort_values(["a", "b", "attractive"])
+        edges = tuple(known[c].to_numpy() for c in ("a", "b", "weight", "attractive"))
+        label = kernels.mutex_watershed(np.stack([block[n] for n in names]), offsets, 3, config.get("strides", (1, 1, 1)), own, seeds=seeds, state=edges)
+        unique = _unique(label, block["block_id"], blocking, halo)
+        goes = np.unique(np.stack([unique[seeds > 0], seeds[seeds > 0]], axis=1), axis=0)
+        goes = goes[goes[:, 0] > 0]
+        return {"ws": unique, "_of": np.zeros_like(unique), "more": pd.DataFrame({"ws": goes[:, 0], "_of": goes[:, 1]})}
+
+    second = scratch.save(map_blocks(seen, blocking, run, reads, {"ws": "long", "_of": "long"}, halo, blocks=black, beside=beside), "black")
+    pairs = second.where("z IS NULL").select(F.col("ws").alias("a"), F.col("_of").alias("b")).distinct()
+    return first.unionByName(second.where("z IS NOT NULL").drop("_of")), pairs
 
 
 def _block_graph(label: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
