@@ -1030,3 +1030,22 @@ def multiscale_inference(spark, sf_dir):
 
 def _fine_less_coarse(data):
     return data[0] - data[1]
+
+
+_RANK = ", ".join(f"max(CASE WHEN cum - n < {q} * total AND cum >= {q} * total THEN 500.0 / 64 * (bin + ({q} * total - (cum - n)) / n) END) AS q{int(q * 100)}" for q in agg.QUANTILES)
+
+
+@query(
+    "SELECT m.u, m.v, round(mean, 6) AS mean, round(var, 4) AS var, mn AS min, " + ", ".join(f"round(greatest(mn, least(mx, q{int(q * 100)})), 6) AS q{int(q * 100)}" for q in agg.QUANTILES) + ", mx AS max, size FROM m JOIN r USING (u, v)",
+    VX, PAIRS,
+    "h AS (SELECT least(wa, wb) AS u, greatest(wa, wb) AS v, greatest(va, vb) AS x FROM pairs WHERE wa <> wb)",
+    "b AS (SELECT u, v, CAST(greatest(0, least(63, floor(x / (500.0::DOUBLE / 64)))) AS BIGINT) AS bin, count(*) AS n FROM h GROUP BY ALL)",
+    "c AS (SELECT *, sum(n) OVER (PARTITION BY u, v ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY u, v) AS total FROM b)",
+    "r AS (SELECT u, v, " + _RANK.replace("500.0", "500.0::DOUBLE") + " FROM c GROUP BY u, v)",
+    "m AS (SELECT u, v, avg(x) AS mean, var_pop(x) AS var, min(x) AS mn, max(x) AS mx, count(*) AS size FROM h GROUP BY u, v)",
+)
+def edge_features_by_histogram(spark, sf_dir):
+    """Histograms of each block's edges, merged; the SQL has them of the whole at once."""
+    parts = agg.edge_histograms(agg.edge_pairs(raster(spark, sf_dir), "ws", "v", by_block=True), 0.0, 500.0, by=("block_id",))
+    found = agg.histogram_features(agg.merge_edge_histograms(parts), 0.0, 500.0)
+    return rounded(found, "mean", *[f"q{int(q * 100)}" for q in agg.QUANTILES]).withColumn("var", F.round("var", 4))

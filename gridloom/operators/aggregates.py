@@ -74,14 +74,18 @@ def size_filter(sizes: DataFrame, *, size_threshold: int | None = None, target_n
     return total.join(largest, "id", "left_anti").select("id")
 
 
-def edge_pairs(vox: DataFrame, label: str, value: str | None = None, ignore_label: bool = False) -> DataFrame:
-    """``(u, v, value)`` of each pair of neighbours with different labels; the value is the larger of the two."""
-    pairs = lower_pairs(vox, [label, value] if value else [label])
+def edge_pairs(vox: DataFrame, label: str, value: str | None = None, ignore_label: bool = False, by_block: bool = False) -> DataFrame:
+    """``(u, v, value)`` of each pair of neighbours with different labels; the value is the larger of the two.
+
+    ``by_block`` adds the ``block_id`` of the first.
+    """
+    pairs = lower_pairs(vox, [label, *([value] if value else []), *(["block_id"] if by_block else [])])
     pairs = pairs.where(F.col(f"{label}_a") != F.col(f"{label}_b"))
     if ignore_label:
         pairs = pairs.where((F.col(f"{label}_a") != 0) & (F.col(f"{label}_b") != 0))
     ends = [F.least(f"{label}_a", f"{label}_b").alias("u"), F.greatest(f"{label}_a", f"{label}_b").alias("v")]
-    return pairs.select(*ends, *([F.greatest(f"{value}_a", f"{value}_b").alias("value")] if value else []))
+    home = [F.col("block_id_a").alias("block_id")] if by_block else []
+    return pairs.select(*home, *ends, *([F.greatest(f"{value}_a", f"{value}_b").alias("value")] if value else []))
 
 
 def affinity_pairs(vox: DataFrame, label: str, affinities: DataFrame, offsets: list[tuple[int, int, int]], value: str = "v") -> DataFrame:
@@ -102,6 +106,43 @@ def edge_features(pairs: DataFrame, exact: bool = True) -> DataFrame:
     return out.select("u", "v", "mean", "var", "min", *[F.col("_q")[k].alias(f"q{int(p * 100)}") for k, p in enumerate(QUANTILES)], "max", "size")
 
 
+def edge_histograms(pairs: DataFrame, low: float, high: float, bins: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(…, u, v, bin, n, mean, var, min, max)`` of ``(u, v, value)``: counts and moments of each edge's values by bin.
+
+    Bins are of one width over ``low`` to ``high``; what lies outside counts in the first or last. An edge has ``bins`` rows
+    at most, however many values, and those of parts (``by``, such as blocks) merge.
+    """
+    at = F.floor((F.col("value") - low) / ((high - low) / bins))
+    placed = pairs.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)).cast("long"))
+    return placed.groupBy(*by, "u", "v", "bin").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.min("value").alias("min"), F.max("value").alias("max"))
+
+
+def merge_edge_histograms(parts: DataFrame, by: tuple[str, ...] = ("u", "v", "bin")) -> DataFrame:
+    """Histograms of parts added up: counts, and moments by the parallel variance formula."""
+    n = F.sum("n")
+    mean = F.sum(F.col("n") * F.col("mean")) / n
+    var = F.sum(F.col("n") * (F.col("var") + F.col("mean") ** 2)) / n - mean**2
+    return parts.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("var"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def histogram_features(histograms: DataFrame, low: float, high: float, bins: int = 64) -> DataFrame:
+    """The features of ``edge_features`` from histograms: quantiles lie within their bin in proportion to the count below
+    them, and between the edge's least and largest value. No values are held, only bins."""
+    along = Window.partitionBy("u", "v").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    width = (high - low) / bins
+    below = histograms.withColumn("_cum", F.sum("n").over(along)).withColumn("_all", F.sum("n").over(Window.partitionBy("u", "v")))
+    q = []
+    for p in QUANTILES:
+        rank = p * F.col("_all")
+        before = F.col("_cum") - F.col("n")
+        q.append(F.max(F.when((before < rank) & (F.col("_cum") >= rank), low + width * (F.col("bin") + (rank - before) / F.col("n")))).alias(f"q{int(p * 100)}"))
+    found = below.groupBy("u", "v").agg(*q)
+    whole = merge_edge_histograms(histograms, ("u", "v"))
+    names = [f"q{int(p * 100)}" for p in QUANTILES]
+    clipped = [F.greatest("min", F.least("max", n)).alias(n) for n in names]
+    return whole.join(found, ["u", "v"]).select("u", "v", "mean", "var", "min", *clipped, "max", F.col("n").alias("size"))
+
+
 def create_multiset(vox: DataFrame, label: str, ignore: int = (1 << 63) - 1) -> DataFrame:
     """Each voxel's histogram of one label; the ignore label is background."""
     own = F.when(F.col(label) == ignore, 0).otherwise(F.col(label)).cast("long")

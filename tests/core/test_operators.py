@@ -337,3 +337,20 @@ def test_ranges_of_blocks_join_to_the_whole_rows(spark):
         assert len(r.blocks) <= 8
         parts.setdefault(r.label, []).extend(r.blocks)
     assert parts == whole
+
+
+def test_histograms_of_edges_merge_and_give_quantiles(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(u), int(u) + 1, int(b), float(x)) for u, b, x in zip(rng.integers(0, 3, 900), rng.integers(0, 5, 900), rng.normal(0.5, 0.4, 900))]
+    pairs = spark.createDataFrame(rows, "u long, v long, block_id long, value double")
+    direct = agg.edge_histograms(pairs, 0.0, 1.0, 256)
+    merged = agg.merge_edge_histograms(agg.edge_histograms(pairs, 0.0, 1.0, 256, by=("block_id",)))
+    one, two = ({(r.u, r.bin): r for r in t.collect()} for t in (direct, merged))
+    assert one.keys() == two.keys() and max(k for _, k in one) == 255 and min(k for _, k in one) == 0
+    for k, r in one.items():
+        assert (r.n, r.min, r.max) == (two[k].n, two[k].min, two[k].max) and np.allclose((r.mean, r.var), (two[k].mean, two[k].var))
+    for r in agg.histogram_features(merged, 0.0, 1.0, 256).collect():
+        values = np.array([x for u, _, _, x in rows if u == r.u])
+        assert (r.size, r.min, r.max) == (len(values), values.min(), values.max()) and np.allclose((r.mean, r.var), (values.mean(), values.var()))
+        for q in (25, 50, 75):
+            assert abs(r[f"q{q}"] - np.quantile(values, q / 100)) < 0.02
