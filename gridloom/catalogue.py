@@ -678,9 +678,26 @@ def slice_agglomeration(spark, sf_dir):
     return segmentation.slice_agglomeration(raster(spark, sf_dir), "ws", "v", blocking.shape, blocking)
 
 
-@query()
+#: Least and greatest value of each block with a halo.
+_BOX = lambda hz, hy, hx: f"box AS (SELECT o.block_id, min(v) AS low, max(v) AS high FROM (SELECT DISTINCT block_id, floor(z/5) AS i, floor(y/13) AS j, floor(x/20) AS k FROM vx) o JOIN vx ON z BETWEEN i*5-{hz} AND i*5+{4 + hz} AND y BETWEEN j*13-{hy} AND j*13+{12 + hy} AND x BETWEEN k*20-{hx} AND k*20+{19 + hx} GROUP BY o.block_id)"
+
+
+def _smooth(name: str, of: str, axis: str) -> str:
+    """Weighted sums along an axis, mirrored at the ends."""
+    rest = " AND ".join(f"b.{c} = a.{c}" for c in AXES if c != axis)
+    j = f"(((a.{axis} + g.t) % (2 * n{axis}) + 2 * n{axis}) % (2 * n{axis}))"
+    return f"{name} AS (SELECT a.z, a.y, a.x, sum(g.w * b.v) AS v FROM {of} a CROSS JOIN g CROSS JOIN dim JOIN {of} b ON {rest} AND b.{axis} = least({j}, 2 * n{axis} - 1 - {j}) GROUP BY ALL)"
+
+
+@query(
+    "SELECT z, y, x, block_id, round((sx.v - low) / (high - low), 6) AS v FROM sx JOIN (SELECT z, y, x, block_id FROM vx) USING (z, y, x) JOIN box USING (block_id)",
+    VX, _BOX(3, 4, 4),
+    "dim AS (SELECT max(z) + 1 AS nz, max(y) + 1 AS ny, max(x) + 1 AS nx FROM vx)",
+    "g AS (SELECT t, exp(-0.5 * t * t) / sum(exp(-0.5 * t * t)) OVER () AS w FROM (SELECT unnest(range(-3, 4)) AS t))",
+    _smooth("sz", "vx", "z"), _smooth("sy", "sz", "y"), _smooth("sx", "sy", "x"),
+)
 def image_filter_gaussian(spark, sf_dir):
-    return stencils.image_filter(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), "gaussianSmoothing", 1.0, (3, 4, 4))
+    return rounded(stencils.image_filter(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), "gaussianSmoothing", 1.0, (3, 4, 4)), "v")
 
 
 @query(
@@ -827,10 +844,13 @@ def rf_edge_probability(spark, sf_dir):
     return models.predict_edges(model, feats.select("u", "v", *names)).select("u", "v", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(
+    "SELECT c, z, y, x, round(CASE WHEN c = 0 THEN n ELSE 1 - n END, 6) AS v FROM (SELECT z, y, x, (v - low) / (high - low) AS n FROM vx JOIN box USING (block_id)), (SELECT unnest([CAST(0 AS BIGINT), 1]) AS c)",
+    VX, _BOX(1, 2, 2),
+)
 def block_inference(spark, sf_dir):
     found = models.inference(raster(spark, sf_dir), "v", _blocking(spark, sf_dir), _two_channels, {"out": (0, 2)}, (1, 2, 2), preprocess="normalize")
-    return found["out"]
+    return rounded(found["out"], "v")
 
 
 def _two_channels(data):
@@ -1022,10 +1042,11 @@ def filtered_edge_features(spark, sf_dir):
     return rounded(found, "mean", "var", "min", "max")
 
 
-@query()
+@query("SELECT z, y, x, block_id, round(v - avg(v) OVER (PARTITION BY z, floor(y/5), floor(x/5)), 6) AS v FROM vx", VX)
 def multiscale_inference(spark, sf_dir):
     vox = raster(spark, sf_dir).select(*AXES, "v")
-    return models.multiscale_inference([vox, resample.downscale(vox, "v", (1, 5, 5), "mean")], "v", [(1, 5, 5)], _blocking(spark, sf_dir), _fine_less_coarse, [(0, 2, 2), (0, 1, 1)])
+    found = models.multiscale_inference([vox, resample.downscale(vox, "v", (1, 5, 5), "mean")], "v", [(1, 5, 5)], _blocking(spark, sf_dir), _fine_less_coarse, [(0, 2, 2), (0, 1, 1)])
+    return rounded(found, "v")
 
 
 def _fine_less_coarse(data):
