@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from gridloom.llm.common import read_table, texts, with_columns
 
@@ -80,15 +80,16 @@ class Model:
         return float(1 / (1 + np.exp(-(self.bias + sum(values) / max(1, len(values))))))
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, batch: int = 64) -> Model:
-    """Gradient descent on the vectors of all n-grams and the softmax together."""
+def fit(rows: list[tuple[str | dict[str, int], int]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, batch: int = 64) -> Model:
+    """Gradient descent on the vectors of all n-grams and the softmax together, from labelled texts, or their words and
+    how often they have each."""
     labels = np.array([y for _, y in rows], int)
     if len(set(labels.tolist())) < 2:
         return Model()
     index: dict[str, int] = {}
     docs, holders = [], Counter()
     for text, _ in rows:
-        count = Counter(WORD.findall(text.lower()))
+        count = text if isinstance(text, dict) else Counter(WORD.findall(text.lower()))
         docs.append((np.array([index.setdefault(w, len(index)) for w in count], np.int32), np.array(list(count.values()), np.int32)))
         holders.update(count.keys())
     # n-grams by the documents that hold a word with them (counted once a word), in a table of fixed size; n-grams
@@ -162,14 +163,25 @@ def fold(id: str):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold. Only the drawn texts reach the driver."""
+    """Fit on at most ``sample`` labelled rows outside the held-out fold.
+
+    Their words are counted in the cluster; what reaches the driver is each one's different words, not the texts.
+    """
     drawn = labels.where((fold(id) != HELD_OUT) & F.col(label).isNotNull()).select(id, F.col(label).cast("int").alias("_y"))
     drawn = drawn.orderBy(F.xxhash64(id), id, "_y").limit(sample)
     # at most ``sample`` ids of 12 bytes
-    met = docs.select(id, text).join(F.broadcast(drawn), id).select(text, "_y", id)
+    met = docs.select(F.col(id).alias("id"), F.col(text).alias("t")).join(F.broadcast(drawn.withColumnRenamed(id, "id")), "id").select("id", "_y", F.xxhash64("t").alias("h"), "t")
+
+    def counted(batches):
+        for batch in batches:
+            counts = [Counter(WORD.findall(t.decode().lower())) for t in texts(batch, "t")]
+            words, times = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words, times], names=["id", "_y", "h", "words", "times"])
+
+    counts = met.mapInArrow(counted, StructType([met.schema["id"], StructField("_y", IntegerType()), StructField("h", LongType()), StructField("words", ArrayType(StringType())), StructField("times", ArrayType(IntegerType()))]))
     # an id may have several texts: again at most ``sample`` rows
-    rows = met.orderBy(F.xxhash64(id), id, "_y", F.xxhash64(text)).limit(sample).collect()
-    return fit([(r[0] or "", int(r[1] > 0)) for r in sorted(rows, key=lambda r: (r[2], r[1], r[0] or ""))])
+    rows = counts.orderBy(F.xxhash64("id"), "id", "_y", "h").limit(sample).collect()
+    return fit([(dict(zip(r.words, r.times)), int(r._y > 0)) for r in sorted(rows, key=lambda r: (r.id, r._y, r.h))])
 
 
 def score(spark: SparkSession, df: DataFrame, model: Model, text: str = "text", out: str = "score", drop: tuple[str, ...] = ()) -> DataFrame:
