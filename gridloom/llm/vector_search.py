@@ -6,7 +6,7 @@ that about ``REPLICATED`` of the vectors are in two lists. Centroids are searche
 neighbour graph. A query reads the lists whose centroid is at most ``1 + ratio`` times as far as its nearest ``BASE``
 centroids are on average: few where the data have structure, about half where they have none, never a fixed number. The
 ratio is fitted, in the same way at every size of the table: the least at which lists hold 0.98 of the neighbours of sampled
-vectors, or, where that reads too much, a smaller share of them down to 0.92.
+vectors, or, where that reads too much, a smaller share of them down to 0.91.
 Where a query's lists hold fewer than ``AMPLE`` times as many ids as wanted, the next lists are read too, so that it gets
 ``top`` neighbours, or all other ids if there are fewer.
 
@@ -37,8 +37,10 @@ REPLICATED, BASE = 0.05, 8
 AMPLE = 10
 #: Shares of the neighbours of so many vectors of the sample that their lists hold: the largest for which a query reads
 #: ``PART`` of the vectors at most, or the last.
-SHARES, PART, TRIED = (0.98, 0.97, 0.96, 0.95, 0.94, 0.93, 0.92), 0.4, 512
+SHARES, PART, TRIED = (0.98, 0.97, 0.96, 0.95, 0.94, 0.93, 0.92, 0.91), 0.4, 512
 TILE, RUN = 1024, 8192
+#: Vectors that are compared with all centroids at a time.
+ROWS = 512
 
 
 class CentroidGraph:
@@ -48,8 +50,11 @@ class CentroidGraph:
         self.centroids = centroids
         n = len(centroids)
         self.square = np.einsum("ij,ij->i", centroids, centroids)
-        far = self.square[:, None] - 2 * centroids @ centroids.T + self.square[None, :]
-        near = np.argsort(far, axis=1, kind="stable")[:, 1 : degree + 1]
+        near = np.zeros((n, min(degree, n - 1)), int)
+        for at in range(0, n, ROWS):
+            far = self.square[at : at + ROWS, None] - 2 * centroids[at : at + ROWS] @ centroids.T + self.square
+            far[np.arange(len(far)), np.arange(at, at + len(far))] = -np.inf
+            near[at : at + ROWS] = np.argsort(far, axis=1, kind="stable")[:, 1 : degree + 1]
         more = np.random.default_rng(seed).integers(0, n, (n, 4))
         # a ring through all keeps the graph connected
         self.links = np.concatenate([near, more, (np.arange(n)[:, None] + 1) % n], axis=1)
@@ -113,11 +118,15 @@ def balanced_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11)
     rng = np.random.default_rng(seed)
     centre = x[rng.choice(len(x), k, replace=False)].copy()
     burden = np.zeros(k)
+    own, to, near = np.einsum("ij,ij->i", x, x), np.zeros(len(x), int), np.zeros(len(x))
     for _ in range(rounds):
-        far = -2 * x @ centre.T + np.einsum("ij,ij->i", centre, centre)
-        to = (far + burden).argmin(axis=1)
+        square = np.einsum("ij,ij->i", centre, centre)
+        for at in range(0, len(x), ROWS):
+            far = square - 2 * x[at : at + ROWS] @ centre.T
+            best = (far + burden).argmin(axis=1)
+            to[at : at + ROWS], near[at : at + ROWS] = best, far[np.arange(len(best)), best]
         count = np.bincount(to, minlength=k)
-        spread = max(1e-12, float(np.mean(np.einsum("ij,ij->i", x, x) + far[np.arange(len(x)), to])))
+        spread = max(1e-12, float(np.mean(own + near)))
         burden += 0.1 * spread * (count - len(x) / k) / (len(x) / k)
         total = np.zeros_like(centre)
         np.add.at(total, to, x)
@@ -173,7 +182,7 @@ class Index:
             i, j, _ = self.lists_of(x[best])
             stands[i, j] = True
             far = self._far(unit[at])
-            reads.append(np.sqrt(far) / np.maximum(self.graph.base(far), 1e-9)[:, None] - 1)
+            reads.append((np.sqrt(far) / np.maximum(self.graph.base(far), 1e-9)[:, None] - 1).astype(np.float32))
             needed.append(np.sqrt(np.where(stands[pair], far[rows], np.inf).min(axis=1)) / np.maximum(self.graph.base(far)[rows], 1e-9) - 1)
         every, reads = np.concatenate(needed), np.concatenate(reads)
         for share in SHARES:
@@ -184,16 +193,23 @@ class Index:
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, list, whether it is the nearest) for the lists that vectors stand in."""
-        _, far = self.graph.search(directions(x), 0.0)
-        near = np.argsort(far, axis=1, kind="stable")[:, :2]
-        value = np.take_along_axis(far, near, axis=1)
-        i, j = np.nonzero((value <= value[:, :1] * (1 + self.boundary) ** 2) & np.isfinite(value))
-        return i, near[i, j], j == 0
+        found = []
+        for at in range(0, len(x), ROWS):
+            _, far = self.graph.search(directions(x[at : at + ROWS]), 0.0)
+            near = np.argsort(far, axis=1, kind="stable")[:, :2]
+            value = np.take_along_axis(far, near, axis=1)
+            i, j = np.nonzero((value <= value[:, :1] * (1 + self.boundary) ** 2) & np.isfinite(value))
+            found.append((at + i, near[i, j], j == 0))
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
 
     def opened(self, x: np.ndarray, counts: np.ndarray, enough: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) for the lists that queries read."""
-        unit = directions(x)
-        return ample(self.graph, unit, *self.graph.search(unit, self.ratio)[0], counts, enough)
+        found = [(np.zeros(0, int), np.zeros(0, int))]
+        for at in range(0, len(x), ROWS):
+            unit = directions(x[at : at + ROWS])
+            i, j = ample(self.graph, unit, *self.graph.search(unit, self.ratio)[0], counts, enough)
+            found.append((at + i, j))
+        return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def fitted(items: DataFrame, dim: int, kind: str, top: int, ratio: float | None, sample: int = SAMPLE) -> Index:
