@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import expr
 from gridloom.model import AXES, Blocking
 from gridloom.operators import aggregates as agg
-from gridloom.operators import checks, evaluation, filters, graph, models, objects, overlaps, relabel, resample, segmentation, solvers, stencils, voxelwise
+from gridloom.operators import checks, distances, evaluation, filters, graph, models, objects, overlaps, relabel, resample, segmentation, solvers, stencils, surfaces, voxelwise
 from gridloom.plans.scratch import Scratch
 from gridloom.sources.volumes import raster
 
@@ -812,18 +812,45 @@ def graph_watershed_assignments(spark, sf_dir):
     return solvers.graph_watershed_assignments(spark, rounded(costs, "mean"), labels, discard)
 
 
-@query(
-    "SELECT id, z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, z, y, x) AS r FROM far) WHERE r = 1",
-    VX,
+FAR = (
     "bb AS (SELECT ws, min(z) - 1 AS z0, max(z) + 1 AS z1, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM vx GROUP BY ws)",
     "box AS (SELECT ws, z, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT ws, z, x0, x1, unnest(range(y0, y1 + 1)) AS y FROM (SELECT *, unnest(range(z0, z1 + 1)) AS z FROM bb)))",
     "free AS (SELECT ws, z, y, x FROM box ANTI JOIN vx USING (ws, z, y, x))",
     "far AS (SELECT a.ws AS id, a.z, a.y, a.x, min((a.z-f.z)**2 + (a.y-f.y)**2 + (a.x-f.x)**2) AS d FROM vx a JOIN free f ON a.ws = f.ws GROUP BY ALL)",
 )
+
+
+@query("SELECT id, z, y, x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC, z, y, x) AS r FROM far) WHERE r = 1", VX, *FAR)
 def region_centers(spark, sf_dir):
     return objects.region_centers(raster(spark, sf_dir), "ws")
 
 
+@query("SELECT z, y, x, id AS ws, round(sqrt(d), 6) AS distance FROM far", VX, *FAR)
+def distance_transform(spark, sf_dir):
+    return rounded(distances.distance_transform(raster(spark, sf_dir), "ws"), "distance")
+
+
+@query(
+    """SELECT id, vertices, CAST(faces * 3 // 2 AS BIGINT) AS edges, faces, CAST(0 AS BIGINT) AS open_edges, CAST(vertices - faces // 2 AS BIGINT) AS euler, round(volume, 6) AS volume
+  FROM cut JOIN ends USING (id)""",
+    VX,
+    "own AS (SELECT gt AS id, z, y, x FROM vx WHERE gt <> 0)",
+    # eight voxel centres make a cell, six tetrahedra fill it: ways from corner 0 to corner 7 over p and q
+    "cell AS (SELECT id, z - k // 4 AS z, y - k // 2 % 2 AS y, x - k % 2 AS x, sum(1 << k) AS code FROM own, (SELECT unnest(range(8))::INT AS k) GROUP BY ALL)",
+    "way AS (SELECT * FROM (VALUES (4, 6), (4, 5), (2, 6), (2, 3), (1, 5), (1, 3)) w(p, q))",
+    "tet AS (SELECT id, (code::INT & 1) + (code::INT >> p & 1) + (code::INT >> q & 1) + (code::INT >> 7 & 1) AS n FROM cell, way)",
+    # one corner of four cut off takes an eighth of a tetrahedron, two of them half
+    "cut AS (SELECT id, CAST(sum(CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END) AS BIGINT) AS faces, sum(CASE n WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 8 ELSE 0 END) / 48 AS volume FROM tet GROUP BY id)",
+    # a vertex for each voxel of the object and each end, outside of it, of an edge of a tetrahedron
+    "step AS (SELECT s * (k // 4) AS dz, s * (k // 2 % 2) AS dy, s * (k % 2) AS dx FROM (SELECT unnest(range(1, 8)) AS k), (SELECT unnest([-1, 1]) AS s))",
+    "ends AS (SELECT id, count(*) AS vertices FROM (SELECT id, z + dz AS z, y + dy AS y, x + dx AS x FROM own, step) ANTI JOIN own USING (id, z, y, x) GROUP BY id)",
+)
+def surface_measures(spark, sf_dir):
+    """True labels as objects, each of many parts: their surfaces by blocks, welded, closed and measured."""
+    own = raster(spark, sf_dir).where("gt <> 0").select(*AXES, F.col("gt").alias("id"))
+    return rounded(surfaces.surface_measures(surfaces.surface_faces(own, (4, 13, 20))), "volume").drop("area")
+
+
 @query()
 def skeletons(spark, sf_dir):
     return objects.skeletonize(raster(spark, sf_dir), "ws")

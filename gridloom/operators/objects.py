@@ -1,4 +1,4 @@
-"""Per-object operators: centres, skeletons and surfaces, each object's voxels in one group."""
+"""Per-object operators: centres and surfaces without a group of an object's voxels, skeletons with one."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridloom.model import AXES
 from gridloom.operators import kernels
+from gridloom.operators.distances import squared_distances
+from gridloom.operators.surfaces import PLACES, surface_faces
 
 
 def _crop(frame: pd.DataFrame, border: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -32,13 +34,9 @@ def _objects(vox: DataFrame, label: str, size_threshold: int | None, ignore_labe
 def region_centers(vox: DataFrame, label: str, ignore_label: int | None = 0, resolution=(1.0, 1.0, 1.0)) -> DataFrame:
     """``(id, z, y, x)``: the voxel of each object farthest from its border, the first in scan order of equals."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        mask, begin = _crop(frame)
-        distance = kernels.distance_transform(mask, resolution)
-        z, y, x = np.array(np.unravel_index(distance.argmax(), distance.shape)) + begin
-        return pd.DataFrame({"id": [frame["id"].iloc[0]], "z": [z], "y": [y], "x": [x]})
-
-    return _objects(vox, label, None, ignore_label).groupBy("id").applyInPandas(run, "id long, z long, y long, x long")
+    far = squared_distances(_objects(vox, label, None, ignore_label), resolution)
+    order = F.struct("square", *[-F.col(c) for c in AXES])
+    return far.groupBy("id").agg(F.max_by(F.struct(*AXES), order).alias("p")).select("id", *[f"p.{c}" for c in AXES])
 
 
 def skeletonize(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_threshold: int | None = None) -> DataFrame:
@@ -67,34 +65,16 @@ def upsample_skeletons(skeletons: DataFrame, vox: DataFrame, label: str, scale:
     return at.join(vox.select(*AXES, F.col(label).alias("id")), ["id", *AXES], "left_semi").select(*AXES, "id").distinct()
 
 
-def meshes(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_threshold: int | None = None, smoothing: int = 0) -> DataFrame:
-    """``(id, vertices, faces, normals)``: the closed surface of each object, two triangles a voxel face.
+def meshes(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_threshold: int | None = None, smoothing: int = 0, shape: str = "squares", block: tuple[int, int, int] = (32, 64, 64)) -> DataFrame:
+    """``(id, vertices, faces, normals)``: the closed surface of each object in one row.
 
-    Smoothing moves each vertex to the mean of its neighbours, as many times.
+    Triangles are made by blocks (see ``surfaces``, whose tables hold surfaces of any size); only the packing takes an
+    object's triangles, never its voxels, as a group. Smoothing moves each vertex to the mean of its neighbours, as many times.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        mask, begin = _crop(frame)
-        index: dict[tuple[int, ...], int] = {}
-        faces = []
-        for k in range(3):
-            i, j = [a for a in range(3) if a != k]
-            step = np.diff(mask.astype(np.int8), axis=k)
-            for p in np.argwhere(step != 0):
-                corner = p.copy()
-                corner[k] += 1
-                square = []
-                for a, b in ((0, 0), (1, 0), (1, 1), (0, 1)):
-                    q = corner.copy()
-                    q[i] += a
-                    q[j] += b
-                    square.append(index.setdefault(tuple(q.tolist()), len(index)))
-                # corners run so that the normal points out of the object
-                if (step[tuple(p)] < 0) != (k == 1):
-                    faces += [[square[0], square[1], square[2]], [square[0], square[2], square[3]]]
-                else:
-                    faces += [[square[0], square[2], square[1]], [square[0], square[3], square[2]]]
-        v, f = (np.array(list(index)) + begin - 0.5) * np.array(resolution), np.array(faces)
+        places, f = np.unique(frame[PLACES].to_numpy().reshape(-1, 3), axis=0, return_inverse=True)
+        v, f = places / 2 * np.array(resolution), f.reshape(-1, 3)
         ends = np.unique(np.concatenate([f[:, [0, 1]], f[:, [1, 2]], f[:, [2, 0]]]), axis=0)
         for _ in range(smoothing):
             total = np.zeros_like(v)
@@ -107,7 +87,8 @@ def meshes(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_threshol
         own /= np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
         return pd.DataFrame({"id": [frame["id"].iloc[0]], "vertices": [v.tolist()], "faces": [f.tolist()], "normals": [own.tolist()]})
 
-    return _objects(vox, label, size_threshold, 0).groupBy("id").applyInPandas(run, "id long, vertices array<array<double>>, faces array<array<int>>, normals array<array<double>>")
+    faces = surface_faces(_objects(vox, label, size_threshold, 0), block, shape)
+    return faces.groupBy("id").applyInPandas(run, "id long, vertices array<array<double>>, faces array<array<int>>, normals array<array<double>>")
 
 
 def as_obj(mesh: DataFrame) -> DataFrame:
