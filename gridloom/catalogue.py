@@ -14,6 +14,7 @@ from gridloom.model import AXES, Blocking
 from gridloom.operators import aggregates as agg
 from gridloom.operators import checks, distances, evaluation, filters, graph, models, objects, overlaps, relabel, resample, segmentation, solvers, stencils, surfaces, voxelwise
 from gridloom.plans.scratch import Scratch
+from gridloom.sources import chunks
 from gridloom.sources.volumes import raster
 
 QUERIES: dict = {}
@@ -70,6 +71,29 @@ def node_labels(vox: DataFrame) -> DataFrame:
 # ---- scans, copies and element-wise expressions
 
 
+def _chunked(spark, sf_dir, value: str, **how) -> str:
+    """The raster as a chunked store in the shared folder; chunks don't divide the shape."""
+    path = f"{Scratch(spark, 'store').root}/{value}"
+    chunks.write_chunks(raster(spark, sf_dir), value, path, Blocking(_blocking(spark, sf_dir).shape, (4, 9, 16)), **how)
+    return path
+
+
+@query("SELECT z, y, x, v FROM vx", VX)
+def copy_chunks(spark, sf_dir):
+    """Values through a zarr store and from there through an N5 store."""
+    shape = _blocking(spark, sf_dir).shape
+    there = f"{Scratch(spark, 'store').root}/n5"
+    chunks.write_chunks(chunks.read_chunks(spark, _chunked(spark, sf_dir, "v")), "v", there, Blocking(shape, (3, 13, 11)), compression="gzip", layout="n5")
+    return chunks.read_chunks(spark, there)
+
+
+@query("SELECT z, y, x, ws FROM vx WHERE y >= 3 AND y < 17 AND x >= 5 AND x < 33", VX)
+def read_chunks_roi(spark, sf_dir):
+    """A region of a store of labels: other chunks' files are never opened."""
+    path = _chunked(spark, sf_dir, "ws", dtype="<i8")
+    return chunks.read_chunks(spark, path, (0, 3, 5), (chunks.open_chunks(spark, path).shape[0], 17, 33), "ws")
+
+
 @query("SELECT z, y, x, v FROM vx WHERE y >= 3 AND y < 17 AND x >= 5 AND x < 33 AND z >= 0 AND z < 4", VX)
 def voxel_scan_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxelwise.copy_volume(raster(spark, sf_dir).select(*AXES, "v"), "v", begin=(0, 3, 5), end=(4, 17, 33))

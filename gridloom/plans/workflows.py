@@ -227,6 +227,22 @@ def copy_channels_workflow(spark: SparkSession, pattern: str, path: str, blockin
     return out
 
 
+def copy_chunks_workflow(spark: SparkSession, source: str, target: str, blocking: Blocking, scales: list, mode: str = "mean", layout: str = "zarr", **how) -> list[DataFrame]:
+    """A chunked store to another one of other chunks, with its pyramid in ``target/s0``, ``target/s1`` and so on."""
+    from gridloom.operators.resample import downscale
+    from gridloom.sources.chunks import open_chunks, read_chunks, write_chunks
+
+    shape, level, levels = open_chunks(spark, source).blocking.shape, read_chunks(spark, source), []
+    for k, scale in enumerate([1, *scales]):
+        factor = (scale,) * 3 if isinstance(scale, int) else tuple(scale)
+        shape = tuple(-(-s // f) for s, f in zip(shape, factor))
+        level = level if k == 0 else downscale(level, "v", factor, mode)
+        write_chunks(level, "v", f"{target}/s{k}", Blocking(shape, tuple(min(b, s) for b, s in zip(blocking.block, shape))), layout=layout, **how)
+        level = read_chunks(spark, f"{target}/s{k}")
+        levels.append(level)
+    return levels
+
+
 def copy_sources_workflow(spark: SparkSession, pattern: str, path: str, blocking: Blocking, scales: list, mode: str = "mean") -> list[DataFrame]:
     """A file of one channel to a written pyramid; several files or channels are for ``copy_channels_workflow``."""
     done = copy_channels_workflow(spark, pattern, path, blocking, scales, mode)
