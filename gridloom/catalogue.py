@@ -589,6 +589,39 @@ def affine_linear(spark, sf_dir):
     return rounded(resample.affine(raster(spark, sf_dir), "v", [[1, 0, 0, 0], [0, 1, 0, 2], [0, 0, 0.5, 1]], _blocking(spark, sf_dir).shape), "v")
 
 
+def _mirrored(at: str, n: str) -> str:
+    """SQL for the place that a volume mirrored at its borders shows."""
+    return f"(CASE WHEN {n} = 1 THEN 0 ELSE {n} - 1 - abs({n} - 1 - abs({at}) % (2*{n} - 2)) END)"
+
+
+def _coefficients(axis: str, before: str, n: str) -> str:
+    """SQL for one pass of the inverse of the sampled spline, 30 voxels either way."""
+    others = " AND ".join(f"b.{c} = a.{c}" for c in AXES if c != axis)
+    return f"c{axis} AS (SELECT a.z, a.y, a.x, sum(h * b.v) AS v FROM vx a CROSS JOIN tap CROSS JOIN dim JOIN {before} b ON {others} AND b.{axis} = {_mirrored(f'(a.{axis} + j)', n)} GROUP BY ALL)"
+
+
+def _taps(axis: str, size: str, at: str, n: str) -> str:
+    """SQL for the four coefficients that an output coordinate takes along an axis."""
+    t = f"({at} - floor({at}))"
+    weights = (f"(1-{t})**3", f"3*{t}**3 - 6*{t}**2 + 4", f"-3*{t}**3 + 3*{t}**2 + 3*{t} + 1", f"{t}**3")
+    each = " UNION ALL ".join(f"SELECT o, {_mirrored(f'(floor({at})::BIGINT + {k - 1})', n)} AS i, ({w})/6 AS w FROM (SELECT unnest(range({size})) AS o, {n} FROM dim) WHERE {at} BETWEEN 0 AND {n} - 1" for k, w in enumerate(weights))
+    return f"w{axis} AS ({each})"
+
+
+@query(
+    "SELECT a.z, a.y, a.x, round(COALESCE(f.v, 0), 6) AS v FROM vx a LEFT JOIN found f USING (z, y, x)",
+    VX,
+    "dim AS (SELECT max(z) + 1 AS nz, 25 AS ny, 40 AS nx FROM vx)",
+    "tap AS (SELECT j, -6*p/(1 - p*p) * p**abs(j) AS h FROM (SELECT unnest(range(-30, 31)) AS j, sqrt(3) - 2 AS p))",
+    _coefficients("x", "vx", "nx"), _coefficients("y", "cx", "ny"), _coefficients("z", "cy", "nz"),
+    _taps("z", "(SELECT nz FROM dim)", "(o * 0.75)", "nz"), _taps("y", "25", "(o + 0.5)", "ny"), _taps("x", "40", "(o * 0.5 + 1)", "nx"),
+    "found AS (SELECT wz.o AS z, wy.o AS y, wx.o AS x, sum(wz.w * wy.w * wx.w * c.v) AS v FROM wz, wy, wx, cz c WHERE c.z = wz.i AND c.y = wy.i AND c.x = wx.i GROUP BY ALL)",
+)
+def affine_cubic(spark, sf_dir):
+    shape = _blocking(spark, sf_dir).shape
+    return rounded(resample.affine(raster(spark, sf_dir), "v", [[0.75, 0, 0, 0], [0, 1, 0, 0.5], [0, 0, 0.5, 1]], shape, 3, source=shape, block=(4, 13, 20)), "v")
+
+
 _HIST = f"h AS (SELECT {_CELL}, gt AS id, count(*) AS n FROM vx GROUP BY 1,2,3,4)"
 
 
