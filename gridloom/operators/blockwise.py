@@ -6,24 +6,24 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from gridloom.model import AXES, Blocking
 
 _NUMPY = {"double": float, "long": np.int64, "boolean": bool}
 
 
-def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict], reads: dict[str, str], writes: dict[str, str], halo: tuple[int, int, int] = (0, 0, 0), by: tuple[str, ...] = (), blocks: list[int] | None = None, beside: DataFrame | None = None) -> DataFrame:
+def map_blocks(vox: DataFrame, blocking: Blocking, kernel: Callable[[dict], dict], reads: dict[str, str], writes: dict[str, str], halo: tuple[int, int, int] = (0, 0, 0), by: tuple[str, ...] = (), blocks: list[int] | Column | None = None, beside: DataFrame | None = None) -> DataFrame:
     """``kernel`` on each block: arrays of the columns ``reads`` by name, with ``begin`` and ``block_id``, to arrays ``writes``.
 
-    A block is a group of bounded size: the voxels of its outer box. ``blocks`` restricts the work to some of them,
-    ``by`` adds grouping columns (a z slice, a channel). Rows of ``beside(block_id, …)`` come with their block as
+    A block is a group of bounded size: the voxels of its outer box. ``blocks`` restricts the work to some of them
+    (ids, or a condition on ``block_id``), ``by`` adds grouping columns (a z slice, a channel). Rows of ``beside(block_id, …)`` come with their block as
     ``block["beside"]``. A kernel may return ``more``, a frame of rows without a place, which come back with null coordinates.
     """
     names = list(reads)
     placed = blocking.with_halo(vox.select(*AXES, *[c for c in by if c not in AXES], *names), halo)
     if blocks is not None:
-        placed = placed.where(placed.block_id.isin(list(blocks)))
+        placed = placed.where(blocks if isinstance(blocks, Column) else placed.block_id.isin(list(blocks)))
     schema = ", ".join(["z long, y long, x long", "block_id long", *(f"`{n}` {t}" for n, t in writes.items())])
 
     def work(frame: pd.DataFrame, rows: pd.DataFrame | None) -> pd.DataFrame:

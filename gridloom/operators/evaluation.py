@@ -61,7 +61,7 @@ def mean_average_precision(found: DataFrame, thresholds=tuple(t / 100 for t in r
 def skeleton_evaluation(nodes: DataFrame, edges: DataFrame, vox: DataFrame, label: str) -> DataFrame:
     """``(correct, split, merge, n_merges)``: shares of skeleton edges within one label, between labels, and in labels
     that hold nodes of several skeletons; ``nodes(skeleton, node, z, y, x)``, ``edges(skeleton, u, v)``."""
-    at = nodes.join(vox.select("z", "y", "x", F.col(label).alias("label")), ["z", "y", "x"], "left").fillna(0, ["label"])
+    at = nodes.join(vox.select("z", "y", "x", F.col(label).alias("label")).hint("merge"), ["z", "y", "x"], "left").fillna(0, ["label"])
     merged = at.where("label <> 0").groupBy("label").agg(F.count_distinct("skeleton").alias("k")).where("k > 1").select("label", F.lit(True).alias("merged"))
     end = lambda n, name: at.select("skeleton", F.col("node").alias(n), F.col("label").alias(name))
     e = edges.join(end("u", "lu"), ["skeleton", "u"]).join(end("v", "lv"), ["skeleton", "v"])

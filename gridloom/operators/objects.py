@@ -62,7 +62,7 @@ def upsample_skeletons(skeletons: DataFrame, vox: DataFrame, label: str, scale:
     """``(z, y, x, id)``: nodes brought to the finer grid, where the object has the voxel."""
     nodes = skeletons.select("id", F.explode("nodes").alias("n"))
     at = nodes.select("id", *[(F.col("n")[k] * s).cast("long").alias(c) for k, (c, s) in enumerate(zip(AXES, scale))])
-    return at.join(vox.select(*AXES, F.col(label).alias("id")), ["id", *AXES], "left_semi").select(*AXES, "id").distinct()
+    return at.join(vox.select(*AXES, F.col(label).alias("id")).hint("merge"), ["id", *AXES], "left_semi").select(*AXES, "id").distinct()
 
 
 def meshes(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_threshold: int | None = None, smoothing: int = 0, shape: str = "squares", block: tuple[int, int, int] = (32, 64, 64)) -> DataFrame:

@@ -193,7 +193,7 @@ def affine(vox: DataFrame, value: str, matrix, shape: tuple[int, int, int], orde
     at = [sum((F.col(c) * float(m) for c, m in zip(AXES, row)), F.lit(float(row[3]))) for row in list(matrix)[:3]]
     if order == 0:
         placed = out.select(*[F.col(c).alias(f"_{c}") for c in AXES], *[F.floor(a + 0.5).cast("long").alias(c) for a, c in zip(at, AXES)])
-        found = placed.join(vox.select(*AXES, value), list(AXES), "left")
+        found = placed.join(vox.select(*AXES, value).hint("merge"), list(AXES), "left")
         return found.select(*[F.col(f"_{c}").alias(c) for c in AXES], F.coalesce(value, F.lit(fill)).alias(value))
     placed = out.select(*[F.col(c).alias(f"_{c}") for c in AXES], *[a.alias(f"_p{c}") for a, c in zip(at, AXES)])
     if order == 3:
@@ -205,7 +205,7 @@ def affine(vox: DataFrame, value: str, matrix, shape: tuple[int, int, int], orde
         part = F.col(f"_p{c}") - F.floor(f"_p{c}")
         weight = weight * F.when(F.col(f"_k.{c}") == 1, part).otherwise(1 - part)
     placed = placed.withColumns({"_w": weight, **{c: (F.floor(f"_p{c}") + F.col(f"_k.{c}")).cast("long") for c in AXES}}).where("_w > 0")
-    found = placed.join(vox.select(*AXES, value), list(AXES), "left")
+    found = placed.join(vox.select(*AXES, value).hint("merge"), list(AXES), "left")
     total = found.groupBy(*[F.col(f"_{c}").alias(c) for c in AXES]).agg(F.sum(F.col("_w") * F.coalesce(value, F.lit(fill))).alias(value))
     return total
 
@@ -214,7 +214,7 @@ def remap(vox: DataFrame, value: str, coordinates: DataFrame, fill: float = 0.0)
     """The volume gathered at given places: ``coordinates(z, y, x, tz, ty, tx)``, as another program transforms them."""
     at = coordinates.select(*AXES, *[F.floor(F.col(f"t{c}") + 0.5).cast("long").alias(f"t{c}") for c in AXES])
     there = vox.select(*[F.col(c).alias(f"t{c}") for c in AXES], value)
-    return at.join(there, [f"t{c}" for c in AXES], "left").select(*AXES, F.coalesce(value, F.lit(fill)).alias(value))
+    return at.join(there.hint("merge"), [f"t{c}" for c in AXES], "left").select(*AXES, F.coalesce(value, F.lit(fill)).alias(value))
 
 
 def sub_volume_offsets(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.expr import reducer
@@ -32,7 +32,7 @@ def _unique(label: np.ndarray, block_id: int, blocking: Blocking, halo) -> np.nd
     return np.where(label > 0, label + block_id * size, 0)
 
 
-def watershed(vox: DataFrame, value: str, blocking: Blocking, *, mask: str | None = None, halo=(0, 0, 0), channel_begin: int = 0, channel_end: int | None = None, channels: str = "mean", invert: bool = False, blocks: list[int] | None = None, **config) -> DataFrame:
+def watershed(vox: DataFrame, value: str, blocking: Blocking, *, mask: str | None = None, halo=(0, 0, 0), channel_begin: int = 0, channel_end: int | None = None, channels: str = "mean", invert: bool = False, blocks: list[int] | Column | None = None, **config) -> DataFrame:
     """``(z, y, x, block_id, ws)``: distance transform watershed on each block with its halo."""
     vox = _channels(vox, value, channel_begin, channel_end, channels)
     reads = {value: "double"} | ({mask: "boolean"} if mask else {})
@@ -50,9 +50,9 @@ def watershed(vox: DataFrame, value: str, blocking: Blocking, *, mask: str | Non
 def two_pass_watershed(vox: DataFrame, value: str, blocking: Blocking, *, mask: str | None = None, halo=(1, 2, 2), **config) -> DataFrame:
     """White blocks first; black ones flood from their neighbours' labels as well, so labels go on across faces."""
     scratch = Scratch(vox.sparkSession, "two-pass")
-    white, black = blocking.colours()
+    white, black = blocking.colour() == 0, blocking.colour() == 1
     first = scratch.save(watershed(vox, value, blocking, mask=mask, halo=halo, blocks=white, **config), "white")
-    seen = vox.join(first.select(*AXES, F.col("ws").alias("_seed")), list(AXES), "left").fillna(0, ["_seed"])
+    seen = vox.join(first.select(*AXES, F.col("ws").alias("_seed")).hint("merge"), list(AXES), "left").fillna(0, ["_seed"])
     reads = {value: "double", "_seed": "long"} | ({mask: "boolean"} if mask else {})
 
     def run(block: dict) -> dict:
@@ -131,7 +131,7 @@ def connected_components(spark, vox: DataFrame, value: str, blocking: Blocking,
 def _equal_pairs(parts: DataFrame, vox: DataFrame, value: str) -> DataFrame:
     from gridloom.model import lower_pairs
 
-    both = parts.join(vox.select(*AXES, F.col(value).alias("_l")), list(AXES))
+    both = parts.join(vox.select(*AXES, F.col(value).alias("_l")).hint("merge"), list(AXES))
     pairs = lower_pairs(both, ["component", "block_id", "_l"]).where("block_id_a <> block_id_b AND _l_a = _l_b AND _l_a <> 0")
     return pairs.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
 
@@ -143,7 +143,7 @@ def _affinity_columns(vox: DataFrame, offsets) -> tuple[DataFrame, list[str]]:
     return vox.groupBy(*AXES).agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(n) for c, n in enumerate(names)], *rest).fillna(0.0, names), names
 
 
-def mutex_watershed(affinities: DataFrame, offsets: list[tuple[int, int, int]], blocking: Blocking, *, mask: str | None = None, halo=(0, 0, 0), strides=(1, 1, 1), randomize: bool = False, size_filter: int = 25, noise: float = 0.0, blocks: list[int] | None = None) -> DataFrame:
+def mutex_watershed(affinities: DataFrame, offsets: list[tuple[int, int, int]], blocking: Blocking, *, mask: str | None = None, halo=(0, 0, 0), strides=(1, 1, 1), randomize: bool = False, size_filter: int = 25, noise: float = 0.0, blocks: list[int] | Column | None = None) -> DataFrame:
     """``(…, ws)``: mutex watershed of ``(c, z, y, x, v)`` on each block; small parts give way to their neighbours."""
     vox, names = _affinity_columns(affinities, offsets)
     reads = dict.fromkeys(names, "double") | ({mask: "boolean"} if mask else {})
@@ -168,7 +168,7 @@ def mutex_state(labelled: DataFrame, affinities: DataFrame, offsets, attractive:
     moves = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), *[F.lit(int(d)).alias(a) for a, d in zip(AXES, o)]) for c, o in enumerate(offsets)])
     there = own.select(*AXES, F.col("block_id").alias("_bb"), F.col("ws").alias("_b"), F.explode(moves).alias("m"))
     there = there.select(*[(F.col(a) - F.col(f"m.{a}")).alias(a) for a in AXES], F.col("m.c").alias("c"), "_bb", "_b")
-    pairs = own.join(there, list(AXES)).where("block_id = _bb AND ws <> _b").join(affinities.select("c", *AXES, "v"), ["c", *AXES])
+    pairs = own.join(there.hint("merge"), list(AXES)).where("block_id = _bb AND ws <> _b").join(affinities.select("c", *AXES, "v").hint("merge"), ["c", *AXES])
     pulls = F.col("c") < attractive
     strong = F.max(F.when(pulls, F.col("v")).otherwise(1 - F.col("v"))).alias("weight")
     return pairs.groupBy(F.least("ws", "_b").alias("a"), F.greatest("ws", "_b").alias("b"), pulls.alias("attractive")).agg(strong).select("a", "b", "weight", "attractive")
@@ -182,16 +182,16 @@ def two_pass_mutex_watershed(affinities: DataFrame, offsets, blocking: Blocking,
     voxels that the black one doesn't see, stays apart.
     """
     scratch = Scratch(affinities.sparkSession, "two-pass")
-    white, black = blocking.colours()
+    white, black = blocking.colour() == 0, blocking.colour() == 1
     first = scratch.save(mutex_watershed(affinities, offsets, blocking, mask=mask, halo=halo, blocks=white, **config), "white")
     state = scratch.save(mutex_state(first, affinities, offsets), "state")
     vox, names = _affinity_columns(affinities, offsets)
-    seen = vox.join(first.select(*AXES, F.col("ws").alias("_seed")), list(AXES), "left").fillna(0, ["_seed"])
+    seen = vox.join(first.select(*AXES, F.col("ws").alias("_seed")).hint("merge"), list(AXES), "left").fillna(0, ["_seed"])
     reads = dict.fromkeys(names, "double") | {"_seed": "long"} | ({mask: "boolean"} if mask else {})
     # edges between labels that a black block sees both of
     placed = blocking.with_halo(first.where("ws > 0").select(*AXES, "ws"), halo)
-    sees = scratch.save(placed.where(placed.block_id.isin(black)).select("block_id", "ws").distinct(), "sees")
-    beside = state.join(sees.select("block_id", F.col("ws").alias("a")), "a").join(sees.select("block_id", F.col("ws").alias("b")), ["block_id", "b"])
+    sees = scratch.save(placed.where(black).select("block_id", "ws").distinct(), "sees")
+    beside = state.join(sees.select("block_id", F.col("ws").alias("a")).hint("merge"), "a").join(sees.select("block_id", F.col("ws").alias("b")).hint("merge"), ["block_id", "b"])
 
     def run(block: dict) -> dict:
         own = block["present"] & block[mask] if mask else block["present"]

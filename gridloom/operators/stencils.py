@@ -60,14 +60,14 @@ def embedding_distances(vox: DataFrame, vector: str, offsets: list[tuple[int, in
     """``(c, z, y, x, v)``: distance of each voxel's vector to that at each offset."""
     moves = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), *[F.lit(int(d)).alias(a) for a, d in zip(AXES, o)]) for c, o in enumerate(offsets)])
     there = vox.select(*AXES, F.col(vector).alias("_b"), F.explode(moves).alias("m")).select(*[(F.col(a) - F.col(f"m.{a}")).alias(a) for a in AXES], F.col("m.c").alias("c"), "_b")
-    return vox.select(*AXES, F.col(vector).alias("_a")).join(there, list(AXES)).select("c", *AXES, vector_distance("_a", "_b", norm).alias("v"))
+    return vox.select(*AXES, F.col(vector).alias("_a")).join(there.hint("merge"), list(AXES)).select("c", *AXES, vector_distance("_a", "_b", norm).alias("v"))
 
 
 def object_affinities(vox: DataFrame, label: str, offsets: list[tuple[int, int, int]]) -> DataFrame:
     """``(c, z, y, x, v)``: 1 where the voxel and the one at the offset are of one object (not 0), else 0."""
     moves = F.array(*[F.struct(F.lit(c).cast("long").alias("c"), *[F.lit(int(d)).alias(a) for a, d in zip(AXES, o)]) for c, o in enumerate(offsets)])
     there = vox.select(*AXES, F.col(label).alias("_b"), F.explode(moves).alias("m")).select(*[(F.col(a) - F.col(f"m.{a}")).alias(a) for a in AXES], F.col("m.c").alias("c"), "_b")
-    return vox.select(*AXES, F.col(label).alias("_a")).join(there, list(AXES)).select("c", *AXES, ((F.col("_a") == F.col("_b")) & (F.col("_a") != 0)).cast("double").alias("v"))
+    return vox.select(*AXES, F.col(label).alias("_a")).join(there.hint("merge"), list(AXES)).select("c", *AXES, ((F.col("_a") == F.col("_b")) & (F.col("_a") != 0)).cast("double").alias("v"))
 
 
 def insert_affinities(affinities: DataFrame, vox: DataFrame, label: str, offsets: list[tuple[int, int, int]], dilate_by: int = 2, zero_objects: list[int] | None = None, erode_by: int = 6) -> DataFrame:
@@ -79,12 +79,12 @@ def insert_affinities(affinities: DataFrame, vox: DataFrame, label: str, offsets
     for c in ("y", "x"):
         own = own.withColumn("v", F.max("v").over(Window.partitionBy("c", *[a for a in AXES if a != c]).orderBy(c).rangeBetween(-dilate_by, dilate_by)))
     plane = own.where("c IN (1, 2)").groupBy(*AXES).agg(F.avg("v").alias("_p"))
-    own = own.join(plane, list(AXES), "left").select("c", *AXES, F.when(F.col("c") == 0, F.col("v") + F.coalesce("_p", F.lit(0.0))).otherwise(F.col("v")).alias("_o"))
-    out = affinities.join(own, ["c", *AXES], "left").withColumn("v", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") + F.coalesce("_o", F.lit(0.0))))).drop("_o")
+    own = own.join(plane.hint("merge"), list(AXES), "left").select("c", *AXES, F.when(F.col("c") == 0, F.col("v") + F.coalesce("_p", F.lit(0.0))).otherwise(F.col("v")).alias("_o"))
+    out = affinities.join(own.hint("merge"), ["c", *AXES], "left").withColumn("v", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") + F.coalesce("_o", F.lit(0.0))))).drop("_o")
     if zero_objects:
         inside = vox.select(*AXES, F.col(label).isin(list(zero_objects)).cast("int").alias("_in"))
         inside = rank_filter(inside, "_in", (2 * erode_by + 1,) * 3, "min").where("_in = 1")
-        out = out.join(inside, list(AXES), "left").withColumn("v", F.when(F.col("_in") == 1, 0.0).otherwise(F.col("v"))).drop("_in")
+        out = out.join(inside.hint("merge"), list(AXES), "left").withColumn("v", F.when(F.col("_in") == 1, 0.0).otherwise(F.col("v"))).drop("_in")
     return out
 
 

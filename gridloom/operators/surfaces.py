@@ -167,6 +167,6 @@ def smoothed(vertices: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     links = edges.select("id", F.explode(ends).alias("e")).select("id", "e.place", "e.other")
     for _ in range(rounds):
         there = vertices.select("id", F.col("place").alias("other"), *AXES)
-        moved = links.join(there, ["id", "other"]).groupBy("id", "place").agg(*[F.avg(c).alias(c) for c in AXES])
-        vertices = vertices.drop(*AXES).join(moved, ["id", "place"])
+        moved = links.join(there.hint("merge"), ["id", "other"]).groupBy("id", "place").agg(*[F.avg(c).alias(c) for c in AXES])
+        vertices = vertices.drop(*AXES).join(moved.hint("merge"), ["id", "place"])
     return vertices

@@ -52,10 +52,10 @@ def watershed_workflow(vox: DataFrame, value: str, blocking: Blocking, *, two_pa
     """Voxels with consecutive ``ws``."""
     run = segmentation.two_pass_watershed if two_pass else segmentation.watershed
     found = run(vox, value, blocking, **config)
-    whole = vox.join(found.select(*AXES, "ws"), list(AXES)) if "ws" not in vox.columns else vox.drop("ws").join(found.select(*AXES, "ws"), list(AXES))
+    whole = vox.join(found.select(*AXES, "ws").hint("merge"), list(AXES)) if "ws" not in vox.columns else vox.drop("ws").join(found.select(*AXES, "ws").hint("merge"), list(AXES))
     if agglomeration:
         merged = segmentation.agglomerate(whole, "ws", value, blocking).select(*AXES, "ws")
-        whole = whole.drop("ws").join(merged, list(AXES))
+        whole = whole.drop("ws").join(merged.hint("merge"), list(AXES))
     return relabel_workflow(whole, "ws")
 
 
@@ -124,7 +124,7 @@ def connected_components_workflow(spark: SparkSession, vox: DataFrame, value: st
     found = segmentation.connected_components(spark, vox, value, blocking, **how)
     if not watershed:
         return found
-    seeded = vox.join(found.select(*AXES, "component"), list(AXES))
+    seeded = vox.join(found.select(*AXES, "component").hint("merge"), list(AXES))
     return segmentation.watershed_from_seeds(seeded, value, "component", blocking)
 
 

@@ -80,3 +80,16 @@ def test_voxels_are_all_labelled_and_whole(spark):
     labels = {r.ws for r in rows}
     assert {r.b for r in pairs.collect()} <= labels
     assert workflows.mutex_watershed_workflow(spark, table(spark, aff), OFFSETS, Blocking((2, 6, 12), (2, 3, 6)), True, size_filter=0).count() == 144
+
+
+def test_voxels_are_not_broadcast(spark):
+    """Their files are small for their rows, so Spark would send them through the driver."""
+    labelled = spark.createDataFrame([(0, y, x, 0, 1 + y) for y in range(2) for x in range(8)], "z long, y long, x long, block_id long, ws long")
+    plan = segmentation.mutex_state(labelled, table(spark, two_rows()), OFFSETS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_colours_by_expression(spark):
+    blocking = Blocking((9, 7, 5), (2, 2, 2))
+    got = {r.block_id: r.c for r in spark.range(blocking.count).withColumnRenamed("id", "block_id").withColumn("c", blocking.colour()).collect()}
+    assert [b for b in sorted(got) if got[b] == 0] == sorted(blocking.colours()[0]) and [b for b in sorted(got) if got[b] == 1] == sorted(blocking.colours()[1])
