@@ -42,7 +42,10 @@ def watershed(vox: DataFrame, value: str, blocking: Blocking, *, mask: str | Non
         own = block["present"] & block[mask] if mask else block["present"]
         if not own.any():
             return {"ws": np.zeros(own.shape)}
-        return {"ws": _unique(kernels.dt_watershed(data, mask=own, **config), block["block_id"], blocking, halo)}
+        label = kernels.dt_watershed(data, mask=own, **config)
+        if any(halo):  # a label may hang together over the halo alone: its parts in the block are labels of their own
+            label = kernels.components(np.where(block["inner"], label, 0))
+        return {"ws": _unique(label, block["block_id"], blocking, halo)}
 
     return map_blocks(vox, blocking, run, reads, {"ws": "long"}, halo, blocks=blocks)
 

@@ -82,10 +82,13 @@ def test_voxels_are_all_labelled_and_whole(spark):
     assert workflows.mutex_watershed_workflow(spark, table(spark, aff), OFFSETS, Blocking((2, 6, 12), (2, 3, 6)), True, size_filter=0).count() == 144
 
 
-def test_voxels_are_not_broadcast(spark):
+def test_voxels_are_not_broadcast(spark, tmp_path):
     """Their files are small for their rows, so Spark would send them through the driver."""
+    table(spark, two_rows()).write.parquet(f"{tmp_path}/aff")
     labelled = spark.createDataFrame([(0, y, x, 0, 1 + y) for y in range(2) for x in range(8)], "z long, y long, x long, block_id long, ws long")
-    plan = segmentation.mutex_state(labelled, table(spark, two_rows()), OFFSETS)._jdf.queryExecution().executedPlan().toString()
+    labelled.write.parquet(f"{tmp_path}/labelled")
+    labelled = spark.read.parquet(f"{tmp_path}/labelled")
+    plan = segmentation.mutex_state(labelled, spark.read.parquet(f"{tmp_path}/aff"), OFFSETS)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
@@ -93,3 +96,41 @@ def test_colours_by_expression(spark):
     blocking = Blocking((9, 7, 5), (2, 2, 2))
     got = {r.block_id: r.c for r in spark.range(blocking.count).withColumnRenamed("id", "block_id").withColumn("c", blocking.colour()).collect()}
     assert [b for b in sorted(got) if got[b] == 0] == sorted(blocking.colours()[0]) and [b for b in sorted(got) if got[b] == 1] == sorted(blocking.colours()[1])
+
+
+def test_labels_of_two_passes_are_connected(spark):
+    """Labels that stand don't give way to the size filter, and halves of a label that only met in a halo are two labels."""
+    blocking = Blocking((4, 26, 40), (2, 13, 20))
+    data = np.random.default_rng(5).random(blocking.shape)
+    z, y, x = np.indices(data.shape).reshape(3, -1)
+    vox = spark.createDataFrame(list(zip(z.tolist(), y.tolist(), x.tolist(), data.ravel().tolist())), "z long, y long, x long, v double")
+    label = np.zeros(data.shape, np.int64)
+    for r in segmentation.two_pass_watershed(vox, "v", blocking, sigma_seeds=0.7, sigma_weights=0.5).collect():
+        label[r.z, r.y, r.x] = r.ws
+    assert (label > 0).all() and len(np.unique(kernels.components(label))) == len(np.unique(label))
+
+
+def test_invariants_seeds_of_a_deep_volume_stay_apart(spark, monkeypatch):
+    """Supervoxels above 10,000 don't run into those of the next block."""
+    import pyspark.sql.functions as F
+
+    from gridloom import catalogue
+
+    seen = {}
+    deep = catalogue.raster(spark, "/root/testdata/sf0.001").where("z < 1").withColumns({"z": F.lit(600).cast("long"), "ws": F.col("ws") + 12_000, "block_id": F.col("block_id") + 480})
+    monkeypatch.setattr(catalogue, "raster", lambda *a: deep)
+    monkeypatch.setattr(catalogue.segmentation, "agglomerate", lambda vox, *a, **b: seen.setdefault("vox", vox))
+    monkeypatch.setattr(catalogue.graph, "voxel_components", lambda spark, df, label: df.withColumn("component", F.lit(0)))
+    catalogue.segmentation_invariants(spark, "")
+    assert seen["vox"].select("ws").distinct().count() == deep.select("ws", "block_id").distinct().count()
+    assert seen["vox"].where("ws div 601000 <> block_id").count() == 0
+
+
+def test_coarse_scales_are_not_broadcast(spark, tmp_path):
+    from gridloom.operators import models, resample
+
+    spark.range(400).selectExpr("0L AS z", "id div 20 AS y", "id % 20 AS x", "id * 1.0D AS v").write.parquet(f"{tmp_path}/v")
+    vox = spark.read.parquet(f"{tmp_path}/v")
+    found = models.multiscale_inference([vox, resample.downscale(vox, "v", (1, 5, 5))], "v", [(1, 5, 5)], Blocking((1, 20, 20), (1, 10, 10)), lambda d: d[0] - d[1], [(0, 2, 2), (0, 1, 1)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
