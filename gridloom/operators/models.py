@@ -95,7 +95,7 @@ def multiscale_inference(volumes: list[DataFrame], value: str, factors: list[tup
 
     joined = volumes[0].select(*AXES, F.col(value).alias("s0"))
     for k, (vox, f) in enumerate(zip(volumes[1:], factors), 1):
-        joined = joined.join(upscale(vox, value, f).withColumnRenamed(value, f"s{k}"), list(AXES), "left")
+        joined = joined.join(upscale(vox, value, f).withColumnRenamed(value, f"s{k}").hint("merge"), list(AXES), "left")
     names = [f"s{k}" for k in range(len(volumes))]
     halo = tuple(max(h[a] * (f[a] if f else 1) for h, f in zip(halos, [None, *factors])) for a in range(3))
 
