@@ -10,8 +10,8 @@ they are put in configuration, against identifiers, hashes of commits and files,
 placeholders. Secrets that overlap are joined to one finding.
 
 ``scan`` adds the findings of each text, ``redact`` replaces those judged secret. A null or empty text has no
-finding, a null path counts as unknown. A text of any length is scanned whole, in time in proportion to it; of a candidate
-of more than ``WINDOW`` characters both ends are described, and its whole length. Rows are independent: repeated rows get
+finding, a null path counts as unknown. A text of any length is scanned whole, in time in proportion to it, and a candidate
+of any length is described whole. Rows are independent: repeated rows get
 repeated results, an empty table an empty one; other columns ride along (one named like an output column is replaced).
 """
 
@@ -43,10 +43,8 @@ PLACEHOLDER = re.compile(r"example|sample|your|placeholder|changeme|dummy|xxxx|t
 #: Key words, in the languages of the tables, by which a value of any length is a candidate; "key" only after one of KEY_OF.
 KEY_WORDS = ("token", "secret", "passw", "passphrase", "pwd", "credential", "bearer", "auth", "kennwort", "geheim", "contraseña", "contrasena", "clave", "mot de passe", "motdepasse", "mdp", "jeton", "key")
 KEY_OF = re.compile(r"(?:api|access|private|client|secret|signing|encrypt\w{0,4}|auth)[_\-. ]?$")
-#: A value is described by so many characters: of a longer one by both ends.
-WINDOW = 512
-#: The dictionary: so many of the most frequent words of a sample of so many texts.
-DICTIONARY, SAMPLE = 4_000, 5_000
+#: The dictionary: so many of the most frequent words of all texts.
+DICTIONARY = 4_000
 _LEAD = r"(?!ar[iy]|ors?\b|orit)[\w.\-]{0,24}[\"'`\])]{0,2}\s{0,3}"
 _SIGN = r"(?::=|=>|==|[=:])"
 QUOTED = re.compile(
@@ -93,27 +91,24 @@ def covered(value: str, words: frozenset[str]) -> int:
 
 def features(value: str, before: str, after: str, path: str, words: frozenset[str] = COMMON) -> list[float]:
     n = len(value)
-    if n > WINDOW:
-        value = value[: WINDOW // 2] + value[-WINDOW // 2 :]
-    size = len(value)
     kinds = [CLASSES.get(c, 3) for c in value]
-    counts = np.bincount(kinds, minlength=4) / size
-    chars = np.array(list(Counter(value).values())) / size
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, size - 1)
+    counts = np.bincount(kinds, minlength=4) / n
+    chars = np.array(list(Counter(value).values())) / n
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1)
     near = " ".join(before.split()[-4:])
     return [
         float(n),
         *counts.tolist(),
         float(-(chars * np.log2(chars)).sum()),
         changes,
-        covered(value, words) / size,
-        sum(c in "aeiouAEIOU" for c in value) / size,
+        covered(value, words) / n,
+        sum(c in "aeiouAEIOU" for c in value) / n,
         float(all(c in "0123456789abcdef" for c in value) or all(c in "0123456789ABCDEF" for c in value)),
         float(value.startswith(PREFIXES)),
         float(bool(PLACEHOLDER.search(value))),
-        value.count(".") / size,
-        value.count("-") / size,
-        max(len(m) for m in re.split(r"[^0-9]+", value)) / size,
+        value.count(".") / n,
+        value.count("-") / n,
+        max(len(m) for m in re.split(r"[^0-9]+", value)) / n,
         float(bool(NEAR_SECRET.search(near))),
         float(bool(NEAR_OTHER.search(near))),
         float(bool(re.search(r"[=:][!#$%&*]*\s*[\"'`]?$", before))),
@@ -125,7 +120,7 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
         float(bool(PASSWORD.search(before))),
         float(before.rstrip("\"'`")[-1:] == "="),
         float(bool(TEMPLATE.search(value))),
-        sum(c.isspace() for c in value) / size,
+        sum(c.isspace() for c in value) / n,
     ]
 
 
@@ -310,18 +305,14 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY, sample: int = SAMPLE) -> frozenset[str]:
-    """The corpus's most frequent words of four letters or more, by the number of texts that have them, and ``WORDS``.
+def dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY) -> frozenset[str]:
+    """The corpus's most frequent words of four letters or more, by the number of rows whose text has them, and ``WORDS``.
 
-    They are counted in the cluster on a sample of up to ``sample`` different texts, those of the smallest hash: hashes
-    are compared first, so no text is moved. ``size`` words come to the driver.
+    All texts are counted, in the cluster: a task sends on one row for each word it has met, and no text is moved. ``size``
+    words come to the driver.
     """
-    own = docs.select(F.col(text).alias("t")).where("t IS NOT NULL").select("t", F.xxhash64("t").alias("h"))
-    last = own.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if last is None:
-        return COMMON
-    words = own.where(F.col("h") <= last).select("h", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"(?<!\p{L})(\p{L}{4,16})(?!\p{L})")))).alias("w"))
-    found = words.groupBy("w").agg(F.count_distinct("h").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(size)
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})(\p{L}{4,16})(?!\p{L})")))).alias("w"))
+    found = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(size)
     return COMMON | {r.w for r in found.collect()}
 
 

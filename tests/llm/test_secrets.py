@@ -174,3 +174,15 @@ def test_dictionary_of_the_corpus(spark):
     assert {"bahnhof", "fluss"} < words and "einmal" not in words and ss.COMMON < words
     assert ss.dictionary(spark.createDataFrame([], "text string")) == ss.COMMON
     assert ss.covered("fluss9bahnhofx", words) == 12
+
+
+def test_dictionary_counts_every_text(spark):
+    """A word of some of very many texts is found, and counts decide, whatever texts a sample would have held."""
+    found = ss.dictionary(spark.range(20_000).selectExpr("concat('Satz ', id, CASE WHEN id % 4000 = 7 THEN ' Seltenes' ELSE '' END) AS text"))
+    assert "seltenes" in found and "satz" in found
+
+
+def test_a_long_candidate_is_described_whole(forest):
+    ends = "aZ3" * 100
+    plain, other = ss.features(ends + "a" * 5000 + ends, "", "", ""), ss.features(ends + "9" * 5000 + ends, "", "", "")
+    assert plain[0] == other[0] == 5600 and plain[1] > 0.9 and other[3] > 0.9
