@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,11 +47,11 @@ def skeletonize(vox: DataFrame, label: str, resolution=(1.0, 1.0, 1.0), size_thr
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         mask, begin = _crop(frame, 2)
         points = np.argwhere(kernels.thinned(mask))
-        index = {tuple(p): k for k, p in enumerate(points)}
+        index = {tuple(p): k for k, p in enumerate(points.tolist())}
         edges = []
-        for k, p in enumerate(points):
-            for d in np.ndindex(3, 3, 3):
-                other = index.get(tuple(p + np.array(d) - 1))
+        for (z, y, x), k in index.items():
+            for dz, dy, dx in product((-1, 0, 1), repeat=3):
+                other = index.get((z + dz, y + dy, x + dx))
                 if other is not None and other > k:
                     edges.append([k, other])
         nodes = ((points + begin) * np.array(resolution)).tolist()

@@ -124,3 +124,19 @@ def test_gaussian_keeps_constants_and_names():
     assert np.allclose(k.gaussian(data, 1.5), 3.0)
     with pytest.raises(ValueError):
         k.named_filter(data, "nothing", 1.0)
+
+
+def test_one_piece_by_definition():
+    """Whether bits of a box hang together, as components of the box say it (diagonals touch)."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        box = rng.random((3, 3, 3)) < rng.choice([0.1, 0.2, 0.4])
+        box[1, 1, 1] = False
+        if not box.any():
+            continue
+        points = np.argwhere(box)
+        seen = np.zeros(len(points), bool)
+        seen[0] = True
+        for _ in points:
+            seen |= (np.abs(points[:, None] - points[None, seen]).max(axis=2) <= 1).any(axis=1)
+        assert k._one_piece(sum(1 << int(b) for b in np.flatnonzero(box.ravel())), 3) == seen.all()
