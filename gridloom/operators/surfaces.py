@@ -7,7 +7,7 @@ between them, and welding is an aggregation by object and place. Nothing here ga
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import permutations, product
 from operator import add
 
@@ -84,6 +84,90 @@ def triangles(mask: np.ndarray, shape: str) -> np.ndarray:
     return np.concatenate(found)
 
 
+#: Bit k of a cell's code is set if corner k is inside, corners in the order z, y, x.
+CELL = list(product((0, 1), repeat=3))
+
+
+@lru_cache
+def _cell_triangles(shape: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(start, rows)``: the triangles of a cell of code c are ``rows[start[c]:start[c + 1]]``, places from its lowest corner."""
+    each = [triangles(np.array([c >> k & 1 for k in range(8)], bool).reshape(2, 2, 2), shape) for c in range(256)]
+    return np.cumsum([0, *map(len, each)]), np.concatenate(each)
+
+
+@lru_cache
+def _cell_counts() -> np.ndarray:
+    """``(256, 3)``: vertices, edges and open edges that a cell of tetrahedra owns, by its code.
+
+    A place belongs to the cell it has the lowest coordinates of. An edge within a side of a cell is of the triangles of two
+    cells. What each of them has there must follow from the side's four corners alone, which is checked here for all codes,
+    so the triangles on both sides are known in one cell.
+    """
+    start, rows = _cell_triangles("tetrahedra")
+    inside, lower, upper, owned = [], [{} for _ in AXES], [{} for _ in AXES], np.zeros((256, 3), np.int64)
+    at = lambda code, k, far: tuple(code >> j & 1 for j, c in enumerate(CELL) if c[k] == far)
+    for code in range(256):
+        edges = {}
+        for t in rows[start[code] : start[code + 1]].reshape(-1, 3, 3).tolist():
+            for i, j in ((0, 1), (1, 2), (2, 0)):
+                p, q = tuple(t[i]), tuple(t[j])
+                n, turns = edges.get((min(p, q), max(p, q)), (0, 0))
+                edges[min(p, q), max(p, q)] = n + 1, turns + (1 if p < q else -1)
+        # where an edge lies in two sides, more than two cells would share it
+        if any(sum(p[k] == q[k] != 1 for k in range(3)) > 1 for p, q in edges):
+            raise ValueError("an edge along an edge of a cell")
+        for k in range(3):
+            for sides, far in ((lower, 0), (upper, 1)):
+                move = lambda p: p[:k] + (0,) + p[k + 1 :]  # noqa: B023, E731
+                found = {(move(p), move(q)): n for (p, q), n in edges.items() if p[k] == q[k] == 2 * far}
+                if sides[k].setdefault(at(code, k, far), found) != found:
+                    raise ValueError("a side that doesn't follow from its corners")
+        inside.append([n for (p, q), n in edges.items() if not any(p[k] == q[k] != 1 for k in range(3))])
+        # a vertex halfway between two corners is there if one of them is inside
+        places = set(map(tuple, rows[start[code] : start[code + 1]].reshape(-1, 3).tolist()))
+        cut = lambda v: len({code >> CELL.index(tuple(c)) & 1 for c in ([i // 2 for i in v], [(i + 1) // 2 for i in v])}) == 2  # noqa: B023, E731
+        if places != {v for v in product(range(3), repeat=3) if cut(v)}:
+            raise ValueError("a vertex that doesn't follow from its corners")
+        owned[code, 0] = sum(max(v) < 2 for v in places)
+    for code in range(256):
+        met = list(inside[code])
+        for k in range(3):
+            here, below = lower[k][at(code, k, 0)], upper[k][at(code, k, 0)]
+            met += [tuple(map(add, here.get(e, (0, 0)), below.get(e, (0, 0)))) for e in {*here, *below}]
+        owned[code, 1:] = len(met), sum(n != 2 or turns != 0 for n, turns in met)
+    return owned
+
+
+def _copied(own: DataFrame, block: tuple[int, int, int]) -> DataFrame:
+    """Voxels with the blocks ``bz, by, bx`` of the cells they are corners of."""
+    placed = own.select("id", *AXES).dropna()
+    for c, b in zip(AXES, block):
+        both = F.array_distinct(F.array(*[F.floor((F.col(c) - k) / b).cast("long") for k in (1, 0)]))
+        placed = placed.withColumn(f"b{c}", F.explode(both))
+    return placed
+
+
+def _cells(frame: pd.DataFrame, block: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(names, which, low, code)`` of a block: for each object and cell that it has a corner of, the object's number among
+    the names, the cell's lowest corner and its code. Memory goes with the voxels, whatever the number of objects."""
+    begin = np.array([frame[f"b{c}"].iloc[0] for c in AXES]) * block
+    names, own = np.unique(frame["id"].to_numpy(), return_inverse=True)
+    at = frame[list(AXES)].to_numpy() - begin
+    keys, bits = [], []
+    for k, corner in enumerate(CELL):
+        low = at - corner
+        # cells of this block alone: their lowest corners from its first voxel to its last
+        held = ((low >= 0) & (low < block)).all(axis=1)
+        low = low[held]
+        keys.append(((own[held] * block[0] + low[:, 0]) * block[1] + low[:, 1]) * block[2] + low[:, 2])
+        bits.append(np.full(len(low), 1 << k))
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    code = np.zeros(len(key), np.int64)
+    np.bitwise_or.at(code, back, np.concatenate(bits))
+    which, *low = np.unravel_index(key, (len(names), *block))
+    return names, which, np.stack(low, axis=1) + begin, code
+
+
 def surface_faces(own: DataFrame, block: tuple[int, int, int] = (32, 64, 64), shape: str = "tetrahedra") -> DataFrame:
     """``(id, az … cx)``: the triangles of each object of ``own(z, y, x, id)``, corners in half voxels, normals outward.
 
@@ -93,27 +177,48 @@ def surface_faces(own: DataFrame, block: tuple[int, int, int] = (32, 64, 64), sh
     """
     if shape not in SHAPES:
         raise ValueError(f"shape {shape!r}")
-    placed = own.select("id", *AXES)
-    for c, b in zip(AXES, block):
-        both = F.array_distinct(F.array(*[F.floor((F.col(c) - k) / b).cast("long") for k in (1, 0)]))
-        placed = placed.withColumn(f"b{c}", F.explode(both))
+    start, rows = _cell_triangles(shape)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        begin = np.array([frame[f"b{c}"].iloc[0] for c in AXES]) * block
-        parts = []
-        for name, rows in frame.groupby("id", sort=False):
-            at = rows[list(AXES)].to_numpy()
-            # cells of this block alone: their lowest corners from its first voxel to its last
-            low = np.maximum(at.min(axis=0) - 1, begin)
-            high = np.minimum(at.max(axis=0) + 1, begin + block)
-            mask = np.zeros(high - low + 1, bool)
-            mask[tuple((at - low).T)] = True
-            made = triangles(mask, shape) + np.tile(2 * low, 3)
-            parts.append(pd.DataFrame(made, columns=PLACES).assign(id=name))
-        return pd.concat(parts)[["id", *PLACES]]
+        names, which, low, code = _cells(frame, block)
+        count = np.diff(start)[code]
+        cell = np.repeat(np.arange(len(code)), count)
+        nth = np.arange(len(cell)) - np.repeat(np.cumsum(count) - count, count)
+        made = rows[start[code][cell] + nth] + np.tile(2 * low, 3)[cell]
+        return pd.DataFrame({"id": names[which[cell]], **{c: made[:, k] for k, c in enumerate(PLACES)}})
 
     schema = "id long, " + ", ".join(f"{c} long" for c in PLACES)
-    return placed.groupBy(*[f"b{c}" for c in AXES]).applyInPandas(run, schema)
+    return _copied(own, block).groupBy(*[f"b{c}" for c in AXES]).applyInPandas(run, schema)
+
+
+def object_measures(own: DataFrame, block: tuple[int, int, int] = (32, 64, 64), resolution=(1.0, 1.0, 1.0)) -> DataFrame:
+    """What ``surface_measures`` says of the surfaces of tetrahedra of ``own(z, y, x, id)``, without a table of triangles.
+
+    Each vertex, edge and triangle is of one cell and follows from the cell's corners (see ``_cell_counts``), so a block adds
+    up those of its cells and sends on one row an object.
+    """
+    start, rows = _cell_triangles("tetrahedra")
+    points = rows.reshape(-1, 3, 3)
+    normal = np.cross(points[:, 1] - points[:, 0], points[:, 2] - points[:, 0])
+    scaled = points * (np.array(resolution, float) / 2)
+    each = np.linalg.norm(np.cross(scaled[:, 1] - scaled[:, 0], scaled[:, 2] - scaled[:, 0]), axis=1) / 2
+    total = lambda values: np.add.reduceat(np.concatenate([values, np.zeros((1, *values.shape[1:]), values.dtype)]), start[:-1]) * (np.diff(start) > 0).reshape(-1, *[1] * (values.ndim - 1))
+    area, normals, six = total(each), total(normal), total((points[:, 0] * normal).sum(axis=1))
+    counts = np.column_stack([_cell_counts(), np.diff(start)])
+    names = ["vertices", "edges", "open_edges", "faces"]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, which, low, code = _cells(frame, block)
+        found = np.zeros((len(ids), len(names) + 1), np.int64)
+        # six times the volume that triangles span with the origin, moved to the place of their cell
+        np.add.at(found, which, np.column_stack([counts[code], six[code] + 2 * (low * normals[code]).sum(axis=1)]))
+        return pd.DataFrame({"id": ids, **{c: found[:, k] for k, c in enumerate([*names, "six"])}, "area": np.bincount(which, area[code], len(ids))})
+
+    schema = ", ".join(f"{c} long" for c in ["id", *names, "six"]) + ", area double"
+    parts = _copied(own, block).groupBy(*[f"b{c}" for c in AXES]).applyInPandas(run, schema)
+    out = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in [*names, "area", "six"]]).where("faces > 0")
+    cell = float(np.prod(resolution)) / 48
+    return out.select("id", "vertices", "edges", "faces", "open_edges", (F.col("vertices") - F.col("edges") + F.col("faces")).alias("euler"), "area", (F.col("six") * cell).alias("volume"))
 
 
 def _corner(k: str):

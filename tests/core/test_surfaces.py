@@ -95,3 +95,21 @@ def test_smoothing_by_joins_equals_the_packed_form(spark):
 def test_surfaces_of_nothing(spark):
     empty = spark.createDataFrame([], "z long, y long, x long, id long")
     assert surfaces.surface_measures(surfaces.surface_faces(empty)).count() == 0 and objects.meshes(empty, "id").count() == 0
+
+
+def test_measures_by_cells_equal_those_of_triangles(spark, monkeypatch):
+    from gridloom import catalogue
+
+    data = np.random.default_rng(4).integers(0, 4, (5, 6, 7)) - (np.indices((5, 6, 7))[0] > 3) * 9
+    own = volume(spark, data, "id").where("id <> 0")
+    # a second object on the same voxels, a voxel twice, one without a label: objects don't hide each other
+    own = own.unionByName(own.where("id = 1").selectExpr("z - 2 AS z", "y", "x", "77 AS id")).unionByName(own.limit(1)).unionByName(own.limit(1).selectExpr("z", "y", "x", "CAST(NULL AS LONG) AS id"))
+    want = sorted(surfaces.surface_measures(surfaces.surface_faces(own), (2.0, 1.0, 0.5)).collect())
+    for block in ((2, 3, 2), (64, 64, 64), (1, 1, 1)):
+        got = sorted(surfaces.object_measures(own, block, (2.0, 1.0, 0.5)).collect())
+        assert len(got) == len(want) > 4
+        for a, b in zip(got, want):
+            assert a.asDict() == {**b.asDict(), "area": pytest.approx(b.area), "volume": pytest.approx(b.volume)}
+    # the query makes no triangles, of which there are about 36 a voxel
+    monkeypatch.setattr(surfaces, "surface_faces", None)
+    assert catalogue.surface_measures(spark, "/root/testdata/sf0.001").count() == 9
