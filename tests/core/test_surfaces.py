@@ -113,3 +113,36 @@ def test_measures_by_cells_equal_those_of_triangles(spark, monkeypatch):
     # the query makes no triangles, of which there are about 36 a voxel
     monkeypatch.setattr(surfaces, "surface_faces", None)
     assert catalogue.surface_measures(spark, "/root/testdata/sf0.001").count() == 9
+
+
+@pytest.mark.parametrize("packed", [1, 150, 200_000])
+def test_objects_are_packed_together(spark, monkeypatch, packed):
+    """Objects of one batch, of several, and of many batches each come whole, and not one by one."""
+    data = np.random.default_rng(5).integers(0, 5, (4, 5, 6)) - 2
+    data[data == 0] = 9
+    data = np.pad(data, ((0, 0), (0, 0), (0, 40)), constant_values=9)
+    calls = spark.sparkContext.accumulator(0)
+    real = objects._packed
+
+    def counted(*given):
+        calls.add(1)
+        return real(*given)
+
+    monkeypatch.setattr(objects, "_packed", counted)
+    monkeypatch.setattr(objects, "PACKED", packed)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        vox = volume(spark, data, "id")
+        faces = surfaces.surface_faces(vox, (2, 3, 7), "squares").toPandas()
+        rows = objects.meshes(vox, "id", (2.0, 1.0, 0.5), block=(3, 3, 3)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.id for r in rows) == sorted(set(data.ravel().tolist()))
+    if packed > len(faces):
+        assert 0 < calls.value < len(rows)
+    for r in rows:
+        own = faces[faces["id"] == r.id][surfaces.PLACES].to_numpy().reshape(-1, 3)
+        places, want = np.unique(own, axis=0, return_inverse=True)
+        assert np.allclose(places / 2 * (2.0, 1.0, 0.5), r.vertices)
+        assert sorted(map(tuple, want.reshape(-1, 3).tolist())) == [tuple(f) for f in r.faces]
+        assert np.allclose(np.linalg.norm(r.normals, axis=1), 1, atol=1e-9) or np.linalg.norm(r.normals, axis=1).min() < 1e-9
