@@ -118,3 +118,28 @@ def test_empty_graphs(spark):
 def test_unknown_solvers_are_refused(spark):
     with pytest.raises(ValueError):
         solvers.solve_global(spark, spark.range(1).toDF("node"), spark.createDataFrame([(1, 2, 0.5)], "u long, v long, cost double"), "nothing")
+
+
+def test_edges_and_nodes_are_made_once(spark):
+    """What edges and nodes come from (all voxels) is run a single time for costs and for a multicut."""
+    from gridloom.operators import voxelwise
+
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("features", "edges", "nodes")}
+
+    def counted(df, name):
+        def run(batches):
+            for frame in batches:
+                seen[name].add(len(frame))
+                yield frame
+
+        return df.mapInPandas(run, df.schema)
+
+    edges = spark.range(60).selectExpr("id + 1 AS u", "id + 2 AS v", "IF(id % 3 = 0, 0.9, 0.2) AS p", "1 + id % 4 AS size")
+    costs = voxelwise.probs_to_costs(counted(edges, "features"), size="size")
+    assert costs.count() == 60 and costs.agg(F.count_distinct("cost")).first()[0] == 8
+    assert seen["features"].value == 60
+    nodes = spark.range(61).selectExpr("id DIV 20 AS block_id", "id + 1 AS node")
+    found = solvers.multicut(spark, counted(nodes, "nodes"), counted(costs.select("u", "v", "cost"), "edges"), (1, 1, 4), scales=2)
+    # a chain is cut at its repulsive edges
+    assert len({r.label for r in found.collect()}) == 21
+    assert (seen["edges"].value, seen["nodes"].value) == (60, 61)
