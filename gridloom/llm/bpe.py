@@ -393,14 +393,25 @@ def _shared(spark: SparkSession, vocabulary_path: str):
     return spark.sparkContext.broadcast(Vocabulary(load_ranks(vocabulary_path)))
 
 
-def encode(df: DataFrame, vocabulary, pattern: str, text: str = "text", ids: str = "ids", drop: Iterable[str] = ()) -> DataFrame:
-    """``df`` with ``ids``: the token ids of ``text`` as little-endian unsigned 32-bit integers (binary)."""
+def encode(df: DataFrame, vocabulary, pattern: str, text: str = "text", ids: str = "ids", drop: Iterable[str] = (), decoded: str | None = None) -> DataFrame:
+    """``df`` with ``ids``: the token ids of ``text`` as little-endian unsigned 32-bit integers (binary).
+
+    ``decoded`` names a column for the bytes of these ids' tokens, as ``decode`` gives them: in the same pass, since each
+    pass over the rows has a Python process of its own for each task that runs.
+    """
 
     def make():
         encoder = TextEncoder(vocabulary.value, pattern)
-        return lambda batch: [pa.array(encoder.encode_all([t.decode() for t in texts(batch, text)]), pa.binary())]
+        token = vocabulary.value.bytes
+
+        def run(batch):
+            found = encoder.encode_all([t.decode() for t in texts(batch, text)])
+            columns = [found, [decode_ids(token, i) for i in found]] if decoded else [found]
+            return [pa.array(c, pa.binary()) for c in columns]
+
+        return run
 
-    return with_columns(df, [StructField(ids, BinaryType())], make, tuple(drop))
+    return with_columns(df, [StructField(c, BinaryType()) for c in (ids, decoded) if c], make, tuple(drop))
 
 
 def decode(df: DataFrame, vocabulary, ids: str = "ids", out: str = "decoded", drop: Iterable[str] = ()) -> DataFrame:
@@ -430,8 +441,7 @@ def roundtrip(spark: SparkSession, docs: DataFrame, vocabulary_file: str | None
     import public_tokenizers
 
     vocabulary = _shared(spark, vocabulary_file or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = encode(docs, vocabulary, public_tokenizers.PATTERN, drop=["text"])
-    return decode(ids, vocabulary).select(
+    return encode(docs, vocabulary, public_tokenizers.PATTERN, drop=["text"], decoded="decoded").select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -445,7 +455,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     vocabulary = _shared(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     own = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha"))
-    done = decode(encode(own, vocabulary, public_tokenizers.PATTERN, drop=["text"]), vocabulary)
+    done = encode(own, vocabulary, public_tokenizers.PATTERN, drop=["text"], decoded="decoded")
     exact = F.sha2("decoded", 256) == F.col("_sha")
     return done.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", exact.alias("round_trip"))
 

@@ -392,8 +392,12 @@ FINDING = T.ArrayType(
 _ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("is_secret", pa.bool_()), ("value_sha256", pa.string())]))
 
 
-def scan(spark: SparkSession, df: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", out: str = "findings", drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``out``: spans (in characters) of all candidates, with the forest's share of trees."""
+def scan(spark: SparkSession, df: DataFrame, forest: Forest, text: str = "text", path: str | None = "source", out: str = "findings", drop: tuple[str, ...] = (), redacted: str | None = None, mark: str = MARK) -> DataFrame:
+    """``df`` with ``out``: spans (in characters) of all candidates, with the forest's share of trees.
+
+    ``redacted`` names a column (it may be ``text``) for the text with ``mark`` in place of its secrets, as ``redact``
+    gives it: in the same pass, since each pass over the rows has a Python process of its own for each task that runs.
+    """
     shared = spark.sparkContext.broadcast(forest)
 
     def make():
@@ -414,11 +418,14 @@ def scan(spark: SparkSession, df: DataFrame, forest: Forest, text: str = "text",
                     result[k].append((begin, end, s))
             for k, (t, found) in enumerate(zip(held, result)):
                 result[k] = [{"start": b, "end": e, "score": s, "is_secret": s >= 0.5, "value_sha256": hashlib.sha256(t[b:e].encode()).hexdigest()} for b, e, s in joined(found)]
-            return [pa.array(result, _ARROW)]
+            columns = [pa.array(result, _ARROW)]
+            if redacted:
+                columns.append(pa.array([masked(t, found, mark) for t, found in zip(held, result)], pa.string()))
+            return columns
 
         return run
 
-    return with_columns(df, [T.StructField(out, FINDING)], make, drop)
+    return with_columns(df, [T.StructField(out, FINDING), *([T.StructField(redacted, T.StringType())] if redacted else [])], make, drop)
 
 
 def redact(df: DataFrame, text: str = "text", findings: str = "findings", mark: str = MARK) -> DataFrame:
@@ -456,7 +463,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: secrets are replaced; documents stay."""
-    done = redact(scan(spark, docs, train(dictionary(docs)), out="_findings"), findings="_findings")
+    done = scan(spark, docs, train(dictionary(docs)), out="_findings", redacted="text")
     return done.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(docs.columns)
 
 

@@ -56,6 +56,20 @@ def test_frames(spark, reference):
     assert bpe.roundtrip(spark, docs.limit(0)).count() == 0
 
 
+def test_one_python_pass(spark, vocabulary):
+    """Each pass over the rows has a Python process for each running task, with a vocabulary of its own."""
+    rows = [(1, None, "x", "y", 0), (2, "", "x", "y", 0), (3, "The end of it, é 漢.", None, "y", 0), (3, "a" * 300, "x", None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for out in (bpe.roundtrip(spark, docs.select("doc_id", "text")), bpe.stage(spark, docs, "")):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert bpe.stage(spark, docs, "").where("round_trip").count() == len(rows)
+
+    shared = spark.sparkContext.broadcast(vocabulary)
+    both = bpe.encode(docs, shared, P.PATTERN, decoded="decoded")
+    apart = bpe.decode(bpe.encode(docs, shared, P.PATTERN), shared)
+    assert both.columns == apart.columns and sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+
+
 def test_many_and_very_long_texts_together(vocabulary, reference):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdeéßн漢") for _ in range(rng.randrange(1, 14))) for _ in range(3000)]

@@ -36,6 +36,16 @@ def test_scan_and_redact(spark, forest):
     assert ss.scan(spark, df.limit(0), forest).count() == 0
 
 
+def test_one_python_pass(spark, sf, forest):
+    rows = [(1, TEXT, "app", 5), (1, TEXT, "app", 5), (2, None, None, None), (3, "", "x", 0), (None, "🙂" + TEXT, "app", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    apart = ss.redact(ss.scan(spark, df, forest))
+    both = ss.scan(spark, df, forest, redacted="text").select(apart.columns)
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert ss.stage(spark, docs, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_tokens_of_the_testdata(spark, sf):
     import re
 
